@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from folio.llm.dac import shared_folder
 from folio.llm.textarrays import TextBatch, mix, slices
 
-BLOCK_BYTES = 24 << 20
+#: A block's text: a 48th of the input, between these bounds.
+LEAST_BLOCK, MOST_BLOCK = 1 << 20, 24 << 20
 FOLDS = 5
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # keys beside the words' hashes
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -91,12 +92,14 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {_DDL[f.type]}" for f in schema)
 
 
-def blocks(docs: DataFrame, held_out: int, tuned_on: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def blocks(docs: DataFrame, held_out: int, tuned_on: int, block_bytes: int | None = None) -> tuple[DataFrame, int]:
     """doc_id, text, fold, block, and the number of key ranges.
 
-    A block holds documents of the tuning part only or none of it, about ``block_bytes`` of text.
+    A block holds documents of the tuning part only or none of it, about ``block_bytes`` of text (by default a share
+    of the input, so that small inputs are spread over many tasks too).
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block_bytes = block_bytes or min(MOST_BLOCK, max(LEAST_BLOCK, size // 48))
     some = max(1, math.ceil(size / FOLDS / block_bytes))
     rest = max(1, math.ceil(size * (FOLDS - 1) / FOLDS / block_bytes))
     key = F.xxhash64("doc_id", "text")
@@ -218,7 +221,7 @@ def learn_weights(cells: list[tuple[int, int, int, int]], v_all: int, rounds: in
     return weights
 
 
-def score_documents(docs: DataFrame, held_out: int = 1, tuned_on: int = 0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: int = 1, tuned_on: int = 0, block_bytes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Counts come from all documents whose fold isn't ``held_out``. A null text counts as empty and
