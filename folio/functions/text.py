@@ -25,13 +25,13 @@ GLUED = (
 DECORATIVE = (
     ("asset_token", r"\b[A-Z]{2}\d{4}\b"),
     ("stage_code", r"\bT\d{2}T\d{2}\b"),
-    ("private_use", r"[-]"),
-    ("placeholder", r"(?:^| )[.α](?: |$)"),
+    ("private_use", "[\ue000-\uf8ff]"),
+    ("placeholder", "(?:^|\\s)[.\u03b1](?:\\s|$)"),
 )
 PAGE_REFS = (r"стр\.?\s*\d+", r"(?i)\bp\.\s*\d+", r"(?i)\bpage\s+\d+")
-VERSIONED_ID = r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)*_v\d+(?:_\d+)?\b"
-SNAKE_ID = r"\b[a-z]+(?:_[a-z0-9]+){2,}\b"
-CYRILLIC = r"[А-Яа-яЁё]"
+VERSIONED_ID = r"[a-z][a-z0-9]*(?:_[a-z0-9]+)*_v\d+(?:_\d+)?"
+SNAKE_ID = r"[a-z][a-z0-9]*(?:_[a-z0-9]+){2,}"
+CYRILLIC = "[\u0400-\u04ff]"
 GARBAGE_TITLE = r"^\d+[.):]?\s*$"
 STEP_NUMBER = r"^\d{1,3}[.):]*$"
 

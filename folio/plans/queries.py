@@ -64,7 +64,7 @@ def qa_dead_page_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.dead_page_refs(views.defects(spark, sf_dir))
 
 
-_LEAK = "coalesce(nullif(regexp_extract(text, '\\b[a-z][a-z0-9]*(?:_[a-z0-9]+)*_v\\d+(?:_\\d+)?\\b', 0), ''), nullif(regexp_extract(text, '\\bUNKNOWN\\b', 0), ''), CASE WHEN regexp_matches(text, '[А-Яа-яЁё]') THEN nullif(regexp_extract(text, '\\b[a-z]+(?:_[a-z0-9]+){2,}\\b', 0), '') END)"
+_LEAK = f"coalesce(nullif(regexp_extract(text, '{T.VERSIONED_ID}', 0), ''), nullif(regexp_extract(text, '\\bUNKNOWN\\b', 0), ''), CASE WHEN regexp_matches(text, '{T.CYRILLIC}') THEN nullif(regexp_extract(text, '{T.SNAKE_ID}', 0), '') END)"
 
 
 @query(f"{with_views('v_defect')} {_finding('render', 'error', 'LEAKED_TECHNICAL_ID', _LEAK, f'{_LEAK} IS NOT NULL', 'v_defect')}")

@@ -21,7 +21,7 @@ SUFFIXES = (
     " done.Next step",
     " exam- ple and self- made",
     " bell\u0007",
-    " icon ",
+    " icon \ue001",
     " словоСЛОВО",
     "\nSetup..... 12 Play..... 34",
     " . ",
