@@ -170,30 +170,29 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> Non
     segments(docs, tokenizer_path, end_id).write.mode("overwrite").option("compression", "zstd").parquet(folder)
 
 
-def placed(spark: SparkSession, folder: str) -> DataFrame:
-    """The segments of a token file, each with the number of ids in all before it.
+def segment_starts(files: DataFrame) -> DataFrame:
+    """shard, segment and the number of ids in all segments before it.
 
     The running sum goes over one row a shard, and within each shard over its segments, so no task
     meets all segments.
     """
-    files = spark.read.parquet(folder)
     sizes = files.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = sizes.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("shard_start"))
     within = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     places = files.select("shard", "segment", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("inner_start"))
-    starts = places.join(shards, "shard").select("shard", "segment", (F.col("shard_start") + F.col("inner_start")).alias("start"))
-    return files.join(starts, ["shard", "segment"])
+    return places.join(shards, "shard").select("shard", "segment", (F.col("shard_start") + F.col("inner_start")).alias("segment_start"))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of a token file, from the files alone.
 
     start counts the ids of all documents before it; the checksum is of the little-endian unsigned
-    32-bit ids.
+    32-bit ids. Containers are read where they are scanned; only the documents' rows are joined.
     """
-    rows = placed(spark, folder).select("start", "doc_ids", "container")
-    kind = dict(rows.dtypes)["doc_ids"].removeprefix("array<")[:-1]
+    files = spark.read.parquet(folder)
+    kind = dict(files.dtypes)["doc_ids"].removeprefix("array<")[:-1]
+    names = ["shard", "segment", "doc_id", "inner", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,12 +200,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 box = Reader(batch.column("container")[r].as_py())
                 crcs = [zlib.crc32(box.document(k).astype("<u4")) for k in range(box.n_docs)]
                 starts = box.starts.astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids")[r].values, pa.array(starts[:-1] + batch.column("start")[r].as_py()), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                same = lambda c: pa.array(np.full(box.n_docs, batch.column(c)[r].as_py(), np.int32))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same("shard"), same("segment"), batch.column("doc_ids")[r].values, pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())], names)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    rows = files.select("shard", "segment", "doc_ids", "container").mapInArrow(run, f"shard int, segment int, doc_id {kind}, inner long, n_tokens long, ids_crc32 long")
+    return rows.join(segment_starts(files), ["shard", "segment"]).select("doc_id", (F.col("segment_start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
