@@ -75,9 +75,9 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self._row: dict[int, int] = {}
-        self._start = np.zeros(0, np.int64)
-        self._count = np.zeros(0, np.int64)
+        self._key = np.zeros(0, np.uint64)  # hashes of known pieces, sorted; of each, its place in _flat and its number of ids
+        self._start = np.zeros(0, np.int32)
+        self._count = np.zeros(0, np.int32)
         self._flat = np.zeros(0, np.uint32)
 
     def ids(self, batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -87,26 +87,28 @@ class PieceEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(batch) + 1, np.int64)
         ends = np.append(starts[1:], len(batch.data))
         code, distinct = pd.factorize(batch.hashes(starts, ends))
-        if len(self._row) > self._most:
+        if len(self._key) > self._most:
             self._clear()
-        get = self._row.get
-        rows = np.array([get(h, -1) for h in distinct.tolist()], np.int64)
-        new = np.flatnonzero(rows < 0)
+        rows = np.searchsorted(self._key, distinct)
+        known = rows < len(self._key)
+        known[known] = self._key[rows[known]] == distinct[known]
+        new = np.flatnonzero(~known)
         if len(new):
             some = np.empty(len(distinct), np.int64)
             some[code] = np.arange(len(code))
+            new = new[np.argsort(distinct[new])]
             where = some[new]
             raw = batch.data.tobytes()
             found = self._encode([raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-            count = np.fromiter(map(len, found), np.int64, len(found))
-            base = len(self._flat)
-            rows[new] = len(self._start) + np.arange(len(new))
-            self._row.update(zip(distinct[new].tolist(), rows[new].tolist(), strict=True))
-            self._start = np.append(self._start, base + np.cumsum(count) - count)
-            self._count = np.append(self._count, count)
+            count = np.fromiter(map(len, found), np.int32, len(found))
+            at = rows[new]
+            self._start = np.insert(self._start, at, len(self._flat) + np.cumsum(count) - count)
+            self._count = np.insert(self._count, at, count)
+            self._key = np.insert(self._key, at, distinct[new])
             self._flat = np.append(self._flat, np.fromiter((i for x in found for i in x), np.uint32, int(count.sum())))
+            rows = np.searchsorted(self._key, distinct)
         piece = rows[code]
-        count = self._count[piece]
+        count = self._count[piece].astype(np.int64)
         end = np.cumsum(count)
         ids = self._flat[np.repeat(self._start[piece] - (end - count), count) + np.arange(end[-1])]
         upto = np.concatenate([[0], end])

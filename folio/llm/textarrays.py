@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text that the helpers handle at once; larger Arrow batches are cut by documents.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 2 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
