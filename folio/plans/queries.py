@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import ids
 from folio.functions import text as T
-from folio.operators import evaluate, layout, patch, publish, qa, registry, search, structure, translate, verify
+from folio.operators import assets, evaluate, layout, patch, publish, qa, registry, render, search, structure, translate, verify
 from folio.sources import views
 from folio.sources.views import with_views
 from folio.streaming import events as stream
@@ -633,6 +633,60 @@ def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("finish", F.col("finish").cast("timestamp_ntz"))
 
 
+_GARBAGE = "(trim(text) = '' OR regexp_matches(trim(text), '^\\d+[.):]?\\s*$') OR len(regexp_extract_all(trim(text), '\\p{L}')) < 2)"
+
+
+@query(f"""{with_views('v_block')} SELECT page_id, count(*) AS n_blocks, string_agg(block_id, ',' ORDER BY pos) AS block_refs,
+    coalesce(arg_min(text, pos) FILTER (kind = 'heading' AND NOT {_GARBAGE}), '') AS title FROM v_block GROUP BY 1""")
+def render_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.render_pages(views.blocks(spark, sf_dir)).withColumn("block_refs", F.array_join("block_refs", ","))
+
+
+@query("""WITH p AS (SELECT doc_id, (n_chars % 64) / 64.0 AS coverage, CASE WHEN doc_id % 9 = 0 THEN 'article' END AS o FROM documents)
+    SELECT doc_id, coalesce(o, CASE WHEN coverage < 0.15 THEN 'facsimile' ELSE 'article' END) AS mode FROM p""")
+def render_presentation_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = views.table(spark, sf_dir, "documents").select("doc_id", ((F.col("n_chars") % 64) / 64.0).alias("coverage"), F.when(F.col("doc_id") % 9 == 0, "article").alias("override"))
+    return render.presentation_mode(pages).select("doc_id", "mode")
+
+
+@query()
+def render_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents made of every third document's title (its first line), against all documents as pages."""
+    pages = views.table(spark, sf_dir, "documents").select(ids.page_id(F.col("doc_id")).alias("page_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("doc_id").alias("number"))
+    entries = pages.where("number % 3 = 0").select("title", F.col("number").alias("page"), F.col("number").alias("pos"))
+    return render.contents(entries, pages)
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks as evidence: images and vector clusters by the block's number, their text's hash as content."""
+    kind = F.when(F.col("pos") % 3 == 0, "image").when(F.col("pos") % 3 == 1, "vector_cluster").otherwise("line")
+    return _block_boxes(spark, sf_dir).select("page_id", F.col("block_id").alias("evidence_id"), kind.alias("kind"), F.substring(F.sha2("text", 256), 1, 12).alias("content_hash"), "x0", "y0", "x1", "y1")
+
+
+_OCCURRENCE = """o AS (SELECT page_id, block_id AS evidence_id, printf('ao.%s.%03d', page_id, row_number() OVER (PARTITION BY page_id ORDER BY block_id) - 1) AS occurrence_id,
+    'ac.' || CASE WHEN pos % 3 = 0 THEN 'image' ELSE 'vector_cluster' END || '.' || substring(sha256(text), 1, 12) AS class_id,
+    CASE WHEN pos % 3 = 1 THEN 'decoration' WHEN (x1 - x0) * (y1 - y0) < 900 THEN 'inline' ELSE 'float' END AS context FROM i WHERE pos % 3 < 2)"""
+
+
+@query(f"{with_views('v_block')}, {_ITEM}, {_OCCURRENCE} SELECT occurrence_id, class_id, page_id, evidence_id, context FROM o")
+def asset_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assets.occurrences(_evidence(spark, sf_dir))
+
+
+@query(f"{with_views('v_block')}, {_ITEM}, {_OCCURRENCE} SELECT class_id, arg_min(page_id, (page_id, occurrence_id)) AS first_page, arg_min(context, (page_id, occurrence_id)) AS context, count(*) AS n FROM o GROUP BY 1")
+def asset_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assets.classes(assets.occurrences(_evidence(spark, sf_dir)))
+
+
+@query(f"""{with_views('v_word')}, c AS (SELECT page_id, lower(word) AS symbol_id, (900 + (wpos * 13 + pos) % 100) / 1000.0 AS score, x0, y0, word_id FROM v_word WHERE length(word) > 4),
+    r AS (SELECT *, row_number() OVER w AS nth, first_value(score) OVER w AS best FROM c WHERE score >= 0.93 WINDOW w AS (PARTITION BY page_id, symbol_id ORDER BY score DESC, y0, x0, word_id))
+    SELECT page_id, symbol_id, count(*) AS n, CAST(max(score) AS DOUBLE) AS best FROM r WHERE nth <= 50 AND score >= 0.98 * best GROUP BY 1, 2""")
+def asset_symbol_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = views.words(spark, sf_dir).where("length(word) > 4")
+    candidates = words.select("page_id", F.lower("word").alias("symbol_id"), ((900 + F.pmod(F.col("wpos") * 13 + F.col("pos"), F.lit(100))) / 1000.0).alias("score"), F.lit(None).cast("double").alias("threshold"), "x0", "y0")
+    return assets.accepted_matches(candidates).groupBy("page_id", "symbol_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long paragraphs and repeated content, counted by code."""
     return qa.tally_by_code(qa.run_rules(views.blocks(spark, sf_dir), (qa.paragraph_length, qa.duplicate_content)))

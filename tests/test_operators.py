@@ -10,7 +10,8 @@ from folio import schemas
 from folio.functions import geometry as G
 from folio.functions import ids
 from folio.functions import text as T
-from folio.operators import evaluate, graph, layout, patch, publish, qa, registry, search, structure, translate, verify
+from folio.operators import assets, evaluate, graph, layout, patch, publish, qa, registry, render, search, structure, translate, verify
+from folio.plans import stages
 from folio.sources import artifacts, config, reader
 from folio.streaming import events as stream
 
@@ -330,3 +331,43 @@ def test_event_stream_agrees_with_batch(spark, tmp_path):
     streamed = {tuple(r) for r in spark.table("counts").collect()}
     assert streamed == {tuple(r) for r in stream.window_counts(df).collect()}
     assert stream.run_sessions(df).agg(F.sum("n")).first()[0] == 60 and stream.failures(df).count() == 9
+
+
+def test_contents_by_title_and_by_number(spark):
+    pages = spark.createDataFrame([("p0003", "Setup", 3), ("p0005", "Play", 5), ("p0006", "play", 6), ("p0007", "", 7)], "page_id string, title string, number int")
+    entries = lambda rows: spark.createDataFrame(rows, "title string, page int, pos int")
+    assert {tuple(r) for r in render.contents(entries([("SETUP", 1, 0), ("Play", 4, 1)]), pages).collect()} == {("p0003", 2), ("p0006", 2)}
+    assert {tuple(r) for r in render.contents(entries([("x", 2, 0), ("y", 4, 1)]), pages).collect()} == {("p0003", 1), ("p0005", 1)}
+    assert render.contents(entries([("x", 6, 0)]), pages).collect()[0]["offset"] == 0 and render.contents(entries([("x", 40, 0)]), pages).count() == 0
+
+
+def test_render_rules(spark):
+    rows = [("heading", "12."), ("callout", "x"), ("heading", "Real title"), ("figure", ""), ("divider", "")]
+    assert [r["kind"] for r in render.render_blocks(blocks(spark, rows)).orderBy("nth").collect()] == ["heading", "heading", "figure"]
+    assert render.render_pages(blocks(spark, rows)).first()["title"] == "Real title"
+    images = spark.createDataFrame([("p", f"i{k}", k) for k in range(30)], "page_id string, image_id string, pos int")
+    used = spark.createDataFrame([("p", "i0"), ("p", "i1")], "page_id string, asset_id string")
+    assert render.inject_figures(used, images).count() == 18
+    inlines = spark.sql("SELECT array(named_struct('type', 'icon', 'symbol_id', 'sym.art_1'), named_struct('type', 'icon', 'symbol_id', 'sym.ok'), named_struct('type', 'text', 'symbol_id', NULL)) AS c")
+    assert inlines.select(F.size(render.visible_inlines(F.col("c")))).first()[0] == 2
+
+
+def test_symbols_find_their_line(spark):
+    lines = spark.createDataFrame([("p", 1, 0.0, 10.0), ("p", 2, 30.0, 40.0)], "page_id string, line int, y0 double, y1 double")
+    symbols = spark.createDataFrame([("p", "a", 2.0, 12.0), ("p", "b", 14.0, 24.0), ("p", "c", 90.0, 99.0), ("q", "d", 0.0, 1.0)], "page_id string, symbol_id string, y0 double, y1 double")
+    out = {r["symbol_id"]: (r["line"], r["anchor"]) for r in assets.nearest_lines(symbols, lines).collect()}
+    assert out == {"a": (1, "inline"), "b": (1, "near_text"), "c": (2, "block"), "d": (None, "page")}
+
+
+def test_stages_are_cached(spark, tmp_path):
+    assert stages.stage_range("render", "publish") == ["render", "qa", "publish"]
+    assert "translate" not in stages.stage_range(edition="en")
+    for bad in (("nope", None), ("qa", "ingest")):
+        with pytest.raises(ValueError):
+            stages.stage_range(*bad)
+    first = stages.Stage("ingest", "1", lambda s, t: s.range(3))
+    second = lambda v: stages.Stage("render", v, lambda s, t: t["ingest"].where("id > 0"))
+    runner = stages.Runner(spark, f"file://{tmp_path}/build")
+    assert runner.run([first, second("1")])["render"].count() == 2
+    runner.run([first, second("2")])
+    assert [e[2] for e in runner.events] == ["completed", "completed", "cached", "completed"] and runner.event_table().count() == 4
