@@ -27,7 +27,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
 IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
-    r"|[0-9_+/=-]+"  # numbers, rules
+    r"|[0-9_+/=-]*(?:[A-Za-z][0-9_+/=-]*){0,2}"  # numbers, rules, times
     r"|[A-Za-z]+(?:[_/-][A-Za-z]+)*"  # words
     r"|[a-z]+(?:[_/-][a-z0-9]+)*|[A-Z]+(?:[_/-][A-Z0-9]+)*"  # names in one case
     r"|(?:[A-Za-z]+[_/=+-]*[0-9]{1,8}[_/=+-]*)"  # a name and its number

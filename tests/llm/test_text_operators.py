@@ -109,6 +109,19 @@ def test_secret_scan(spark):
     assert len(rows) == len(texts()) and secrets.scan(documents(spark, []), RANKS).count() == 0
 
 
+def test_random_strings_are_told_from_names():
+    import random
+    import string
+
+    encoding = secrets._tiktoken(RANKS)
+    found = lambda t: [k for _, k, _ in secrets.random_spans(t, encoding, 2.0)]
+    names = ["getElementByIdentifier2", "iPhone12ProMaxCase2020", "user_profile_image_v2_final", "2023-10-12T10-20-30Z", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "123e4567-e89b-12d3-a456-426614174000", "antidisestablishmentarianism", "4532-1111-2222-3333-4444"]
+    assert [n for n in names if found(f"see {n} here")] == []
+    rng = random.Random(2)
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(36)) for _ in range(200)]
+    assert sum(bool(found(f"key {k}.")) for k in keys) >= 198
+
+
 def test_redaction_keeps_all_but_secrets(spark):
     docs = documents(spark)
     rows = secrets.redact(docs, RANKS).collect()
