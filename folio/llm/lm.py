@@ -92,8 +92,8 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {_DDL[f.type]}" for f in schema)
 
 
-def blocks(docs: DataFrame, held_out: int, tuned_on: int, block_bytes: int | None = None) -> tuple[DataFrame, int]:
-    """doc_id, text, fold, block, and the number of key ranges.
+def blocks(docs: DataFrame, held_out: int, tuned_on: int, block_bytes: int | None = None) -> tuple[DataFrame, int, int]:
+    """doc_id, text, fold, block; the number of key ranges; and the number of blocks of the tuning part, which come first.
 
     A block holds documents of the tuning part only or none of it, about ``block_bytes`` of text (by default a share
     of the input, so that small inputs are spread over many tasks too).
@@ -104,7 +104,7 @@ def blocks(docs: DataFrame, held_out: int, tuned_on: int, block_bytes: int | Non
     rest = max(1, math.ceil(size * (FOLDS - 1) / FOLDS / block_bytes))
     key = F.xxhash64("doc_id", "text")
     block = F.when(F.col("fold") == tuned_on, F.pmod(key, F.lit(some))).otherwise(some + F.pmod(key, F.lit(rest)))
-    return docs.select("doc_id", "text", fold(F.col("doc_id")).alias("fold")).withColumn("block", block), some + rest
+    return docs.select("doc_id", "text", fold(F.col("doc_id")).alias("fold")).withColumn("block", block), some + rest, some
 
 
 def count_keys(dealt: DataFrame, ranges: int, held_out: int, tuned_on: int) -> DataFrame:
@@ -231,7 +231,7 @@ def score_documents(docs: DataFrame, held_out: int = 1, tuned_on: int = 0, block
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    dealt, ranges = blocks(docs, held_out, tuned_on, block_bytes)
+    dealt, ranges, tuning_blocks = blocks(docs, held_out, tuned_on, block_bytes)
     folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
     count_keys(dealt, ranges, held_out, tuned_on).write.option("compression", "zstd").parquet(folder)
     back = spark.read.parquet(folder)
@@ -246,7 +246,7 @@ def score_documents(docs: DataFrame, held_out: int = 1, tuned_on: int = 0, block
         found, n = np.unique(cell, return_counts=True)
         return pa.table({"bucket": found // HALF_OCTAVES**2, "p2": found // HALF_OCTAVES % HALF_OCTAVES, "p1": found % HALF_OCTAVES, "n": n})
 
-    tuning = dealt.where(F.col("fold") == tuned_on).groupBy("block").cogroup(back.join(dealt.where(F.col("fold") == tuned_on).select("block").distinct(), "block", "left_semi").groupBy("block"))
+    tuning = dealt.where(F.col("fold") == tuned_on).groupBy("block").cogroup(back.where(F.col("block") < tuning_blocks).groupBy("block"))
     cells = tuning.applyInArrow(tally, "bucket long, p2 long, p1 long, n long").groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n"))
     weights = learn_weights([tuple(r) for r in cells.collect()], v_kept)  # 66 x 100 x 100 cells at most
 
