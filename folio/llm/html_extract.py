@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 _EVENT = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|math|iframe|object|textarea|title|select|canvas|audio|video)\b(?:[^>\"'<]++|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</\1\s*>|\Z))"
+    r"|<(script|style|noscript|template|svg|math|iframe|object|textarea|title|select|canvas|audio|video)\b(?:[^>\"'</]++|/(?!>)|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</\1\s*>|\Z))"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"'<]++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*>"
     r"|([^<]+|<)",

@@ -20,6 +20,7 @@ def test_main_text(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", marked), (4, "u", marked), (5, "u", "no tags at all"), (6, "u", "<<p <> &am &#x41; >"), (7, "u", "<p>" + "long text " * 20000)]
     pages = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))
     found = html_extract.main_text(pages, html_extract.fit(pages)).collect()
+    assert html_extract.extract('<p>before</p><svg width="1"/><iframe src="x" /><p>after <script>if (a > b) {}</script>it</p><select><option>no</select>', html_extract.fit(pages)) == "before\nafter it"
     by = {r["page_id"]: r["text"] for r in found}
     assert len(found) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in found)
     assert by[1] == TEXT and by[2] == by[3] == "" and by[4] == "Head\nBody text here" and by[5] == "no tags at all"
