@@ -31,7 +31,7 @@ _NAMED = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[
 _PART = re.compile(r"[a-z]+(?=[A-Z])|[A-Z]?[a-z]+|[A-Z]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br button input".split())
+_INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br button input script style noscript template svg math iframe object textarea select canvas audio video".split())
 _SECTIONS = frozenset("article main nav header footer aside form button label fieldset menu dialog head comments>article".split())
 _PLAIN = frozenset("html body div span section table tbody thead tr td th center".split())
 #: Elements that an opening tag of these names ends, if they are open.
