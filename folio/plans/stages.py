@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.sources.artifacts import read_or_empty
+
 ORDER = ("ingest", "extract_native", "extract_layout", "symbols", "structure", "translate", "render", "qa", "publish")
 
 
@@ -48,9 +50,8 @@ class Runner:
         self.spark, self.path, self.config_hash = spark, path.rstrip("/"), config_hash
         self.events: list[tuple[str, str, str]] = []
 
-    def _done(self, folder: str) -> bool:
-        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
+    def _done(self) -> DataFrame:
+        return read_or_empty(self.spark, f"{self.path}/done", "stage_name string, cache_key string")
 
     def run(self, stages: Sequence[Stage]) -> dict[str, DataFrame]:
         tables: dict[str, DataFrame] = {}
@@ -58,9 +59,10 @@ class Runner:
         for stage in stages:
             key = cache_key(stage, self.config_hash, keys)
             folder = f"{self.path}/{stage.name}-{key}"
-            cached = self._done(folder)
+            cached = not self._done().where(F.col("cache_key") == key).isEmpty()
             if not cached:
                 stage.run(self.spark, tables).write.mode("overwrite").parquet(folder)
+                self.spark.createDataFrame([(stage.name, key)], "stage_name string, cache_key string").write.mode("append").parquet(f"{self.path}/done")
             tables[stage.name] = self.spark.read.parquet(folder)
             self.events.append((stage.name, key, "cached" if cached else "completed"))
             keys.append(key)

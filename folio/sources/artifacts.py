@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,16 @@ from folio.operators.registry import latest
 KEYS = ["document_id", "family", "scope", "entity_id"]
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table, or no rows where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 class ArtifactStore:
     """A Parquet table partitioned by family, at a path that all executors reach.
 
@@ -22,9 +33,7 @@ class ArtifactStore:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        there = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+        return read_or_empty(self.spark, f"{self.path}/{name}", schema)
 
     @property
     def bodies(self) -> DataFrame:
