@@ -242,6 +242,15 @@ def reading_order(areas: DataFrame) -> DataFrame:
     return rows.select("page_id", "ordinal", "region_id", "role", "x0", "y0", "x1", "y1").groupBy("page_id").applyInPandas(order, schema)
 
 
+def order_confidence(order: DataFrame) -> DataFrame:
+    """page_id, confidence of reading orders: from 1, 0.1 less for each band of several regions, 0.03 for each further band, 0.05 for asides; between 0.3 and 1."""
+    bands = order.where("role = 'main'").groupBy("page_id", "band").agg(F.count("*").alias("n")).groupBy("page_id").agg(F.count_if(F.col("n") > 1).alias("wide"), F.count("*").alias("bands"))
+    pages = order.groupBy("page_id").agg(F.bool_or(F.col("role") == "aside").alias("aside"))
+    rows = pages.join(bands, "page_id", "left").na.fill(0, ["wide", "bands"])
+    value = 1.0 - 0.1 * F.col("wide") - 0.03 * F.greatest(F.col("bands") - 1, F.lit(0)) - F.when(F.col("aside"), 0.05).otherwise(0.0)
+    return rows.select("page_id", F.greatest(F.lit(0.3), F.least(F.lit(1.0), value)).alias("confidence"))
+
+
 def vector_clusters(paths: DataFrame, margin: float = 2.0) -> DataFrame:
     """page_id, cluster (its smallest path), x0.., n, digest: groups of two or more paths whose boxes meet within a margin.
 

@@ -74,6 +74,20 @@ def figure_urls(pages: DataFrame, prefix: str) -> DataFrame:
     return pages.withColumn("figures", F.transform_values(renamed, lambda _, v: F.concat(F.lit(prefix), F.substring_index(v, "/", -1))))
 
 
+# An annotation's kind and priority by its block's kind; others are body with 20.
+ANNOTATION_KINDS = {"heading": ("heading", 100), "callout": ("callout", 80), "caption": ("caption", 60), "paragraph": ("body", 40), "list_item": ("body", 40), "list": ("body", 40), "table": ("table", 30), "figure": ("figure", 10)}
+
+
+def annotation_candidates(source: DataFrame, target: DataFrame) -> DataFrame:
+    """page_id, annotation_id, kind, priority, source, target, x0.. in shares of the page, of source blocks (text, x0.., width, height) with their translation, or an empty one."""
+    from folio.functions import geometry as G
+
+    kind = F.coalesce(*[F.when(F.col("kind") == k, F.struct(F.lit(name).alias("kind"), F.lit(p).alias("priority"))) for k, (name, p) in ANNOTATION_KINDS.items()], F.struct(F.lit("body").alias("kind"), F.lit(20).alias("priority")))
+    rows = source.where(~F.col("kind").isin("divider", "unknown") & (F.trim("text") != "") & F.col("x0").isNotNull())
+    rows = rows.join(target.select("page_id", "block_id", F.col("text").alias("target")), ["page_id", "block_id"], "left").withColumn("k", kind).withColumn("box", G.normalized("width", "height"))
+    return rows.select("page_id", F.col("block_id").alias("annotation_id"), "k.kind", "k.priority", F.col("text").alias("source"), F.coalesce("target", F.lit("")).alias("target"), "box.*")
+
+
 def annotations(candidates: DataFrame, most: int = 25, box: float = 0.10, total: float = 0.30, ratio: float = 0.3, drop: float = 0.5) -> DataFrame:
     """Annotations (page_id, annotation_id, kind, priority, source, target, x0.. in shares of the page) of the pages whose quality allows any.
 

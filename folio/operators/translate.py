@@ -112,3 +112,10 @@ def batches(segments: DataFrame, size: int = 50) -> DataFrame:
     """segments with batch: by page, runs of ``size`` in order."""
     nth = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
     return segments.withColumn("batch", F.floor((nth - 1) / size).cast("int"))
+
+
+def translated_blocks(blocks: DataFrame, results: DataFrame) -> DataFrame:
+    """blocks with the text of their translation and translated; a block without one keeps its text."""
+    found = results.where(F.col("target").isNotNull()).select(F.col("segment_id").alias("block_id"), "target")
+    rows = blocks.join(found, "block_id", "left").withColumn("translated", F.col("target").isNotNull())
+    return rows.withColumn("text", F.coalesce("target", "text")).drop("target")

@@ -43,3 +43,15 @@ def band_table(spark: SparkSession, config: dict) -> DataFrame:
         if a["max_confidence"] != b["min_confidence"]:
             raise ValueError(f"bands {a['name']} and {b['name']} leave a gap or overlap")
     return spark.createDataFrame([(b["name"], float(b["min_confidence"]), float(b["max_confidence"])) for b in bands], "name string, low double, high double")
+
+
+def golden_table(spark: SparkSession, config: dict) -> DataFrame:
+    """document_id, page_id, expected, block_types, symbol_count, reading_order of a golden set."""
+    rows = [(config.get("document_id", config["name"]), p["page_id"], p.get("block_count"), p.get("block_types", []), p.get("symbol_count"), p.get("reading_order", [])) for p in config.get("pages", [])]
+    return spark.createDataFrame(rows, "document_id string, page_id string, expected long, block_types array<string>, symbol_count int, reading_order array<string>")
+
+
+def ladder_table(spark: SparkSession, config: dict) -> DataFrame:
+    """ladder, order, golden_set of a benchmark ladder's checkpoints."""
+    rows = sorted((config["name"], int(c["order"]), c["golden_set"]) for c in config.get("checkpoints", []))
+    return spark.createDataFrame(rows, "ladder string, order int, golden_set string")

@@ -12,7 +12,7 @@ from folio.functions import ids
 from folio.functions import text as T
 from folio.operators import assets, evaluate, graph, layout, patch, publish, qa, registry, render, search, structure, translate, verify
 from folio.plans import stages
-from folio.sources import artifacts, config, reader
+from folio.sources import artifacts, config, ir, reader
 from folio.streaming import events as stream
 
 
@@ -371,3 +371,61 @@ def test_stages_are_cached(spark, tmp_path):
     assert runner.run([first, second("1")])["render"].count() == 2
     runner.run([first, second("2")])
     assert [e[2] for e in runner.events] == ["completed", "completed", "cached", "completed"] and runner.event_table().count() == 4
+
+
+def page_ir(spark, tmp_path):
+    text = lambda t, **more: {"type": "text", "text": t, **more}
+    icon = {"type": "icon", "symbol_id": "sym.a", "instance_id": "i1", "confidence": 0.5}
+    page = {
+        "document_id": "d", "page_id": "p0001", "reading_order": ["b1", "b1", "zz"],
+        "blocks": [
+            {"type": "heading", "block_id": "b1", "bbox": {"x0": 1.0, "y0": 2.0, "x1": 3.0, "y1": 4.0}, "children": [text("One.Two", source_word_ids=["w1", "w2"]), icon, text(" exam- ple")]},
+            {"type": "divider", "block_id": "b2"},
+        ],
+    }
+    (tmp_path / "page.json").write_text(json.dumps(page))
+    return artifacts.read_json_table(spark, f"file://{tmp_path}/page.json", "page_ir")
+
+
+def test_flat_ir_tables(spark, tmp_path):
+    pages = page_ir(spark, tmp_path)
+    flat = ir.blocks(pages).orderBy("pos").collect()
+    assert [(r["block_id"], r["kind"], r["text"], r["x1"]) for r in flat] == [("b1", "heading", "One.Two exam- ple", 3.0), ("b2", "divider", "", None)]
+    assert [r["type"] for r in ir.inlines(pages).orderBy("child").collect()] == ["text", "icon", "text"]
+    assert {r["word_id"] for r in ir.source_words(pages).collect()} == {"w1", "w2"}
+    assert ir.symbols(pages).first()["instance_id"] == "i1"
+    assert tuple(ir.page_signals(pages).first()) == ("p0001", 0.5, 0.5)
+    first = ir.blocks(pages).where("block_id = 'b1'")
+    assert first.select(ir.inline_text(ir.normalized_inlines(F.col("children")))).first()[0] == "One. Two example"
+    for at in (0, 3, 7, 9, 17):
+        left, right = first.select(*[ir.inline_text(c) for c in ir.split_inlines(F.col("children"), F.lit(at))]).first()
+        assert left == "One.Two exam- ple"[:at] and left + right == "One.Two exam- ple"
+
+
+def test_native_tables(spark, tmp_path):
+    box = lambda a, b, c, d: {"x0": a, "y0": b, "x1": c, "y1": d}
+    page = {"page_id": "p0001", "dimensions_pt": {"width": 100.0, "height": 100.0}, "words": [{"word_id": "w1", "text": "a", "bbox": box(0.0, 0.0, 50.0, 10.0)}], "spans": [], "image_blocks": [{"image_id": "i1", "bbox": box(0.0, 0.0, 100.0, 100.0)}, {"image_id": "i2", "bbox": box(0.0, 0.0, 9.0, 9.0)}]}
+    (tmp_path / "native.json").write_text(json.dumps(page))
+    native = artifacts.read_json_table(spark, f"file://{tmp_path}/native.json", "native_page")
+    assert ir.words(native).first()["x1"] == 50.0 and ir.spans(native).count() == 0
+    assert [r["image_id"] for r in ir.images(native).collect()] == ["i1"] and ir.images(native, significant=False).count() == 2
+    assert ir.text_coverage(native).first()["coverage"] == 0.05
+
+
+def test_annotation_candidates_and_order_confidence(spark):
+    schema = "page_id string, block_id string, kind string, text string, x0 double, y0 double, x1 double, y1 double, width double, height double"
+    source = spark.createDataFrame([("p", "b1", "heading", "Title", -5.0, 0.0, 50.0, 10.0, 100.0, 200.0), ("p", "b2", "divider", "x", 0.0, 0.0, 1.0, 1.0, 100.0, 200.0), ("p", "b3", "note", "n", 0.0, 0.0, 1.0, 1.0, 100.0, 200.0)], schema)
+    target = spark.createDataFrame([("p", "b1", "Titel")], "page_id string, block_id string, text string")
+    out = {r["annotation_id"]: r for r in publish.annotation_candidates(source, target).collect()}
+    assert set(out) == {"b1", "b3"} and tuple(out["b1"])[2:] == ("heading", 100, "Title", "Titel", 0.0, 0.0, 0.5, 0.05) and (out["b3"]["priority"], out["b3"]["target"]) == (20, "")
+    order = spark.createDataFrame([("p", "main", 1), ("p", "main", 1), ("p", "main", 2), ("p", "aside", None)], "page_id string, role string, band int")
+    assert layout.order_confidence(order).first()["confidence"] == pytest.approx(0.82)
+    moved = translate.translated_blocks(source, spark.createDataFrame([("b1", "Titel")], "segment_id string, target string"))
+    assert {r["block_id"]: (r["text"], r["translated"]) for r in moved.collect()} == {"b1": ("Titel", True), "b2": ("x", False), "b3": ("n", False)}
+
+
+def test_golden_and_ladder_tables(spark):
+    golden = {"name": "g", "pages": [{"page_id": "p0001", "block_count": 2, "block_types": ["heading"], "reading_order": ["b1"]}]}
+    assert config.golden_table(spark, golden).first()["expected"] == 2
+    ladder = {"name": "l", "checkpoints": [{"order": 2, "golden_set": "b"}, {"order": 1, "golden_set": "a"}]}
+    assert [r["golden_set"] for r in config.ladder_table(spark, ladder).collect()] == ["a", "b"]
