@@ -57,11 +57,13 @@ class OneBitCodes:
         return signed * scale + queries @ self.centre[:, None], error
 
 
-def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products of paired rows in double precision, added up in the order of the dimensions."""
-    out = np.zeros(len(queries))
-    for d in range(queries.shape[1]):
-        out += queries[:, d] * vectors[:, d]
+def exact(queries: np.ndarray, vectors: np.ndarray, row: np.ndarray, col: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
+    """Inner products of queries[row] and vectors[col] in double precision, added up in the order of the dimensions; some pairs at a time."""
+    out = np.zeros(len(row))
+    for i in range(0, len(row), at_once):
+        q, v, part = queries[row[i : i + at_once]], vectors[col[i : i + at_once]], out[i : i + at_once]
+        for d in range(q.shape[1]):
+            part += q[:, d] * v[:, d]
     return out
 
 
@@ -75,7 +77,7 @@ def nearest_in(codes: OneBitCodes, q_ids: np.ndarray, q: np.ndarray, ids: np.nda
         least = np.where(own, -np.inf, estimate - error)
         kth = np.partition(least, -k, axis=1)[:, -k] if len(ids) >= k else np.full(len(some), -np.inf)
         row, col = np.nonzero((estimate + error >= kth[:, None]) & ~own)
-        score = exact(some[row], v[col])
+        score = exact(some, v, row, col)
         order = np.lexsort((ids[col], -score, row))
         row, col, score = row[order], col[order], score[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
