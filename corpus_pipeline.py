@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folio.llm import dac, langid, packing, quality, secrets, simhash
 from folio.llm.queries import RANKS, TOKENIZER
+from folio.llm.textarrays import small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose language is less certain than this is rejected.
@@ -21,6 +22,7 @@ LEAST_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those of no certain language; a null lang is filled in."""
+    small_batches(spark)
     net = langid.fit(docs, F.lit(True))
     found = langid.predict(docs.select(*COLUMNS), net)
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
@@ -29,12 +31,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents by the base rules or the decision list, learned from the labels of what is left."""
+    small_batches(spark)
     rules = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.judge(docs.select(*COLUMNS), rules).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id. Rows without a doc_id can't be named and stay."""
+    small_batches(spark)
     groups = simhash.near_duplicates(docs)
     firsts = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
     named = docs.select(*COLUMNS).join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -43,11 +47,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts give way to a mark."""
+    small_batches(spark)
     return secrets.redact(docs.select(*COLUMNS), RANKS).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens, one row a piece."""
+    small_batches(spark)
     return packing.pack_documents(docs, TOKENIZER, end_id=0)
 
 

@@ -12,10 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import SparkSession
 
 #: Bytes of text that the helpers handle at once; larger Arrow batches are cut by documents.
 SLICE_BYTES = 2 << 20
 
+#: Rows of an Arrow batch for tables of texts, so that JVM and worker hold some megabytes of them at a time.
+BATCH_ROWS = 1000
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 2 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LONG_SPAN = 64
@@ -118,3 +122,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         to = min(n, max(at + 1, to))
         yield batch.slice(at, to - at)
         at = to
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows; for applications over tables of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
