@@ -33,7 +33,8 @@ _PART = re.compile(r"[a-z]+(?=[A-Z])|[A-Z]?[a-z]+|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br button input script style noscript template svg math iframe object textarea select canvas audio video".split())
 _SECTIONS = frozenset("article main nav header footer aside form button label fieldset menu dialog head comments>article".split())
-_PLAIN = frozenset("html body div span section table tbody thead tr td th center".split())
+_PLAIN = frozenset("html body div span section table tbody thead tr td th center ul ol li dl dt dd".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote dd figcaption".split())
 #: Elements that an opening tag of these names ends, if they are open.
 _ENDS = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 _BODY = frozenset("body p div article main nav header footer aside section h1 h2 h3 h4 h5 h6 ul ol table form".split())
@@ -42,7 +43,7 @@ _BODY = frozenset("body p div article main nav header footer aside section h1 h2
 LABELLED = {
     True: "<article> <main> <div class=article> <div class=content> <div id=main> <div class=post-body> <div class=entry-content> <div class=story> <section class=body-text> <div itemprop=articleBody> <div role=main> "
     "<p> <h1> <h2> <h3> <blockquote> <pre> <figure> <figcaption> <em> <strong> <b> <i> <code> <dl> <div><p> <div><div><p> <section><p> <article><header> <article><ul><li> <article><table> <main><ol><li> <article><p><a> <p><a>",
-    False: "<nav> <header> <footer> <aside> <form> <button> <label> <fieldset> <menu> <dialog> <head> <nav><ul><li><a> <header><h1> <footer><p> <aside><p> <aside><h2> <form><p> <ul><li><a> <div class=ad><p> "
+    False: "<nav> <header> <footer> <aside> <form> <button> <label> <fieldset> <menu> <dialog> <head> <nav><ul><li><a> <header><h1> <footer><p> <aside><p> <aside><h2> <form><p> <ul><li><a> <div><a> <td><a> <div class=ad><p> "
     "<div class=ads> <div class=advert> <div class=advertisement> <div class=adsbygoogle> <div class=sponsored> <div class=sponsor> <div class=promo> <div class=banner> <div class=menu> <div class=navbar> <div class=nav> <div class=navigation> <div class=breadcrumb> <div class=breadcrumbs> "
     "<div class=header> <div class=masthead> <div class=topbar> <div class=footer> <div class=bottom> <div class=copyright> <div class=legal> <div class=sidebar> <div class=rail> <div class=widget> <div class=related> <div class=recommended> <div class=trending> <div class=popular> "
     "<div class=cookie> <div class=consent> <div class=gdpr> <div class=notice> <div class=alert> <div class=disclaimer> <div class=popup> <div class=modal> <div class=overlay> <div class=paywall> <div class=newsletter> <div class=subscribe> <div class=signup> <div class=login> <div class=search> "
@@ -55,17 +56,22 @@ LABELLED = {
 Context = tuple[tuple[str, ...], ...]
 
 
-def _features(name: str, attributes: str, context: Context) -> tuple[str, ...]:
-    """A header in an article, and an article among comments, are features of their own."""
+def _features(name: str, attributes: str, context: Context, open_tags: list[str]) -> tuple[str, ...]:
+    """A header in an article, an article among comments, a link in a list, and a link outside prose are features of their own."""
     around = {f for element in context for f in element}
     if name == "header" and around & {"article", "main"}:
         name = "article>header"
     elif name == "article" and any(f.startswith((".comment", ".repl", ".respon", ".discuss")) for f in around):
         name = "comments>article"
+    elif name == "a":
+        nearest = next((t for t in reversed(open_tags) if t == "li" or t in _PROSE), None)
+        name = "li>a" if nearest == "li" else "a" if nearest else "bare>a"
     out = [] if name in _PLAIN else [name]
     if "=" in attributes and name not in ("html", "body"):
         for m in _NAMED.finditer(attributes):
             out += [f".{x.lower()}" for x in _PART.findall(m[2])]
+    if name == "form":  # its name says no more
+        out = [f for f in out if f != ".form"]
     return tuple(dict.fromkeys(out))
 
 
@@ -97,7 +103,7 @@ def events(page: str) -> Iterator[tuple[str | None, Context, str]]:
                         if stack[inner][0] in _ENDS.get(name, ("p",)):
                             cut(inner)
                 if name not in _VOID and not m[4].endswith("/"):
-                    own = _features(name, m[4], context)
+                    own = _features(name, m[4], context, [x[0] for x in stack] if name == "a" else [])
                     if own and (not context or own != context[-1]) and len(context) < 64:
                         context = (*context, own)
                     stack.append((name, context))
@@ -113,19 +119,29 @@ class Weights:
 
     def __init__(self, counts: dict[str, tuple[float, float]]):
         self.weight = {f: math.log((a + 1) / (b + 1)) for f, (a, b) in counts.items()}
-        self._known: dict[Context, float] = {}
+        self._known: dict[Context, tuple[float, bool]] = {}
 
     def word(self, context: Context) -> float:
         """Between -0.5 and 1: what one word adds.
 
         Going inwards, an element with a strong negative feature turns what it holds negative. An
         article or main element turns it positive again; so does a strong positive class within an
-        element that is negative by its tag only. Else the tags' own log odds decide.
+        element that is negative by its tag only. Else the tags' own log odds decide. Negative words
+        inside of a strong positive element cost next to nothing: they are left out, but don't cut
+        the text around them.
         """
+        return self._judge(context)[0]
+
+    def tag(self, name: str, context: Context) -> float:
+        """Between -0.1 and -0.01: tags found among content cost little, least inside of a strong positive element."""
+        return -0.01 if name in _PLAIN or self._judge(context)[1] else -max(0.01, min(0.1, 0.05 - 0.02 * self.weight.get(name, 0.0)))
+
+    def _judge(self, context: Context) -> tuple[float, bool]:
+        """A word's score, and whether a strong positive element holds it."""
         if context not in self._known:
             if len(self._known) > 50_000:
                 self._known.clear()
-            state, by_tag, mild = 0, False, 1.0
+            state, by_tag, held, mild = 0, False, False, 1.0
             for element in context:
                 strong = {f: w for f in element if abs(w := self.weight.get(f, 0.0)) >= 1.5 and (f[0] == "." or f in _SECTIONS)}
                 up = {f for f, w in strong.items() if w > 0}
@@ -135,15 +151,12 @@ class Weights:
                 if down:
                     state, by_tag = -1, not any(f[0] == "." for f in down)
                 elif up and (state >= 0 or by_tag or up & {"article", "main"}):
-                    state = 1
+                    state, held = 1, True
                 mild += sum(max(-1.0, min(1.0, self.weight.get(f, 0.0))) for f in element if f[0] != "." and f not in _SECTIONS)
-            self._known[context] = float(state) if state > 0 else -0.5 if state < 0 else max(-0.5, min(1.0, mild))
+            score = 1.0 if state > 0 else -0.01 if state < 0 and held else -0.5 if state < 0 else max(-0.5, min(1.0, mild))
+            self._known[context] = score, held
         return self._known[context]
 
-    def tag(self, name: str) -> float:
-        """Between -0.5 and -0.01: tags found among content cost little."""
-        return -0.01 if name in _PLAIN else -max(0.01, min(0.5, 0.1 - 0.1 * self.weight.get(name, 0.0)))
-
 
 def _templates() -> dict[str, tuple[float, float]]:
     inside: Counter[str] = Counter()
@@ -152,7 +165,8 @@ def _templates() -> dict[str, tuple[float, float]]:
         for page in re.findall(r"(?:<[^>]+>)+", pages):
             for tag, context, text in events(page + "word"):
                 if tag is None:
-                    (inside if label else outside).update({f for element in context for f in element})
+                    features = {f for element in context for f in element}
+                    (inside if label else outside).update(features if label else features - {"article", "main"})  # what stands in an article and is no content says nothing of articles
     weight = 20.0  # words that an element of a labelled page stands for
     return {f: (inside[f] * weight, outside[f] * weight) for f in inside | outside}
 
@@ -210,7 +224,7 @@ def extract(page: str | None, weights: Weights) -> str:
     best = total = 0.0
     start, region = 0, (0, 0)
     for i, (tag, context, text) in enumerate(items):
-        score = weights.tag(tag) if tag is not None else len(text.split()) * weights.word(context)
+        score = weights.tag(tag, context) if tag is not None else len(text.split()) * weights.word(context)
         if total <= 0:
             total, start = 0.0, i
         total += score

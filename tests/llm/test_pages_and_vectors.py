@@ -72,3 +72,15 @@ def test_error_bounds_hold():
     codes = ann.OneBitCodes(100, v.mean(axis=0))
     estimate, error = codes.bounds(q, *codes.encode(v))
     assert (np.abs(estimate - q @ v.T) <= error).mean() > 0.999
+
+
+def test_pages_of_other_shapes():
+    weights = html_extract.Weights(html_extract._templates())
+    text = lambda page: html_extract.extract(page, weights)
+    lists = "<ul><li><a>menu1</a></li><li><a>menu2</a></li></ul><h1>Title</h1><p>The text body is here.</p><ul><li>point one</li><li>point two</li></ul><div class='alert alert-info'>We use cookies.</div>"
+    assert text(lists) == "Title\nThe text body is here.\npoint one\npoint two"
+    assert text('<form id="aspnetForm"><div class="content"><p>Content inside of a wrapping form.</p></div></form>') == "Content inside of a wrapping form."
+    assert text("<header><h1>Site</h1></header><article><header><h1>Art title</h1></header><p>Content p.</p><aside><p>x</p></aside><p>More.</p></article>") == "Art title\nContent p.\nMore."
+    assert text('<div role="navigation">nav</div><div role="main"><p>Main role text.</p></div><div role="complementary">side</div>') == "Main role text."
+    assert text('<main><p>Body.</p></main><section class="comments"><article class="comment"><p>nice one, thanks a lot for it</p></article></section>') == "Body."
+    assert text('<div class="post"><div class="post-header"><h1>Head</h1></div><div class="post-content"><p>Text a.</p></div><div class="share-buttons">Share</div></div>') == "Head\nText a."
