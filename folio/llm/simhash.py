@@ -104,6 +104,19 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return (np.concatenate(lefts), np.concatenate(rights)) if lefts else (none, none)
 
 
+def bucket_links(buckets: list[np.ndarray], radius: int, small: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """tile_links of many buckets: those of up to ``small`` fingerprints are compared all at once, each with its next, second next and further neighbours within its own bucket."""
+    none = np.zeros(0, np.uint64)
+    few = [b for b in buckets if len(b) <= small]
+    found = [tile_links(b, b, radius) for b in buckets if len(b) > small]
+    if few:
+        x, own = np.concatenate(few), np.repeat(np.arange(len(few)), [len(b) for b in few])
+        for k in range(1, max(map(len, few))):
+            near = np.flatnonzero((own[k:] == own[:-k]) & (np.bitwise_count(x[k:] ^ x[:-k]) <= radius))
+            found.append((x[near], x[near + k]))
+    return (np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)]))
+
+
 def _bucket(fp: Column, groups: int, chosen: tuple[int, ...]) -> Column:
     """The chosen bit groups of a fingerprint, as one long."""
     cuts = [round(64 * k / groups) for k in range(groups + 1)]
@@ -149,9 +162,8 @@ def links(distinct: DataFrame, radius: int = 4, groups: int = 6, tile: int = TIL
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows (table, bucket, fps): the fingerprints of small buckets, many to a batch."""
         for pdf in batches:
-            found = [tile_links(x := np.sort(np.asarray(fps, np.int64)).view(np.uint64), x, radius) for fps in pdf["fps"]]
-            if found:
-                yield pd.DataFrame({"src": np.concatenate([f[0] for f in found]).view(np.int64), "dst": np.concatenate([f[1] for f in found]).view(np.int64)})
+            src, dst = bucket_links([np.asarray(fps, np.int64).view(np.uint64) for fps in pdf["fps"]], radius)
+            yield pd.DataFrame({"src": src.view(np.int64), "dst": dst.view(np.int64)})
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -73,6 +73,19 @@ def test_links_join_all_near_pairs_in_hot_buckets(spark):
     assert brute_components(nodes, [(as_int(r["src"]), as_int(r["dst"])) for r in found]) == brute_components(nodes, brute)
 
 
+def test_bucket_links_join_what_tile_links_join():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    near = lambda b: int(b) ^ sum({1 << int(k) for k in rng.integers(0, 64, 3)})
+    buckets = [np.array(sorted({near(b) for _ in range(int(n))}), np.uint64) for b, n in zip(base, rng.integers(1, 40, 30), strict=True)] + [np.zeros(0, np.uint64)]
+    src, dst = simhash.bucket_links(buckets, 4)
+    assert (np.bitwise_count(src ^ dst) <= 4).all()
+    nodes = sorted({int(x) for b in buckets for x in b})
+    brute = [(int(x), int(y)) for b in buckets for i, x in enumerate(b) for y in b[i + 1 :] if (int(x) ^ int(y)).bit_count() <= 4]
+    assert brute_components(nodes, zip(src.tolist(), dst.tolist(), strict=True)) == brute_components(nodes, brute)
+    assert len(simhash.bucket_links([], 4)[0]) == 0
+
+
 def test_connected_components(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 450)] + [(7, 7)]
