@@ -8,6 +8,7 @@ spans of it, without a Python object per word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +30,16 @@ _is_sep[[0x20, *range(0x09, 0x0E)]] = True
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
+def _powers_of(step: np.uint64) -> np.ndarray:
+    """Powers of the hash base (or of its inverse) modulo 2^64, for all places of a slice."""
+    steps = np.full(SLICE_BYTES + _LONG_SPAN + 1, step, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
 
 
-def _pow_table(kind: str, n: int) -> np.ndarray:
-    """Powers 0..n-1 of the hash base (or of its inverse) modulo 2^64, kept for the worker."""
-    table = _powers.get(kind)
-    if table is None or len(table) < n:
-        step = _BASE if kind == "up" else _BASE_INV
-        steps = np.full(max(n, SLICE_BYTES + 1), step, np.uint64)
-        steps[0] = 1
-        table = _powers[kind] = np.cumprod(steps, dtype=np.uint64)
-    return table[:n]
+@cache
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    return _powers_of(_BASE), _powers_of(_BASE_INV)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -103,14 +102,28 @@ class TextBatch:
         return starts, ends
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each span; equal spans have equal hashes, wherever they stand."""
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _pow_table("up", n), out=sums[1:])
-        h = mix((sums[ends] - sums[starts]) * _pow_table("down", n + 1)[starts])
-        for i in np.flatnonzero(ends - starts > _LONG_SPAN):
-            h[i] = xxhash.xxh64_intdigest(self.data[starts[i] : ends[i]].tobytes(), 7)
-        return h
+        """A 64-bit hash of each span (in order of their starts); equal spans have equal hashes, wherever they stand.
+
+        A polynomial modulo 2^64 from running sums, some megabytes at a time; long spans are hashed
+        one by one.
+        """
+        up, down = _power_tables()
+        out = np.empty(len(starts), np.uint64)
+        long = ends - starts > _LONG_SPAN
+        at = 0
+        while at < len(starts):
+            base = int(starts[at])
+            to = int(np.searchsorted(starts, base + SLICE_BYTES))
+            s = starts[at:to] - base
+            e = np.where(long[at:to], starts[at:to], ends[at:to]) - base
+            n = int(e.max())
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.data[base : base + n].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+            out[at:to] = mix((sums[e] - sums[s]) * down[s])
+            at = to
+        for i in np.flatnonzero(long):
+            out[i] = xxhash.xxh64_intdigest(self.data[starts[i] : ends[i]].tobytes(), 7)
+        return out
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -153,3 +153,21 @@ def test_level_choice_is_the_least_sum_of_squares():
 
         allowed = [h for h in range(16 - size + 1) if h == 0 or packer.open[h]]
         assert after(packer.level_for(size)) == min(map(after, allowed))
+
+
+def test_hashes_do_not_depend_on_the_place(monkeypatch):
+    from folio.llm import textarrays
+
+    words = ["a", "b", "ab", "ba", "", "x" * 64, "x" * 65, "y" * 500, "été"]
+    rng = random.Random(1)
+    some = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    seen: dict[bytes, int] = {}
+    for size in (1 << 20, 300):
+        monkeypatch.setattr(textarrays, "SLICE_BYTES", size)
+        textarrays._power_tables.cache_clear()
+        batch = TextBatch.of(some)
+        starts, ends = batch.words()
+        for a, b, h in zip(starts, ends, batch.hashes(starts, ends).tolist(), strict=True):
+            assert seen.setdefault(batch.data[a:b].tobytes(), h) == h
+    textarrays._power_tables.cache_clear()
+    assert len(set(seen.values())) == len(seen)
