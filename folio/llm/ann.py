@@ -1,10 +1,11 @@
 """Nearest neighbours by randomly rotated one-bit codes (operator 2).
 
-A vector, less the centre, is rotated at random and only the signs are kept: one bit a dimension,
-packed into 64-bit words, with two scalars, its length and the inner product of its direction with
+A vector, less the centre, is filled up with zeros to ``spread`` times its dimensions and rotated at
+random; only the signs are kept: one bit a rotated dimension, packed into 64-bit words, with two scalars, its length and the inner product of its direction with
 its code. A query is rotated likewise and cut into four bit planes, so that an inner product is
-estimated from bit counts. The estimate's error is bounded by the code's own scalar; vectors whose
-upper bound reaches the k-th best lower bound are ranked again by the exact inner product.
+estimated from bit counts. The estimate's error is bounded by the code's own scalar. The vectors of
+the best estimates are ranked first; of the others, those whose upper bound reaches the k-th best of
+them are ranked again by the exact inner product.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ PLANES = 4
 
 
 class OneBitCodes:
-    """Codes for vectors of a dimension; dimensions are filled up to a multiple of 64 with zeros."""
+    """Codes for vectors of a dimension, of ``spread`` bits a dimension, filled up to a multiple of 64. More bits make the error smaller."""
 
-    def __init__(self, dim: int, centre: np.ndarray, sureness: float = 4.0, seed: int = 3):
-        self.dim, self.wide = dim, -(-dim // 64) * 64
+    def __init__(self, dim: int, centre: np.ndarray, sureness: float = 4.0, spread: int = 4, seed: int = 3):
+        self.dim, self.wide = dim, -(-dim * spread // 64) * 64
         self.centre = centre
         self.sureness = sureness / math.sqrt(max(self.wide - 1, 1))
-        self.rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(self.wide, self.wide)))[0][:dim]
+        self.rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(self.wide, dim)))[0].T
 
     def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Packed codes (n, words), lengths, and inner products of the directions with their codes (over 0)."""
@@ -37,52 +38,70 @@ class OneBitCodes:
         align = np.abs(x).sum(axis=1) / (np.sqrt(self.wide) * np.where(length > 0, length, 1))
         return np.packbits(bits, axis=1, bitorder="little").view(np.uint64), length, np.where(length > 0, align, 1)
 
-    def bounds(self, queries: np.ndarray, codes: np.ndarray, length: np.ndarray, align: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimates of the inner products (queries x vectors), and their error bounds."""
+    def prepared(self, codes: np.ndarray, length: np.ndarray, align: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of a block of codes: its words by place, and what bounds need of each code."""
+        scale = length / align
+        per = (np.bitwise_count(codes).sum(axis=1), 2 * scale / math.sqrt(self.wide), self.sureness * scale * np.sqrt(np.maximum(1 - align**2, 0)), self.sureness * scale)
+        return np.ascontiguousarray(codes.T), *(x.astype(np.float32) for x in per)
+
+    def bounds(self, queries: np.ndarray, block: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates of the inner products (queries x vectors of a prepared block), and their error bounds, in single precision."""
+        words, ones, factor, by_norm, by_lost = block
         y = queries @ self.rotation
         low = y.min(axis=1, keepdims=True)
         step = np.maximum((y.max(axis=1, keepdims=True) - low) / (2**PLANES - 1), 1e-300)
         level = np.rint((y - low) / step).astype(np.uint8)
-        lost = np.sqrt(((low + step * level - y) ** 2).sum(axis=1))
-        dot = np.zeros((len(queries), len(codes)), np.float32)
-        for p in range(PLANES):
+        lost = np.sqrt(((low + step * level - y) ** 2).sum(axis=1, keepdims=True)).astype(np.float32)
+        dot = np.zeros((len(queries), words.shape[1]), np.uint16 if self.wide << PLANES < 1 << 16 else np.int32)
+        for p in reversed(range(PLANES)):
             plane = np.packbits((level >> p) & 1, axis=1, bitorder="little").view(np.uint64)
-            for w in range(codes.shape[1]):
-                dot += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.float32) * (1 << p)
-        ones = np.bitwise_count(codes).sum(axis=1)
-        signed = (2 * (step * dot + low * ones[None]) - y.sum(axis=1, keepdims=True)) / math.sqrt(self.wide)
-        norm = np.sqrt((y**2).sum(axis=1, keepdims=True))
-        scale = length / align
-        error = self.sureness * scale * (norm * np.sqrt(np.maximum(1 - align**2, 0)) + lost[:, None])
-        return signed * scale + queries @ self.centre[:, None], error
-
-
-def exact(queries: np.ndarray, vectors: np.ndarray, row: np.ndarray, col: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
-    """Inner products of queries[row] and vectors[col] in double precision, added up in the order of the dimensions; some pairs at a time."""
-    out = np.zeros(len(row))
-    for i in range(0, len(row), at_once):
-        q, v, part = queries[row[i : i + at_once]], vectors[col[i : i + at_once]], out[i : i + at_once]
-        for d in range(q.shape[1]):
-            part += q[:, d] * v[:, d]
-    return out
+            dot <<= 1
+            for w in range(len(words)):
+                dot += np.bitwise_count(plane[:, w, None] & words[w])
+        single = lambda x: x.astype(np.float32)
+        estimate = single(dot)
+        estimate *= single(step)
+        estimate += single(low) * ones
+        estimate -= single(y.sum(axis=1, keepdims=True) / 2)
+        estimate *= factor
+        estimate += single(queries @ self.centre[:, None])
+        error = single(np.sqrt((y**2).sum(axis=1, keepdims=True))) * by_norm
+        error += lost * by_lost
+        return estimate, error
+
+
+def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, added up in the order of the dimensions."""
+    return np.cumsum(vectors * query, axis=1)[:, -1]
 
 
 def nearest_in(codes: OneBitCodes, q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, packed: tuple, k: int) -> list[tuple[np.ndarray, ...]]:
     """(query ids, vector ids, scores): each query's k best of these vectors, ties to the smaller id; its own id left out."""
     out = []
-    for i in range(0, len(q), 64):
-        some, names = q[i : i + 64], q_ids[i : i + 64]
-        estimate, error = codes.bounds(some, *packed)
-        own = names[:, None] == ids[None, :]
-        least = np.where(own, -np.inf, estimate - error)
-        kth = np.partition(least, -k, axis=1)[:, -k] if len(ids) >= k else np.full(len(some), -np.inf)
-        row, col = np.nonzero((estimate + error >= kth[:, None]) & ~own)
-        score = exact(some, v, row, col)
-        order = np.lexsort((ids[col], -score, row))
-        row, col, score = row[order], col[order], score[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        best = place < k
-        out.append((names[row[best]], ids[col[best]], score[best]))
+    with np.errstate(over="ignore"):
+        block, single = codes.prepared(*packed), v.astype(np.float32)
+    block_size = np.abs(v).max(initial=0.0)
+    huge = max(block_size, np.abs(q).max(initial=0.0)) > 1e15  # beyond what single precision can bound: rank all
+    for i in range(0, len(q), 16):  # few, so that their matrices stay in the cache
+        some, names = q[i : i + 16], q_ids[i : i + 16]
+        estimate, error = codes.bounds(some, block)
+        for j, name in enumerate(names):
+            own = ids == name
+            likely = np.where(own, -np.inf, estimate[j])
+            first = np.argpartition(-likely, 2 * k)[: 2 * k] if len(ids) > 2 * k else np.arange(len(ids))
+            first = first[~own[first]]
+            if not len(first):
+                continue
+            query = some[j].astype(np.float32)
+            slack = 1e-5 * float(np.abs(query).sum() * block_size)  # of sums in single precision
+            least = np.partition(single[first] @ query, -k)[-k] - slack if len(first) >= k else -np.inf
+            again = np.flatnonzero(~own & (huge | (likely + error[j] >= least)))
+            if len(again) > k and not huge:
+                roughly = single[again] @ query
+                again = again[roughly >= np.partition(roughly, -k)[-k] - slack]
+            score = exact(some[j], v[again])
+            best = again[order := np.lexsort((ids[again], -score))[:k]]
+            out.append((np.full(len(best), name), ids[best], score[order]))
     return out
 
 

@@ -70,7 +70,7 @@ def test_error_bounds_hold():
     rng = np.random.default_rng(9)
     v, q = rng.normal(size=(500, 100)), rng.normal(size=(20, 100))
     codes = ann.OneBitCodes(100, v.mean(axis=0))
-    estimate, error = codes.bounds(q, *codes.encode(v))
+    estimate, error = codes.bounds(q, codes.prepared(*codes.encode(v)))
     assert (np.abs(estimate - q @ v.T) <= error).mean() > 0.999
 
 
