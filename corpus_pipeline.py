@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import dac, langid, packing, quality, secrets, simhash
+from folio.llm import dac, langid, packing, quality, resemblance, secrets
 from folio.llm.queries import RANKS, TOKENIZER
 from folio.llm.textarrays import small_batches
 
@@ -37,12 +37,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id. Rows without a doc_id can't be named and stay."""
+    """One document of each group of near copies (five-word shingles, resemblance 0.8 or more) stays, the one with the smallest doc_id. Rows without a doc_id can't be named and stay."""
     small_batches(spark)
-    groups = simhash.near_duplicates(docs)
-    firsts = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    named = docs.select(*COLUMNS).join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_key"))
+    found = resemblance.groups(keyed, width=5, least=(4, 5))
+    named = keyed.where(F.col("doc_id").isNotNull())
+    firsts = named.select("row_key", "doc_id").join(found, "row_key").groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    kept = named.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,136 @@
+"""Near copies by the resemblance of word shingles: the Jaccard similarity of two texts' sets.
+
+SimHash's distance says little at a resemblance of 0.8 (some 10 of 64 bits differ there), so texts
+meet by bands of minimum hashes instead, and each meeting is checked with the two sets themselves:
+nothing is linked that isn't as similar as asked. Two texts with a resemblance of s meet with
+probability 1 - (1 - s^PER_BAND)^BANDS; at 0.8 they fail to in about one case in 10 million.
+
+A band's bucket may hold a large group. First all its texts are checked against one of them, then,
+of what these links leave in different components, every pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folio.llm.components import connected_components
+from folio.llm.simhash import shingle_hashes
+from folio.llm.textarrays import TextBatch, mix, slices
+
+BANDS, PER_BAND = 40, 5
+#: Hashes of which minima are taken at once, so that they stay in the cache.
+CHUNK = 1 << 15
+
+
+def _sets(h: np.ndarray, upto: np.ndarray) -> list[np.ndarray]:
+    return [np.unique(h[a:b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+
+
+def band_keys(h: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each document; without hashes, the keys of an empty set."""
+    rng = np.random.default_rng(64)
+    xor = rng.integers(0, 1 << 64, (BANDS, PER_BAND), np.uint64)
+    odd = rng.integers(0, 1 << 64, (BANDS, PER_BAND), np.uint64) | np.uint64(1)
+    out = np.zeros((len(upto) - 1, BANDS), np.uint64)
+    full = np.flatnonzero(np.diff(upto))
+    at = 0
+    while at < len(full):
+        to = max(at + 1, int(np.searchsorted(upto[full + 1], upto[full[at]] + CHUNK, "right")))
+        docs = full[at:to]
+        part, starts = h[upto[docs[0]] : upto[docs[-1] + 1]], upto[docs] - upto[docs[0]]
+        for k in range(BANDS):
+            key = np.full(len(docs), k, np.uint64)
+            for j in range(PER_BAND):
+                key = mix(key ^ np.minimum.reduceat((part ^ xor[k, j]) * odd[k, j], starts))
+            out[docs, k] = key
+        at = to
+    return out
+
+
+def shingle_keys(docs: DataFrame, width: int, seed: int) -> DataFrame:
+    """row_key as it came, node (a hash of the set of shingles) and bands of every whole text. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                h, upto = shingle_hashes(TextBatch.of(batch.column("text")), width, seed)
+                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in _sets(h, upto)], np.uint64)
+                keys = band_keys(h, upto).view(np.int64)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(node.view(np.int64)), bands], ["row_key", "node", "bands"])
+
+    return docs.select("row_key", "text").mapInArrow(run, "row_key long, node long, bands array<long>")
+
+
+def _shingle_sets(texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """node as it came, and the sorted set of its text's shingle hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = _sets(*shingle_hashes(TextBatch.of(batch.column("text")), width, seed))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+def checked(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets have a resemblance of least[0] / least[1] or more."""
+    over, under = least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("xs"), batch.column("ys"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(under * both >= over * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("xs"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("ys"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "xs", "ys").mapInArrow(run, "a long, b long")
+
+
+def groups(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4, 5), seed: int = 42) -> DataFrame:
+    """row_key, component: texts are in one component if links of the resemblance ``least`` or more connect them.
+
+    docs: row_key (long, equal for equal rows only), text. Texts with the same set, those without a
+    word included, are in one component. Repeated rows keep a row each.
+    """
+    from folio.llm.dac import shared_folder
+
+    shared_folder(docs.sparkSession)
+    keys = shingle_keys(docs, width, seed).checkpoint()
+    nodes = keys.groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("bands").alias("bands"))
+    rows = nodes.select("node", "row_key", F.explode("bands").alias("band"))
+    buckets = rows.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")
+    members = rows.join(buckets, "band").checkpoint()
+
+    met = members.select("node", "row_key").distinct()
+    texts = docs.join(met, "row_key").dropDuplicates(["node"])
+    sets = _shingle_sets(texts, width, seed).checkpoint()
+
+    stars = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().checkpoint()
+    links = checked(stars, sets, least).checkpoint()
+    part = connected_components(links, "a", "b")
+    apart = members.select("band", "node").join(part.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = apart.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+    apart = apart.join(mixed, "band").checkpoint()
+    parts = apart.select("band", "component").distinct()
+    cross = parts.select("band", F.col("component").alias("p")).join(parts.select("band", F.col("component").alias("q")), "band").where("p < q")
+    rest = (
+        cross.join(apart.select("band", F.col("component").alias("p"), F.col("node").alias("x")), ["band", "p"])
+        .join(apart.select("band", F.col("component").alias("q"), F.col("node").alias("y")), ["band", "q"])
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        .distinct()
+        .join(stars, ["a", "b"], "left_anti")
+    )
+    labels = connected_components(links.unionByName(checked(rest, sets, least)), "a", "b")
+    return keys.select("row_key", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("row_key", F.coalesce("component", "node").alias("component"))

@@ -1,0 +1,44 @@
+"""The pipeline's near copies against all pairs of texts."""
+
+import random
+
+import corpus_pipeline
+from tests.llm.fixtures import documents
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def altered(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"new{rng.random()}"
+    return words
+
+
+def test_near_copies_just_above_the_threshold_leave(spark):
+    rng = random.Random(6)
+    rows, texts = [], []
+    for k in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts += [" ".join(base)] + [" ".join(altered(rng, base, n)) for n in (3, 4, 5, 9)]
+    rows = list(enumerate(texts, 1))
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = {i: shingles(t) for i, t in rows}
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    expected = {root(i) for i in sets}
+    assert 30 < len(expected) < len(rows)
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(expected)
