@@ -2,8 +2,8 @@
 
 Text that people write costs few tokens a character, since a vocabulary holds its words; a random
 string falls apart into short tokens. A run of key characters whose ratio of characters to tokens is
-low is taken as a secret, unless it is a digest of a known length, an identifier of a known form, or
-lacks the mix of characters that generated keys have.
+low, or a part of it behind a readable prefix, is taken as a secret, unless it is a digest of a known
+length, a UUID, a date or a plain number. The ratio decides on all else, in one case or without digits too.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
 IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
-    r"|[0-9_+/=-]*(?:[A-Za-z][0-9_+/=-]*){0,2}"  # numbers, rules, times
-    r"|[A-Za-z]+(?:[_/-][A-Za-z]+)*"  # words
-    r"|[a-z]+(?:[_/-][a-z0-9]+)*|[A-Z]+(?:[_/-][A-Z0-9]+)*"  # names in one case
-    r"|(?:[A-Za-z]+[_/=+-]*[0-9]{1,8}[_/=+-]*)"  # a name and its number
+    r"|[0-9]{4}[_/-]?[0-9]{2}[_/-]?[0-9]{2}[T_-][0-9_/+-]*Z?"  # dates and times
 )
+NUMBER = re.compile(r"[0-9_+/=-]+")  # numbers and rules
+#: A digest or identifier at the end of a run; what stands before it is judged by itself.
+KNOWN_END = re.compile(rf"(?:^|(?<=[_/=+-]))(?:{DIGEST.pattern}|{IDENTIFIER.pattern})$")
+PREFIX = re.compile(r"(?:[A-Za-z]+[_/=-]+)+")
+PART = re.compile(r"[A-Za-z0-9+]{20,}")
 _KEYWORD = ("passw", "secret", "token", "api")
 
 
@@ -57,17 +59,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def is_random(run: str, encoding, most_ratio: float) -> bool:
+    """Whether a run, what follows its prefix of words, or a part between separators is random."""
+    known = KNOWN_END.search(run)
+    run = run[: known.start()] if known else run
+    prefix = PREFIX.match(run)
+    for part in {run, run[prefix.end() :] if prefix else run, *PART.findall(run)}:
+        if len(part) < 20 or NUMBER.fullmatch(part) or DIGEST.fullmatch(part):
+            continue
+        if len(part) <= most_ratio * len(encoding.encode_ordinary(part)):
+            return True
+    return False
+
+
 def random_spans(text: str, encoding, most_ratio: float) -> list[tuple[int, int, int]]:
     """Spans of the token-efficiency test."""
-    out = []
-    for m in RUN.finditer(text):
-        run = m[0]
-        if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
-            continue
-        kinds = any(c.islower() for c in run) + any(c.isupper() for c in run) + any(c.isdigit() for c in run)
-        if kinds >= 2 and any(c.isdigit() for c in run) and len(run) <= most_ratio * len(encoding.encode_ordinary(run)):
-            out.append((m.start(), 3, m.end()))
-    return out
+    return [(m.start(), 3, m.end()) for m in RUN.finditer(text) if is_random(m[0], encoding, most_ratio)]
 
 
 def all_spans(text: str, encoding, most_ratio: float) -> tuple[list, list]:
