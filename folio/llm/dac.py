@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.pieces import library_encoder
+from folio.llm.pieces import whole_text_encoder
 from folio.llm.textarrays import TextBatch, slices
 
 MAGIC = b"DACF0001"
@@ -134,7 +134,7 @@ def segments(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, segment = library_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, shard, segment = whole_text_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         names: list[pa.Array] = []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from folio.llm.pieces import library_encoder
+from folio.llm.pieces import whole_text_encoder
 from folio.llm.textarrays import TextBatch, slices
 
 #: A piece: its document's row in the task, its start there, and its ids.
@@ -108,7 +108,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = library_encoder(tokenizer_path), SquaresPacker(capacity)
+        encoder, packer = whole_text_encoder(tokenizer_path), SquaresPacker(capacity)
         sequence = TaskContext.get().partitionId() << 36
         names: dict[int, tuple[object, int]] = {}  # of documents with an open piece: doc_id and tokens
         row = 0

@@ -8,6 +8,8 @@ distinct pieces of a task.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from functools import cache
 
@@ -115,9 +117,44 @@ class PieceEncoder:
         return ids, upto[np.searchsorted(starts, batch.offsets)]
 
 
+class AddedTokenEncoder:
+    """Ids of whole texts in which added tokens stand for themselves; the parts between go to an encoder of pieces.
+
+    added: the tokens' content and id. Where several match at a place, the longest does.
+    """
+
+    def __init__(self, encoder: PieceEncoder, added: dict[str, int]):
+        self._encoder = encoder
+        self._added = {k.encode(): v for k, v in added.items()}
+        self._find = re.compile(b"|".join(re.escape(k) for k in sorted(self._added, key=len, reverse=True)))
+
+    def ids(self, batch: TextBatch) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the batch, and each document's offset into them."""
+        raw = batch.data.tobytes()
+        if not self._added or not any(k in raw for k in self._added):
+            return self._encoder.ids(batch)
+        parts, ends, tokens, at = [], [], [], 0  # bounds of parts, the last part of each document, and the id after a part (-1: none)
+        for a, b in zip(batch.offsets.tolist(), batch.offsets[1:].tolist(), strict=False):
+            for m in self._find.finditer(raw, a, b):
+                parts.append((at := max(at, a), m.start()))
+                tokens.append(self._added[m[0]])
+                at = m.end()
+            parts.append((max(at, a), b))
+            tokens.append(-1)
+            ends.append(len(parts))
+            at = b
+        data = np.concatenate([batch.data[a:b] for a, b in parts])
+        ids, upto = self._encoder.ids(TextBatch(data, np.concatenate([[0], np.cumsum([b - a for a, b in parts])])))
+        token = np.array(tokens)
+        hit = np.flatnonzero(token >= 0)
+        out = np.insert(ids, upto[hit + 1], token[hit].astype(ids.dtype))
+        upto = upto + np.concatenate([[0], np.cumsum(token >= 0)])
+        return out, upto[np.concatenate([[0], ends]).astype(np.int64)]
+
+
 @cache
 def library_encoder(path: str) -> PieceEncoder:
-    """A worker's encoder over a tokenizer file of the tokenizers library."""
+    """A worker's encoder over a tokenizer file of the tokenizers library, added tokens taken as plain text."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -130,3 +167,14 @@ def library_encoder(path: str) -> PieceEncoder:
         return [x.ids for x in tokenizer.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
 
     return PieceEncoder(encode)
+
+
+@cache
+def whole_text_encoder(path: str) -> AddedTokenEncoder:
+    """A worker's encoder that gives what the library gives for whole texts at its defaults."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    odd = [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"]]
+    if odd:
+        raise ValueError(f"added tokens that depend on what is around them aren't supported: {odd}")
+    return AddedTokenEncoder(library_encoder(path), {t["content"]: t["id"] for t in tokens})
