@@ -37,14 +37,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, resemblance 0.8 or more) stays, the one with the smallest doc_id. Rows without a doc_id can't be named and stay."""
+    """One document of each group of near copies (five-word shingles, resemblance 0.8 or more) stays, the one with the smallest doc_id, a null one last, and row hash."""
     small_batches(spark)
     keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_key"))
     found = resemblance.groups(keyed, width=5, least=(4, 5))
-    named = keyed.where(F.col("doc_id").isNotNull())
-    firsts = named.select("row_key", "doc_id").join(found, "row_key").groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    kept = named.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
+    firsts = found.groupBy("component").agg(first.alias("first")).select("first.row_key")
+    return keyed.join(firsts, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

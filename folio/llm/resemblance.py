@@ -54,7 +54,8 @@ def band_keys(h: np.ndarray, upto: np.ndarray) -> np.ndarray:
 
 
 def shingle_keys(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """row_key as it came, node (a hash of the set of shingles) and bands of every whole text. No shuffle."""
+    """row_key and doc_id as they came, node (a hash of the set of shingles) and bands of every whole text. No shuffle."""
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -63,9 +64,9 @@ def shingle_keys(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in _sets(h, upto)], np.uint64)
                 keys = band_keys(h, upto).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(node.view(np.int64)), bands], ["row_key", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), pa.array(node.view(np.int64)), bands], ["row_key", "doc_id", "node", "bands"])
 
-    return docs.select("row_key", "text").mapInArrow(run, "row_key long, node long, bands array<long>")
+    return docs.select("row_key", "doc_id", "text").mapInArrow(run, f"row_key long, doc_id {kind}, node long, bands array<long>")
 
 
 def _shingle_sets(texts: DataFrame, width: int, seed: int) -> DataFrame:
@@ -99,9 +100,9 @@ def checked(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFr
 
 
 def groups(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4, 5), seed: int = 42) -> DataFrame:
-    """row_key, component: texts are in one component if links of the resemblance ``least`` or more connect them.
+    """row_key, doc_id, component: texts are in one component if links of the resemblance ``least`` or more connect them.
 
-    docs: row_key (long, equal for equal rows only), text. Texts with the same set, those without a
+    docs: row_key (long, equal for equal rows only), doc_id (null or repeated ones too), text. Texts with the same set, those without a
     word included, are in one component. Repeated rows keep a row each.
     """
     from folio.llm.dac import shared_folder
@@ -133,4 +134,4 @@ def groups(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4, 5), see
         .join(stars, ["a", "b"], "left_anti")
     )
     labels = connected_components(links.unionByName(checked(rest, sets, least)), "a", "b")
-    return keys.select("row_key", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("row_key", F.coalesce("component", "node").alias("component"))
+    return keys.select("row_key", "doc_id", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("row_key", "doc_id", F.coalesce("component", "node").alias("component"))

@@ -42,3 +42,20 @@ def test_near_copies_just_above_the_threshold_leave(spark):
     assert 30 < len(expected) < len(rows)
     kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(expected)
+
+
+def test_rows_that_share_a_doc_id_or_have_none(spark):
+    rng = random.Random(7)
+    a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a + " tail"), (None, a), (None, c), (None, c), (None, d), (3, d), (None, None), (4, ""), (5, "!")]
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()
+    found = sorted(((r["doc_id"], r["text"]) for r in kept), key=str)
+    assert found == sorted([(1, a), (1, b), (None, c), (3, d), (4, ""), (5, "!")], key=str)
+
+
+def test_a_group_without_a_doc_id_bridges_two(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*words[: 200 - k], *(f"n{i}" for i in range(k))]) for k in (0, 16, 32)]
+    rows = [(1, texts[0]), (None, texts[1]), (2, texts[2])]
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()
+    assert [r["doc_id"] for r in kept] == [1]
