@@ -56,16 +56,17 @@ class FallbackTranslator:
 def plan_segments(blocks: DataFrame, concepts: DataFrame) -> DataFrame:
     """page_id, segment_id, pos, text, section, concept_ids: what is to be translated, with the heading it stands under and the concepts it mentions.
 
-    A mention is the lemma anywhere in the text, ignoring case. Lemmas are met by their first word
-    through a join, since both tables grow.
+    A mention is the lemma anywhere in the text, ignoring case. Lemmas are met by their first three
+    characters (those of one or two by all of them) through a join, since both tables grow.
     """
     from folio.operators.search import section_of
 
     rows = section_of(blocks.where((F.trim("text") != "") & F.col("kind").isin("heading", "paragraph", "list_item", "callout", "caption", "table")), ["pos"])
-    tri = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))
-    low = rows.select("page_id", "block_id", F.lower("text").alias("low")).withColumn("gram", F.explode(F.array_distinct(tri(F.col("low")))))
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    low = rows.select("page_id", "block_id", F.lower("text").alias("low"))
+    low = low.withColumn("gram", F.explode(F.array_distinct(F.concat(*[grams(F.col("low"), n) for n in (1, 2, 3)]))))
     lemmas = concepts.select("concept_id", F.lower("lemma").alias("lemma")).withColumn("gram", F.substring("lemma", 1, 3))
-    found = low.join(lemmas.where(F.length("lemma") >= 3), "gram").where(F.contains("low", "lemma")).groupBy("page_id", "block_id").agg(F.sort_array(F.collect_set("concept_id")).alias("concept_ids"))
+    found = low.join(lemmas, "gram").where(F.contains("low", "lemma")).groupBy("page_id", "block_id").agg(F.sort_array(F.collect_set("concept_id")).alias("concept_ids"))
     out = rows.join(found, ["page_id", "block_id"], "left")
     return out.select("page_id", F.col("block_id").alias("segment_id"), "pos", "text", "section", F.coalesce("concept_ids", F.array().cast("array<string>")).alias("concept_ids"))
 
