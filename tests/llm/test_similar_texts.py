@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from folio.llm import simhash
 from tests.llm.fixtures import documents
 
 
@@ -44,6 +47,22 @@ def test_near_copies_just_above_the_threshold_leave(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted(expected)
 
 
+def test_refuted_links_leave_no_pair_unchecked(spark):
+    """A crowd of texts around the threshold: those that the sets refute stay apart, and all others are joined."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(160)]
+    rows = list(enumerate((" ".join(altered(rng, base, rng.choice((1, 2, 3, 4)))) for _ in range(60)), 1))
+    sets = {i: shingles(t) for i, t in rows}
+    pairs = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    group = {i: i for i in sets}
+    for _ in sets:
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+    found = simhash.similar_texts(documents(spark, rows).withColumn("row_key", F.col("doc_id")), tile=16).collect()
+    of = {r["doc_id"]: r["component"] for r in found}
+    assert len({of[i] for i in of}) == len(set(group.values())) and all(of[i] == of[j] for i, j in pairs)
+
+
 def test_rows_that_share_a_doc_id_or_have_none(spark):
     rng = random.Random(7)
     a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(4))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 import corpus_pipeline
@@ -45,45 +46,63 @@ def brute_components(nodes, edges):
 
 
 def test_simhash_groups(spark):
-    rows = simhash.near_duplicates(clashing(documents(spark))).collect()
+    extra = [(None, "only nameless rows hold this one"), (None, "only nameless rows hold this one")]
+    rows = simhash.near_duplicates(clashing(documents(spark, texts() + extra))).collect()
     fps = defaultdict(list)
-    for i, t in texts():
+    for i, t in texts() + extra:
         fps[brute_fingerprint(t)].append(i)
-    named = [f for f in fps if any(i is not None for i in fps[f])]
-    node = {f: min(i for i in fps[f] if i is not None) for f in named}
-    links = [(node[a], node[b]) for a in named for b in named if a < b and (a ^ b).bit_count() <= 4]
-    comp = brute_components(set(node.values()), links)
-    expected = Counter((i, f"{f:016x}", comp[node[f]] if f in node else None) for f, ids in fps.items() for i in ids)
+    nodes = sorted(fps)
+    comp = brute_components(nodes, [(a, b) for a in nodes for b in nodes if a < b and (a ^ b).bit_count() <= 4])
+    first = {c: min((i for f in nodes if comp[f] == c for i in fps[f] if i is not None), default=None) for c in comp.values()}
+    expected = Counter((i, f"{f:016x}", first[comp[f]]) for f, ids in fps.items() for i in ids)
     assert Counter(map(tuple, rows)) == expected
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
-def test_links_join_all_near_pairs_in_hot_buckets(spark):
+def test_a_fingerprint_of_rows_without_doc_id_bridges_two(spark, monkeypatch):
+    values = {"x": 0, "y": 0b1111, "z": 0b11111111}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: spark.createDataFrame([(1, values["x"]), (None, values["y"]), (2, values["z"])], "doc_id long, fp long"))
+    assert {r["component_id"] for r in simhash.near_duplicates(documents(spark)).collect()} == {1}
+
+
+def as_int(x):
+    return int(np.int64(x).view(np.uint64))
+
+
+@pytest.mark.parametrize("tile", [16, 100_000])
+def test_links_join_all_near_pairs_in_hot_buckets(spark, tile):
     rng = np.random.default_rng(8)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     near = [int(b) ^ sum({1 << int(k) for k in rng.integers(0, 64, int(rng.integers(0, 6)))}) for b in base for _ in range(12)]
     crowd = [int(base[0]) ^ (1 << int(i)) ^ (1 << int(j)) for i in range(24) for j in range(i)]
     fps = np.array(sorted({*map(int, base), *near, *crowd}), np.uint64)
-    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    found = simhash.links(df, tile=16).collect()
-    as_int = lambda x: int(np.int64(x).view(np.uint64))
+    df = spark.createDataFrame([(int(x), int(x)) for x in fps.view(np.int64)], "id long, fp long")
+    found = simhash.links(simhash.met(df, ["fp"], simhash.group_masks(6, 2)), ["fp"], 4, tile=tile).collect()
     assert all((as_int(r["src"]) ^ as_int(r["dst"])).bit_count() <= 4 for r in found)
     nodes = [int(x) for x in fps]
     brute = [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if (a ^ b).bit_count() <= 4]
     assert brute_components(nodes, [(as_int(r["src"]), as_int(r["dst"])) for r in found]) == brute_components(nodes, brute)
 
 
-def test_bucket_links_join_what_tile_links_join():
+@pytest.mark.parametrize("tile", [8, 1000])
+def test_links_across_labels_are_all_pairs(spark, tile):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 3)), k, int(rng.integers(0, 1 << 6)), int(rng.integers(0, 4)), int(rng.integers(1, 30))) for k in range(120)]
+    df = spark.createDataFrame(rows, "bucket long, id long, f0 long, group long, n long").withColumn("f1", F.lit(7).cast("long"))
+    found = simhash.links(df, ["f0", "f1"], 2, "n", (4, 5), "group", tile).collect()
+    fits = lambda m, n: 5 * min(m, n) >= 4 * max(m, n)
+    expected = {(r[0], r[1], s[1]) for r in rows for s in rows if r[1] < s[1] and r[0] == s[0] and r[3] != s[3] and (r[2] ^ s[2]).bit_count() <= 2 and fits(r[4], s[4])}
+    assert {(r["bucket"], min(r["src"], r["dst"]), max(r["src"], r["dst"])) for r in found} == expected and expected
+
+
+def test_tiles_skip_what_their_population_counts_part():
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
-    near = lambda b: int(b) ^ sum({1 << int(k) for k in rng.integers(0, 64, 3)})
-    buckets = [np.array(sorted({near(b) for _ in range(int(n))}), np.uint64) for b, n in zip(base, rng.integers(1, 40, 30), strict=True)] + [np.zeros(0, np.uint64)]
-    src, dst = simhash.bucket_links(buckets, 4)
-    assert (np.bitwise_count(src ^ dst) <= 4).all()
-    nodes = sorted({int(x) for b in buckets for x in b})
-    brute = [(int(x), int(y)) for b in buckets for i, x in enumerate(b) for y in b[i + 1 :] if (int(x) ^ int(y)).bit_count() <= 4]
-    assert brute_components(nodes, zip(src.tolist(), dst.tolist(), strict=True)) == brute_components(nodes, brute)
-    assert len(simhash.bucket_links([], 4)[0]) == 0
+    sparse, dense = (simhash.Tile(rng.choice(1 << k, (300, 1), replace=False).astype(np.uint64) | np.uint64(fill)) for k, fill in ((12, 0), (12, ((1 << 40) - 1) << 20)))
+    assert not list(simhash.tile_links(sparse, dense, 4))
+    looked = []
+    sparse.near = lambda *a: looked.append(a) or simhash.Tile.near(sparse, *a)
+    list(simhash.tile_links(sparse, dense, 4))
+    assert not looked
 
 
 def test_connected_components(spark):
