@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import dac, langid, packing, quality, resemblance, secrets
+from folio.llm import dac, langid, packing, quality, secrets, simhash
 from folio.llm.queries import RANKS, TOKENIZER
 from folio.llm.textarrays import small_batches
 
@@ -37,10 +37,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, resemblance 0.8 or more) stays, the one with the smallest doc_id, a null one last, and row hash."""
+    """One document of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) stays, the one with the smallest doc_id, a null one last, and row hash."""
     small_batches(spark)
     keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row_key"))
-    found = resemblance.groups(keyed, width=5, least=(4, 5))
+    found = simhash.similar_texts(keyed, width=5, least=(4, 5))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
     firsts = found.groupBy("component").agg(first.alias("first")).select("first.row_key")
     return keyed.join(firsts, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
