@@ -31,8 +31,8 @@ from folio.llm.textarrays import TextBatch, _is_sep, mix, slices
 
 #: Fingerprints in a tile at most; a tile pair is one numpy comparison of 4 million pairs.
 TILE = 2048
-#: A broadcast of bucket keys (8 bytes each) is made up to this count, which is looked at first.
-MOST_BROADCAST = 1 << 16
+#: A broadcast of keys (8 bytes each) is made up to this count, which is looked at first.
+MOST_BROADCAST = 1 << 18
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -189,15 +189,23 @@ def _groups_of(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Ite
         yield held
 
 
+def broadcast_if_few(keys: DataFrame) -> DataFrame | None:
+    """keys (a checkpointed column of longs), to be broadcast if there are MOST_BROADCAST of them at most; None if there are none."""
+    n = keys.count()
+    return None if not n else F.broadcast(keys) if n <= MOST_BROADCAST else keys
+
+
 def dealt(rows: DataFrame, fp: list[str], radius: int, tile: int = TILE) -> DataFrame:
     """rows (bucket, fp words, ...) with pair and side, dealt by (bucket, pair) and sorted: a hot bucket's rows once for each pair of tiles they take part in."""
-    hot = rows.groupBy("bucket").agg(F.count("*").alias("total")).where(F.col("total") > tile).select("bucket").checkpoint()
-    n_hot = hot.count()
+    # A 16th of the ids (by a hash) tells hot buckets: one of `tile` rows has tile / 16 of them, and is taken as hot from half of that on.
+    seen = rows.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0) if tile >= 1024 else rows
+    enough = tile / 32 if tile >= 1024 else tile
+    hot = seen.groupBy("bucket").agg(F.count("*").alias("total")).where(F.col("total") > enough).select("bucket").checkpoint()
     placed = {"pair": F.lit(0).cast("long"), "side": F.lit(0)}
-    if not n_hot:
+    few = broadcast_if_few(hot)
+    if few is None:
         out = rows.withColumns(placed)
     else:
-        few = F.broadcast(hot) if n_hot <= MOST_BROADCAST else hot
         ones = sum((F.bit_count(c) for c in fp[1:]), F.bit_count(fp[0]))
         warm = rows.join(few, "bucket", "left_semi").withColumn("ones", ones)
         w = Window.partitionBy("bucket").orderBy("ones")
@@ -399,16 +407,19 @@ def similar_texts(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4,
 
     def verified(pairs: DataFrame) -> DataFrame:
         names = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = docs.join(nodes.join(names, "node").select("node", "row_key"), "row_key").dropDuplicates(["node"])
-        return checked(pairs, _shingle_sets(texts, width, seed), least).checkpoint()
+        wanted = nodes.join(names, "node").select("node", "row_key").checkpoint()
+        few = broadcast_if_few(wanted)
+        if few is None:
+            return pairs.select("a", "b", F.lit(True).alias("similar"))
+        sets = _shingle_sets(docs.join(few, "row_key"), width, seed).dropDuplicates(["node"]).checkpoint()
+        return checked(pairs, sets, least).checkpoint()
 
     found = verified(held.select("a", "b").distinct())
     labels = connected_components(found.where("similar"), "a", "b")
     refuted = found.where("NOT similar").select("a", "b").checkpoint()
     doubted = held.join(refuted, ["a", "b"], "left_semi").select("bucket").distinct().checkpoint()
-    n_doubted = doubted.count()
-    if n_doubted:
-        few = F.broadcast(doubted) if n_doubted <= MOST_BROADCAST else doubted
+    few = broadcast_if_few(doubted)
+    if few is not None:
         again = rows.join(few, "bucket", "left_semi").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         rest = ordered(links(again, words[:COMPARED], near, "n", least, "component", tile)).select("a", "b").distinct().join(refuted, ["a", "b"], "left_anti")
         more = verified(rest.checkpoint()).where("similar")
