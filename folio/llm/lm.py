@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from folio.llm.dac import shared_folder
 from folio.llm.textarrays import TextBatch, mix, slices
 
-#: A block's text: a 48th of the input, between these bounds.
-LEAST_BLOCK, MOST_BLOCK = 1 << 20, 24 << 20
+#: Bytes of text in a block, and bytes of text for each key range; the same at every size of the input.
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 FOLDS = 5
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # keys beside the words' hashes
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -73,10 +73,15 @@ def _bigrams(key: np.ndarray, context: np.ndarray) -> np.ndarray:
     return mix(mix(context * _GOLD) + key)
 
 
+@lru_cache(maxsize=2)
+def _edges(ranges: int) -> np.ndarray:
+    """Where each key range but the first begins."""
+    return np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+
+
 def _share(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Where each key range begins among sorted keys (and the end)."""
-    edges = np.array([min((r << 64) // ranges, (1 << 64) - 1) for r in range(1, ranges)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    return np.concatenate([[0], np.searchsorted(keys, _edges(ranges)), [len(keys)]])
 
 
 def _columns(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -92,19 +97,18 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {_DDL[f.type]}" for f in schema)
 
 
-def blocks(docs: DataFrame, held_out: int, tuned_on: int, block_bytes: int | None = None) -> tuple[DataFrame, int, int]:
+def blocks(docs: DataFrame, tuned_on: int, block_bytes: int, range_bytes: int) -> tuple[DataFrame, int, int]:
     """doc_id, text, fold, block; the number of key ranges; and the number of blocks of the tuning part, which come first.
 
-    A block holds documents of the tuning part only or none of it, about ``block_bytes`` of text (by default a share
-    of the input, so that small inputs are spread over many tasks too).
+    A block holds documents of the tuning part only or none of it, about ``block_bytes`` of text. A key range gets what about
+    ``range_bytes`` of text send.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    block_bytes = block_bytes or min(MOST_BLOCK, max(LEAST_BLOCK, size // 48))
     some = max(1, math.ceil(size / FOLDS / block_bytes))
     rest = max(1, math.ceil(size * (FOLDS - 1) / FOLDS / block_bytes))
     key = F.xxhash64("doc_id", "text")
     block = F.when(F.col("fold") == tuned_on, F.pmod(key, F.lit(some))).otherwise(some + F.pmod(key, F.lit(rest)))
-    return docs.select("doc_id", "text", fold(F.col("doc_id")).alias("fold")).withColumn("block", block), some + rest, some
+    return docs.select("doc_id", "text", fold(F.col("doc_id")).alias("fold")).withColumn("block", block), max(1, math.ceil(size / range_bytes)), some
 
 
 def count_keys(dealt: DataFrame, ranges: int, held_out: int, tuned_on: int) -> DataFrame:
@@ -125,10 +129,9 @@ def count_keys(dealt: DataFrame, ranges: int, held_out: int, tuned_on: int) -> D
                 i = np.searchsorted(found, START)
                 train[i], kept[i] = (n_docs != held_out).sum(), ((n_docs != held_out) & (n_docs != tuned_on)).sum()
             sides.append((found, train, kept, _share(found, ranges)))
-        for r in range(ranges):
+        for r in np.flatnonzero(sum(np.diff(s[3]) for s in sides)).tolist():
             cuts = [(s, s[3][r], s[3][r + 1]) for s in sides]
-            if any(a < b for _, a, b in cuts):
-                out.append((r, block, *(x for s, a, b in cuts for x in (s[0][a:b].tobytes(), _packed(s[1][a:b]), _packed(s[2][a:b])))))
+            out.append((r, block, *(x for s, a, b in cuts for x in (s[0][a:b].tobytes(), _packed(s[1][a:b]), _packed(s[2][a:b])))))
         return _columns(out, _SENT)
 
     def add(table: pa.Table) -> pa.Table:
@@ -221,7 +224,7 @@ def learn_weights(cells: list[tuple[int, int, int, int]], v_all: int, rounds: in
     return weights
 
 
-def score_documents(docs: DataFrame, held_out: int = 1, tuned_on: int = 0, block_bytes: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: int = 1, tuned_on: int = 0, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
     Counts come from all documents whose fold isn't ``held_out``. A null text counts as empty and
@@ -231,7 +234,7 @@ def score_documents(docs: DataFrame, held_out: int = 1, tuned_on: int = 0, block
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    dealt, ranges, tuning_blocks = blocks(docs, held_out, tuned_on, block_bytes)
+    dealt, ranges, tuning_blocks = blocks(docs, tuned_on, block_bytes, range_bytes)
     folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
     count_keys(dealt, ranges, held_out, tuned_on).write.option("compression", "zstd").parquet(folder)
     back = spark.read.parquet(folder)
