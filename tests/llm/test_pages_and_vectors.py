@@ -1,6 +1,9 @@
 """Operators 1 and 2."""
 
+import time
+
 import numpy as np
+import pytest
 
 from folio.llm import ann, html_extract
 from tests.llm.fixtures import clashing
@@ -28,13 +31,62 @@ def test_main_text(spark):
     assert html_extract.main_text(pages.where("false"), html_extract.fit(pages.where("false"))).count() == 0
 
 
+def brute_largest(scores):
+    """The largest sum of any contiguous run."""
+    return max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1)), default=0.0)
+
+
 def test_region_has_the_largest_sum():
-    weights = html_extract.Weights({"nav": (0, 40)})
     rng = np.random.default_rng(0)
-    for _ in range(50):
-        parts = [("<nav>w w w w</nav>" if rng.random() < 0.5 else f"<p>{'w ' * int(rng.integers(1, 6))}</p>") for _ in range(8)]
-        text = html_extract.extract("".join(parts), weights)
-        assert text.split("\n") == [p[3:-4].strip() for p in parts if p.startswith("<p>")] or text.count("w") <= sum(p.count("w") for p in parts)
+    for n in range(60):
+        scores = rng.normal(-0.2, 1.0, int(rng.integers(0, 40))).tolist()
+        start, end = html_extract.largest_sum(scores)
+        assert sum(scores[start:end]) == pytest.approx(brute_largest(scores), abs=1e-12)
+        assert start < end or brute_largest(scores) == 0.0
+
+
+def random_page(rng):
+    kinds = ["<p>{}</p>", "<nav><ul><li><a>{}</a></li></ul></nav>", "<div>{}</div>", "<div class=ad>{}</div>", "<table><tr><td><a>{}</a></td></tr></table>", "<span> {} </span>", "<footer>{}</footer>"]
+    return "".join(kinds[int(rng.integers(0, len(kinds)))].format(" ".join(f"w{rng.integers(0, 99)}" for _ in range(int(rng.integers(1, 9))))) for _ in range(12))
+
+
+def test_the_scan_decides():
+    """The text is that of the run with the largest sum, and differs from all words that score positive on many pages."""
+    rng = np.random.default_rng(1)
+    weights = html_extract.weights_from([])
+    other = 0
+    for _ in range(100):
+        page = random_page(rng)
+        items = list(html_extract.events(page, weights))
+        scores = html_extract.scores_of(items, weights)
+        start, end = html_extract.largest_sum(scores)
+        assert sum(scores[start:end]) == pytest.approx(brute_largest(scores), abs=1e-9)
+        words = lambda run: [w for e in run if e.tag is None and weights.word(e.place) > 0 for w in e.text.split()]
+        assert html_extract.extract(page, weights).split() == words(items[start:end])
+        other += words(items) != words(items[start:end])
+    assert other > 20
+
+
+def test_learned_weights_decide(spark):
+    """Classes that no list has: the table's own pages teach what they hold."""
+    page = lambda k: f"<html><body><div class=qx{k % 3}>" + " ".join(f"menu{i}" for i in range(9)) + f"</div><article><div class=zz>Body of page {k} with some more words</div></article><div class=vv>Other stories of the day</div></body></html>"
+    rows = [(k, f"u{k}", page(k)) for k in range(40)]
+    weights = html_extract.fit(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    unmarked = page(7).replace("<article>", "").replace("</article>", "")
+    assert html_extract.extract(unmarked, weights) == "Body of page 7 with some more words"
+    assert html_extract.extract(unmarked, html_extract.weights_from([])) != "Body of page 7 with some more words"
+
+
+def test_malformed_and_long_pages():
+    weights = html_extract.weights_from([])
+    began = time.process_time()
+    for page in ("</" * 500_000, "<div>" * 20_000, "<b><div>" * 5_000 + "</b>" * 5_000, '<a "' * 50_000, "<script>" * 100_000, "<p><b>" * 10_000):
+        html_extract.extract(page, weights)
+        html_extract.label_counts(page)
+    assert time.process_time() - began < 15
+    nested = "".join(f"<div class=c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}>" for k in range(100)) + "<div class=ad><p>Buy now</p></div><p>Text of the page.</p>"
+    assert html_extract.extract(nested, weights) == "Text of the page."
+    assert html_extract.extract("<article><p>Let <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> be so.</p></article>", weights) == "Let x = 2 be so."
 
 
 def test_neighbours(spark):
@@ -75,7 +127,7 @@ def test_error_bounds_hold():
 
 
 def test_pages_of_other_shapes():
-    weights = html_extract.Weights(html_extract._templates())
+    weights = html_extract.weights_from([])
     text = lambda page: html_extract.extract(page, weights)
     lists = "<ul><li><a>menu1</a></li><li><a>menu2</a></li></ul><h1>Title</h1><p>The text body is here.</p><ul><li>point one</li><li>point two</li></ul><div class='alert alert-info'>We use cookies.</div>"
     assert text(lists) == "Title\nThe text body is here.\npoint one\npoint two"
