@@ -114,9 +114,11 @@ class Reader:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none, as in tests."""
+    """The folder that driver and executors share; made here only in local mode without one, as in tests. A cluster has to name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: driver and executors need a shared folder")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="folio-")

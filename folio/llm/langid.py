@@ -8,6 +8,7 @@ texts. A text's probabilities are the mean over its windows, by their bytes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -139,16 +140,19 @@ def fit(docs: DataFrame, usable: Column, per_language: int = 1200, most_language
     """A network from labelled rows of docs (text, lang, doc_id) for which ``usable`` holds.
 
     The sample is bounded: about ``per_language`` texts of each of the ``most_languages`` most
-    frequent languages, chosen by a hash of doc_id over the whole input, and ``windows_per_text``
-    windows of each, evenly spaced. None: no labelled text.
+    frequent languages (of more languages none can be answered), chosen by a hash of doc_id and text over the whole input, and
+    ``windows_per_text`` windows of each, evenly spaced. Equal rows count once; repeated and null doc_ids are rows like others;
+    null and empty texts teach nothing. At most 1.5 times the wanted texts are taken, whatever the hashes. None: no labelled text.
     """
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
         return None
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.xxhash64("doc_id", "text")
+    unit = F.pmod(drawn, F.lit(1 << 30)) / float(1 << 30)
     part = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, per_language / r["count"]))) for r in counts])
-    rows = labelled.where(unit < part).select("lang", "text")
+    most = math.ceil(1.5 * per_language * len(counts))
+    rows = labelled.where(unit < part).select("lang", "text", drawn.alias("drawn")).dropDuplicates(["drawn"]).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -161,7 +165,7 @@ def fit(docs: DataFrame, usable: Column, per_language: int = 1200, most_language
                 chosen = np.flatnonzero(nth % stride[doc] == 0)
                 yield pa.RecordBatch.from_arrays([b.column("lang").take(pa.array(doc[chosen])), pa.array([w.tobytes() for w in windows[chosen]], pa.binary())], ["lang", "window"])
 
-    sample = rows.mapInArrow(cut, "lang string, window binary").toArrow()
+    sample = rows.mapInArrow(cut, "lang string, window binary").limit(most * windows_per_text).toArrow()
     if not sample.num_rows:
         return None
     pairs = sorted(zip(sample.column("lang").to_pylist(), sample.column("window").to_pylist(), strict=True))  # in whatever order tasks end

@@ -224,15 +224,17 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, least_precision: float
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> DecisionList:
     """A list from the labelled documents (quality 0 is bad), from ``most_rows`` of them at most.
 
-    Which rows those are is decided by a hash of doc_id, so they are spread over the whole input.
-    Labels that are null, and documents that fail the base rules, teach nothing. The labels are small
+    Which rows those are is decided by a hash of doc_id, so they are spread over the whole input; of documents with
+    a repeated doc_id (each takes the label) the first by a hash of the text come, ``most_rows`` in all. Labels that are null or
+    of no doc_id, and documents that fail the base rules, teach nothing. The labels are small
     against the texts: the sample is drawn from them before the texts are read.
     """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by most_rows
     stats = statistics(rows).where(~base_failed())
-    pdf = stats.select("doc_id", "quality", *[share(s).alias(s) for s in SHARES]).toPandas().sort_values("doc_id", kind="stable")
+    drawn = stats.select("doc_id", F.xxhash64("text").alias("drawn"), "quality", *[share(s).alias(s) for s in SHARES])
+    pdf = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "drawn").limit(most_rows).toPandas().sort_values(["doc_id", "drawn"], kind="stable")
     table = {s: pdf[s].to_numpy(float) for s in SHARES}
     return learn(table, pdf["quality"].to_numpy() == 0)
 

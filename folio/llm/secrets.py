@@ -80,7 +80,13 @@ def random_spans(text: str, encoding, most_ratio: float) -> list[tuple[int, int,
 def all_spans(text: str, encoding, most_ratio: float) -> tuple[list, list]:
     """The base spans, and these with the method's own; a random span inside a base span isn't named again."""
     base = base_spans(text)
-    extra = [x for x in random_spans(text, encoding, most_ratio) if not any(s <= x[0] and x[2] <= e for s, _, e in base)]
+    extra, at, reach = [], 0, -1
+    for x in random_spans(text, encoding, most_ratio):  # both in order of their starts: `reach` is the furthest end of a base span that starts no later
+        while at < len(base) and base[at][0] <= x[0]:
+            reach = max(reach, base[at][2])
+            at += 1
+        if x[2] > reach:
+            extra.append(x)
     return base, sorted(base + extra)
 
 

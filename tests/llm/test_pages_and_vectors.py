@@ -118,6 +118,19 @@ def test_neighbours(spark):
     assert ann.search(df.where("false")).count() == 0
 
 
+def test_repeated_vectors(spark):
+    """Equal rows are candidates and queries each; a query leaves out its own row only."""
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 2.0]), (7, [3.0, 1.0]), (7, [3.0, 1.0]), (5, [0.5, -0.0]), (40, [1.0, 1.0])]
+    for kind in ("float", "double"):
+        found = ann.search(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), k=4).collect()
+        expected = []
+        for n, (q, x) in enumerate(rows):
+            if q % 20 == 0:
+                others = sorted((-(x[0] * y[0] + x[1] * y[1]), i) for m, (i, y) in enumerate(rows) if m != n)[:4]
+                expected += [(q, rank, i, -score + 0.0) for rank, (score, i) in enumerate(others, 1)]
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"] + 0.0) for r in found) == sorted(expected)
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(9)
     v, q = rng.normal(size=(500, 100)), rng.normal(size=(20, 100))

@@ -250,3 +250,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept) == {*range(1, 30), 45} and "s3cretvalue" not in kept[45]
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.collect()} == set(kept)
+
+
+def test_fits_take_repeated_and_null_ids(spark):
+    """A doc_id that many rows hold, or none, is neither left out whole nor taken whole."""
+    rng = np.random.default_rng(6)
+    en, de = ("the and of with house river".split(), "der und ein mit haus fluss".split())
+    text = lambda words: " ".join(rng.choice(words, 60))
+    rows = [(i, text(w), lang, "s", 1) for w, lang in ((en, "en"), (de, "de")) for i in [None] * 60 + [3] * 60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    net = langid.fit(docs, F.lit(True), per_language=40, steps=60)
+    assert net is not None and net.languages == ["de", "en"]
+    drawn = []
+    labels = spark.createDataFrame([(3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    original = quality.learn
+    try:
+        quality.learn = lambda table, bad, **_: drawn.append(len(bad)) or original(table, bad)
+        quality.fit(docs, labels, most_rows=25)
+    finally:
+        quality.learn = original
+    assert drawn == [25]
+
+
+def test_spans_inside_of_base_spans_are_named_once():
+    class Short:
+        encode_ordinary = staticmethod(lambda part: part)
+
+    text = " ".join(f"secret = {k:08x}qwertyuiopasdfghjklz and {k:08x}zxcvbnmasdfghjklqwert" for k in range(200))
+    base, spans = secrets.all_spans(text, Short, 2.0)
+    extra = [x for x in secrets.random_spans(text, Short, 2.0) if not any(s <= x[0] and x[2] <= e for s, _, e in base)]
+    assert spans == sorted(base + extra) and len(extra) == 200
