@@ -216,6 +216,73 @@ def test_language_model(spark):
     assert lm.score_documents(documents(spark, [])).count() == 0
 
 
+def test_interpolated_scores_against_brute_force(spark):
+    """Counts, held-out cells, expectation-maximisation and mixing in plain Python."""
+    remainder = lambda i: zlib.crc32(str(i).encode()) % 5
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(rng.choice(words[: 5 + i % 55], int(rng.integers(0, 40))))) for i in range(200)]
+
+    def counts(folds):
+        one, two, context = Counter(), Counter(), Counter()
+        for i, t in rows:
+            if remainder(i) in folds:
+                tokens = [*t.split(), "</s>"]
+                one.update(tokens)
+                two.update(zip(["<s>", *tokens], tokens))
+                context["<s>"] += 1
+        return one, two, Counter(one) + context
+
+    bucket = lambda c: c.bit_length()  # noqa: E731  0 for none, else 1 + the whole logarithm
+    half_octave = lambda p: 0 if p <= 0 else min(99, max(1, round(99 + 2 * math.log2(p))))
+
+    def parts(context, token, one, two, before):
+        return (two[context, token] / before[context] if before[context] else 0.0), one[token] / sum(one.values())
+
+    kept = counts({2, 3, 4})
+    cells = defaultdict(Counter)
+    for i, t in rows:
+        if remainder(i) == 0:
+            tokens = [*t.split(), "</s>"]
+            for c, w in zip(["<s>", *tokens], tokens):
+                p2, p1 = parts(c, w, *kept)
+                cells[bucket(kept[2][c])][half_octave(p2), half_octave(p1)] += 1
+    value = lambda c: 2.0 ** ((c - 99) / 2) if c else 0.0
+    uniform = 1 / (len(kept[0]) + 1)
+    weights = {}
+    for b, found in cells.items():
+        w = [0.0, 0.5, 0.5] if b == 0 else [1 / 3] * 3
+        for _ in range(60):
+            got = [0.0, 0.0, 0.0]
+            for (c2, c1), n in found.items():
+                share = [w[0] * value(c2), w[1] * value(c1), w[2] * uniform]
+                got = [g + n * x / sum(share) for g, x in zip(got, share)]
+            w = [g / sum(got) for g in got]
+        w = [max(x, 0.0 if b == 0 and k == 0 else 1e-6) for k, x in enumerate(w)]
+        weights[b] = [x / sum(w) for x in w]
+
+    def weight(b):
+        if b not in weights:
+            b = max((x for x in weights if x < b), default=min(weights))
+        w = weights[b]
+        return [0.0, w[1] + w[0] / 2, w[2] + w[0] / 2] if b == 0 else w
+
+    train = counts({0, 2, 3, 4})
+    expected = {}
+    for i, t in rows:
+        tokens = [*t.split(), "</s>"]
+        total = 0.0
+        for c, w in zip(["<s>", *tokens], tokens):
+            p2, p1 = parts(c, w, *train)
+            a = weight(bucket(train[2][c]))
+            total += math.log10(a[0] * p2 + a[1] * p1 + a[2] / (len(train[0]) + 1))
+        expected[i] = total
+    found = lm.score_documents(documents(spark, rows), block_bytes=1500, range_bytes=4000).collect()
+    assert {r["doc_id"]: r["score"] for r in found} == pytest.approx(expected, rel=1e-6)
+    held = [r for r in found if r["held_out"] and r["n_tokens"] > 5]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
 def test_mixture_probabilities_sum_to_one():
     cells = [(0, 0, 80, 5), (1, 90, 80, 7), (3, 95, 70, 9), (3, 0, 60, 2)]
     weights = lm.learn_weights(cells, 1000)
