@@ -31,6 +31,8 @@ from folio.llm.textarrays import TextBatch, _is_sep, mix, slices
 
 #: Fingerprints in a tile at most; a tile pair is one numpy comparison of 4 million pairs.
 TILE = 2048
+#: Bytes of text that are cut into shingles at once; the places and hashes of its words take some 50 times as much.
+SLICE = 1 << 19
 #: A broadcast of keys (8 bytes each) is made up to this count, which is looked at first.
 MOST_BROADCAST = 1 << 18
 _GOLD = 0x9E3779B97F4A7C15
@@ -84,7 +86,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 fp = fingerprints_of(*shingle_hashes(TextBatch.of(batch.column("text")), width, seed))[:, 0]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
@@ -336,7 +338,7 @@ def wide_fingerprints(docs: DataFrame, width: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 h, upto = _sets(*shingle_hashes(TextBatch.of(batch.column("text")), width, seed))
                 raw, at = h.tobytes(), (8 * upto).tolist()
                 node = np.array([xxhash.xxh64_intdigest(raw[a:b], seed) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64)
@@ -352,7 +354,7 @@ def _shingle_sets(texts: DataFrame, width: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 h, upto = _sets(*shingle_hashes(TextBatch.of(batch.column("text")), width, seed))
                 raw, at = h.tobytes(), (8 * upto).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "shingles"])

@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 SLICE_BYTES = 2 << 20
 
 #: Rows of an Arrow batch for tables of texts, so that JVM and worker hold some megabytes of them at a time.
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 2 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -138,5 +138,6 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to BATCH_ROWS rows; for applications over tables of texts."""
+    """Sets the session's Arrow batches to BATCH_ROWS rows and about BATCH_BYTES; for applications over tables of texts, where long ones would add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
