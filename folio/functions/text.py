@@ -42,8 +42,8 @@ def strip_controls(text: Column) -> Column:
 
 
 def dehyphenate(text: Column) -> Column:
-    """Joins a word cut at a line's end (``exam- ple``); after a compound prefix the hyphen stays (``self- made``)."""
-    kept = F.regexp_replace(text, rf"(?i)(?<![a-z])({'|'.join(COMPOUND_PREFIXES)})- (?=[a-z])", "$1-\u0001")
+    """Joins a word cut at a line's end (``exam- ple``); after a compound prefix, in any case, the hyphen stays (``self- made``). The next letter must be a small one."""
+    kept = F.regexp_replace(text, rf"(?<![a-zA-Z])(?<![a-zA-Z]- )((?i:{'|'.join(COMPOUND_PREFIXES)}))- ([a-z])", "$1-$2\u0001")
     return F.regexp_replace(F.regexp_replace(kept, "([a-zA-Z])- ([a-z])", "$1$2"), "\u0001", "")
 
 
@@ -83,8 +83,8 @@ def is_garbage_title(text: Column) -> Column:
 
 
 def is_garbled(text: Column, least: float = 0.3) -> Column:
-    """Letters and digits are under a share of the characters (spaces left out, two at least)."""
-    dense = F.regexp_replace(text, r"\s+", "")
+    """Letters and digits are under a share of the characters (spaces, but no other white space, left out; two at least)."""
+    dense = F.replace(text, F.lit(" "), F.lit(""))
     return (F.length(dense) >= 2) & (F.length(F.regexp_replace(dense, r"[^\p{L}\p{N}]", "")) < least * F.length(dense))
 
 

@@ -45,3 +45,9 @@ def nearest_lines(symbols: DataFrame, lines: DataFrame, tolerance: float = 6.0,
     rows = symbols.join(best, ["page_id", "symbol_id"], "left")
     anchor = F.when(F.col("b").isNull(), "page").when(F.col("b.d") <= tolerance, "inline").when(F.col("b.d") <= near_text, "near_text").otherwise("block")
     return rows.withColumn("line", F.col("b.line")).withColumn("anchor", anchor).drop("b")
+
+
+def symbol_refs(placed: DataFrame) -> DataFrame:
+    """page_id, symbol_id, instance_id, anchor_kind, evidence_id, confidence of placed symbols (nearest_lines): the line is the evidence of those in or near text."""
+    near = F.col("anchor").isin("inline", "near_text")
+    return placed.select("page_id", "symbol_id", "instance_id", F.col("anchor").alias("anchor_kind"), F.when(near, F.format_string("%s.l%03d", "page_id", "line")).alias("evidence_id"), F.col("score").alias("confidence"))

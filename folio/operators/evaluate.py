@@ -86,3 +86,45 @@ def ladder(checkpoints: DataFrame) -> DataFrame:
     w = Window.partitionBy("ladder").orderBy("order")
     rows = checkpoints.withColumn("frontier", F.min(F.col("passed").cast("int")).over(w) == 1)
     return rows.withColumn("first_failure", F.min(F.when(~F.col("passed"), F.col("order"))).over(Window.partitionBy("ladder")))
+
+
+def symbol_count(specs: DataFrame, icons: DataFrame) -> DataFrame:
+    """Number of a page's icons (page_id, a row each) against the specification (page_id, symbol_count)."""
+    n = icons.groupBy("page_id").agg(F.count("*").alias("n"))
+    rows = specs.join(n, "page_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.select("page_id", F.lit("symbol_count").alias("metric"), F.col("n").cast("double").alias("value"), (F.col("n") == F.col("symbol_count")).alias("passed"))
+
+
+def reading_order(specs: DataFrame, orders: DataFrame) -> DataFrame:
+    """Positions of the reading order (page_id, reading_order) that agree with the specification's, over the longer one; passed if all do."""
+    none = F.array().cast("array<string>")
+    rows = specs.select("page_id", F.coalesce("reading_order", none).alias("want")).join(orders.select("page_id", F.coalesce("reading_order", none).alias("have")), "page_id", "left")
+    value = order_accuracy(F.col("want"), F.coalesce("have", none))
+    return rows.select("page_id", F.lit("reading_order").alias("metric"), value.alias("value"), (value == 1.0).alias("passed"))
+
+
+def default_metrics(specs: DataFrame, blocks: DataFrame, icons: DataFrame, orders: DataFrame) -> DataFrame:
+    """All metrics of pages: page_id, metric, value, passed."""
+    return block_count(specs, blocks).unionByName(symbol_count(specs, icons)).unionByName(type_coverage(specs, blocks)).unionByName(reading_order(specs, orders))
+
+
+def checkpoint_results(checkpoints: DataFrame, metrics: DataFrame, documents: DataFrame) -> DataFrame:
+    """checkpoints (ladder, order, golden_set) with passed, skipped and detail: the failed metrics by page of each golden set (documents: golden_set, page_id; metrics of pages).
+
+    A golden set without pages is skipped, and has not passed.
+    """
+    failed = metrics.where(~F.col("passed")).groupBy("page_id").agg(F.concat_ws(", ", F.array_sort(F.collect_set("metric"))).alias("failed"))
+    rows = documents.join(failed, "page_id", "left")
+    line = F.struct("page_id", F.concat_ws(": ", "page_id", "failed").alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("failed").isNotNull(), line))), lambda x: x["line"])
+    sets = rows.groupBy("golden_set").agg((F.count("failed") == 0).alias("passed"), F.concat_ws("; ", lines).alias("detail"))
+    out = checkpoints.join(sets, "golden_set", "left").withColumn("skipped", F.col("passed").isNull())
+    return out.select("ladder", "order", "golden_set", F.coalesce("passed", F.lit(False)).alias("passed"), "skipped", F.coalesce("detail", F.lit("golden set not found")).alias("detail"))
+
+
+def regressions(results: DataFrame, baseline: DataFrame) -> DataFrame:
+    """results (ladder, order, passed) with frontier, the first that failed, and regression: failed now, and passed in the baseline."""
+    first = F.min(F.when(~F.col("passed"), F.col("order"))).over(Window.partitionBy("ladder"))
+    before = baseline.where("passed").select("ladder", "order", F.lit(True).alias("had")).distinct()
+    rows = results.withColumn("frontier", F.coalesce(F.col("order") == first, F.lit(False))).join(before, ["ladder", "order"], "left")
+    return rows.withColumn("regression", ~F.col("passed") & F.coalesce("had", F.lit(False))).drop("had")

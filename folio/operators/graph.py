@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """The session's shared checkpoint folder; one is made here only where none is set, as in tests."""
+    """The session's shared checkpoint folder; one is made here only in local mode without one, as in tests. A cluster has to name one."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: driver and executors need a shared folder")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folio-"))
 
 

@@ -290,3 +290,85 @@ def suppress_overlaps(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
         return pdf.loc[[k.Index for k in kept]]
 
     return boxes.groupBy("page_id").applyInPandas(keep, boxes.schema)
+
+
+def drop_in_figure_areas(assigned: DataFrame, areas: DataFrame) -> DataFrame:
+    """Blocks (with region_id) without the paragraphs and headings that stand in a figure's area: labels and photographed text."""
+    figure = areas.where("kind = 'figure_area'").select("page_id", "region_id").distinct().withColumn("in_figure", F.lit(True))
+    rows = assigned.join(figure, ["page_id", "region_id"], "left")
+    return rows.where(~(F.col("kind").isin("paragraph", "heading") & F.coalesce("in_figure", F.lit(False)))).select(*assigned.columns)
+
+
+def spans_on_images(spans: DataFrame, images: DataFrame, most_chars: int = 5, tolerance: float = 2.0) -> DataFrame:
+    """page_id, span_id of short spans (five characters at most) that lie within an image: numbers and labels of a drawing."""
+    short = spans.where(F.length(F.trim("text")) <= most_chars)
+    boxes = images.select("page_id", *[F.col(c).alias(f"i_{c}") for c in ("x0", "y0", "x1", "y1")])
+    return short.join(boxes, "page_id").where(G.contains("i_", "", tolerance)).select("page_id", "span_id").distinct()
+
+
+def images_over_text(images: DataFrame, spans: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """page_id, image_id of images whose box, widened by the tolerance, overlaps a span's."""
+    boxes = spans.select("page_id", *[F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")])
+    meets = (F.col("x0") < F.col("s_x1") + tolerance) & (F.col("x1") > F.col("s_x0") - tolerance) & (F.col("y0") < F.col("s_y1") + tolerance) & (F.col("y1") > F.col("s_y0") - tolerance)
+    return images.join(boxes, "page_id").where(meets).select("page_id", "image_id").distinct()
+
+
+def lines_in_tables(lined: DataFrame, areas: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """page_id, line, table: the first table area (by ordinal) that holds the centres of more than half of a line's spans."""
+    size = lined.groupBy("page_id", "line").agg(F.count("*").alias("n"))
+    boxes = areas.select("page_id", "ordinal", *[F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")])
+    cx, cy = G.centre_x(), G.centre_y()
+    inside = lined.join(boxes, "page_id").where(cx.between(F.col("t_x0") - tolerance, F.col("t_x1") + tolerance) & cy.between(F.col("t_y0") - tolerance, F.col("t_y1") + tolerance))
+    hits = inside.groupBy("page_id", "line", "ordinal").agg(F.count("*").alias("hit")).join(size, ["page_id", "line"]).where("2 * hit > n")
+    return hits.groupBy("page_id", "line").agg(F.min("ordinal").alias("table"))
+
+
+def region_edges(assigned: DataFrame) -> DataFrame:
+    """page_id, edge_kind, source_id, target_id: an edge from each block to its region."""
+    return assigned.where(F.coalesce("region_id", F.lit("")) != "").select("page_id", F.lit("block_to_region").alias("edge_kind"), F.col("block_id").alias("source_id"), F.col("region_id").alias("target_id"))
+
+
+def in_region_order(assigned: DataFrame, areas: DataFrame, main_flow: DataFrame) -> DataFrame:
+    """Blocks (with region_id) with nth, from 1: by their region's place in the main flow (page_id, region_id, position), then y0, then pos.
+
+    Regions beside the flow take the place of the main region whose vertical centre is nearest (the first by ordinal on ties); blocks in no region come last.
+    """
+    centre = areas.select("page_id", "region_id", "ordinal", G.centre_y().alias("cy")).join(main_flow.select("page_id", "region_id", "position"), ["page_id", "region_id"], "left")
+    main = centre.where("position IS NOT NULL").select("page_id", F.col("cy").alias("m_cy"), F.col("ordinal").alias("m_ordinal"), F.col("position").alias("m_position"))
+    nearest = F.min_by("m_position", F.struct(F.abs(F.col("cy") - F.col("m_cy")), "m_ordinal"))
+    aside = centre.where("position IS NULL").join(main, "page_id").groupBy("page_id", "region_id").agg(nearest.alias("position"))
+    places = centre.where("position IS NOT NULL").select("page_id", "region_id", "position").unionByName(aside)
+    rows = assigned.join(places, ["page_id", "region_id"], "left")
+    order = Window.partitionBy("page_id").orderBy(F.coalesce("position", F.lit(2**31 - 1)), F.coalesce("y0", F.lit(0.0)), "pos")
+    return rows.withColumn("nth", F.row_number().over(order)).select(*assigned.columns, "nth")
+
+
+def resolve_semantics(blocks: DataFrame, areas: DataFrame, candidates: DataFrame, cfg: LayoutConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Blocks (page_id, block_id, pos, kind, region_id, text) as their regions make them, and the edges that this finds.
+
+    In order: regions are assigned, paragraphs under figures become captions, text in figures' areas and clusters of short headings go, blocks of a
+    callout's area are joined, blocks within sure tables become tables, and each block is tied to its region.
+    """
+    from folio.operators import structure
+
+    rows = assign_to_regions(blocks, areas)
+    found = captions(rows, cfg)
+    rows = rows.join(found.select("page_id", F.col("caption_id").alias("block_id"), F.lit(True).alias("is_caption")), ["page_id", "block_id"], "left")
+    rows = rows.withColumn("kind", F.when(F.col("is_caption"), "caption").otherwise(F.col("kind"))).drop("is_caption")
+    rows = structure.drop_heading_clusters(drop_in_figure_areas(rows, areas))
+    kinds = areas.select("page_id", "region_id", F.col("kind").alias("region_kind"))
+    boxes = rows.select("page_id", "block_id", "x0", "y0", "x1", "y1")
+    joined = structure.promote_callouts(rows.join(kinds, ["page_id", "region_id"], "left"))
+    joined = joined.withColumnRenamed("region_id", "callout_id").join(rows.select("page_id", "block_id", "region_id"), ["page_id", "block_id"], "left")
+    in_table = tables(boxes.join(joined.where("kind <> 'callout'").select("page_id", "block_id"), ["page_id", "block_id"]), candidates, cfg)
+    joined = joined.join(in_table, ["page_id", "block_id"], "left")
+    out = joined.select("page_id", "block_id", "pos", F.when(F.col("evidence_id").isNotNull(), "table").otherwise(F.col("kind")).alias("kind"), F.coalesce("callout_id", "region_id").alias("region_id"), "text")
+    edge = lambda df, kind, source, target: df.select("page_id", F.lit(kind).alias("edge_kind"), F.col(source).alias("source_id"), F.col(target).alias("target_id"))
+    edges = edge(found, "caption", "caption_id", "figure_id").unionByName(edge(in_table, "table", "block_id", "evidence_id")).unionByName(region_edges(out))
+    return out, edges
+
+
+def classification_confidence(blocks: DataFrame) -> DataFrame:
+    """page_id, confidence: 0.7 and 0.3 times the share of blocks that are more than paragraphs."""
+    share = F.avg((F.col("kind") != "paragraph").cast("double"))
+    return blocks.groupBy("page_id").agg(F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.lit(0.7) + share * 0.3)).alias("confidence"))

@@ -75,7 +75,7 @@ def figure_urls(pages: DataFrame, prefix: str) -> DataFrame:
 
 
 # An annotation's kind and priority by its block's kind; others are body with 20.
-ANNOTATION_KINDS = {"heading": ("heading", 100), "callout": ("callout", 80), "caption": ("caption", 60), "paragraph": ("body", 40), "list_item": ("body", 40), "list": ("body", 40), "table": ("table", 30), "figure": ("figure", 10)}
+ANNOTATION_KINDS = {"heading": ("title", 100), "callout": ("callout", 80), "caption": ("caption", 60), "paragraph": ("body", 40), "list_item": ("body", 40), "list": ("body", 40), "table": ("body", 30), "figure": ("label", 10)}
 
 
 def annotation_candidates(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -103,3 +103,34 @@ def annotations(candidates: DataFrame, most: int = 25, box: float = 0.10, total:
     rows = rows.withColumn("nth", F.row_number().over(w.orderBy(F.desc("priority"), "annotation_id"))).where(F.col("nth") <= most)
     rows = rows.withColumn("covered", F.sum(G.area()).over(w)).where((F.col("covered") <= total) & (F.col("share") >= 1 - drop))
     return rows.select(*candidates.columns)
+
+
+def unresolved_figures(blocks: DataFrame, figures: DataFrame) -> DataFrame:
+    """page_id, block_id, asset_id of figures (page_id, block_id, kind, asset_id) whose asset isn't among the page's figures (page_id, asset_id)."""
+    shown = blocks.where((F.col("kind") == "figure") & (F.coalesce("asset_id", F.lit("")) != ""))
+    return shown.join(figures.select("page_id", "asset_id"), ["page_id", "asset_id"], "left_anti").select("page_id", "block_id", "asset_id")
+
+
+def facsimile_urls(pages: DataFrame, prefix: str) -> DataFrame:
+    """pages with the references of their rasters map under a prefix; absolute ones stay."""
+    return pages.withColumn("rasters", F.transform_values("rasters", lambda _, v: F.when(v.startswith("/") | v.rlike("^[a-z]+://"), v).otherwise(F.concat(F.lit(prefix), v))))
+
+
+def raster_copies(pages: DataFrame, folder: str) -> DataFrame:
+    """page_id, dpi, source, target of the files that a release copies: {folder}/{page}__{dpi}dpi.png."""
+    rows = pages.select("page_id", F.explode("rasters").alias("dpi", "source"))
+    return rows.withColumn("target", F.format_string(f"{folder}/%s__%sdpi.png", "page_id", "dpi"))
+
+
+def glossary_export(concepts: DataFrame, references: DataFrame) -> DataFrame:
+    """concept_id, term, source_term, n_pages, first_page of the glossary that readers get; concepts without a page too."""
+    pages = references.groupBy("concept_id").agg(F.count_distinct("page_id").alias("n_pages"), F.min("page_id").alias("first_page"))
+    rows = concepts.select("concept_id", F.col("target_lemma").alias("term"), F.col("lemma").alias("source_term")).join(pages, "concept_id", "left")
+    return rows.na.fill(0, ["n_pages"])
+
+
+def bundle_manifest(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """kind, key, ref, sha256: the rows of a release: each page's document, and each raster (page_id, rasters); a reference without a file (ref, sha256) has no digest."""
+    documents = pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("key"), F.concat(F.lit("pages/"), "page_id", F.lit(".json")).alias("ref"))
+    rasters = flat_rasters(pages).select(F.lit("raster").alias("kind"), "key", "ref")
+    return documents.unionByName(rasters).join(files.select("ref", "sha256"), "ref", "left").select("kind", "key", "ref", "sha256")

@@ -22,45 +22,81 @@ def _finding(df: DataFrame, layer: str, severity: str, code: str, detail: Column
     return df.select(F.lit(layer).alias("layer"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), "page_id", F.col("block_id").alias("entity_ref"), detail.cast("string").alias("detail"))
 
 
+#: A rule on one block: the code of its finding, and a column with the finding's detail, null where the block is good.
+RowRule = Callable[[DataFrame], Column]
+_GRADES = {
+    "PARAGRAPH_TOO_LONG": ("structure", "warning"),
+    "UNTRANSLATED_TEXT": ("terminology", "error"),
+    "DEAD_PAGE_REF": ("render", "warning"),
+    "LEAKED_TECHNICAL_ID": ("render", "error"),
+    "DECORATIVE_ICON_LEAKED": ("render", "warning"),
+    "GLUED_TEXT": ("extraction", "warning"),
+}
+
+
+def _paragraph_length(blocks: DataFrame, most: int = 1000) -> Column:
+    return F.when((F.col("kind") == "paragraph") & (F.length("text") > most), F.length("text"))
+
+
+def _untranslated(blocks: DataFrame, least_chars: int = 20, tenths: int = 5) -> Column:
+    latin = T.count_matches(F.col("text"), "[a-zA-Z]")
+    open_to = ~F.col("kind").isin("divider", "unknown")
+    if "translatable" in blocks.columns:
+        open_to &= F.coalesce("translatable", F.lit(True))
+    return F.when(open_to & (F.length("text") >= least_chars) & (10 * latin > tenths * F.length("text")), latin)
+
+
+def _leaked_identifiers(blocks: DataFrame) -> Column:
+    return F.when(F.col("kind") != "divider", T.leaked_identifier(F.col("text")))
+
+
+def row_findings(blocks: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Findings of rules on single blocks, in one pass: each text is read once, whatever the number of rules."""
+    one = lambda code, detail: F.when(detail.isNotNull(), F.struct(*[F.lit(x).alias(n) for x, n in zip((*_GRADES[code], code), ("layer", "severity", "code"), strict=True)], detail.cast("string").alias("detail")))
+    rows = blocks.select("page_id", F.col("block_id").alias("entity_ref"), F.explode(F.array_compact(F.array(*[one(c, d) for c, d in rules.items()]))).alias("f"))
+    return rows.select("f.layer", "f.severity", "f.code", "page_id", "entity_ref", "f.detail")
+
+
 def paragraph_length(blocks: DataFrame, most: int = 1000) -> DataFrame:
     """Paragraphs with more than ``most`` characters."""
-    hit = blocks.where((F.col("kind") == "paragraph") & (F.length("text") > most))
-    return _finding(hit, "structure", "warning", "PARAGRAPH_TOO_LONG", F.length("text"))
+    return row_findings(blocks, {"PARAGRAPH_TOO_LONG": _paragraph_length(blocks, most)})
 
 
 def untranslated(blocks: DataFrame, least_chars: int = 20, tenths: int = 5) -> DataFrame:
-    """Blocks of 20 characters at least that are Latin letters for more than tenths/10."""
-    latin = T.count_matches(F.col("text"), "[a-zA-Z]")
-    hit = blocks.where((F.length("text") >= least_chars) & (10 * latin > tenths * F.length("text")))
-    return _finding(hit, "terminology", "error", "UNTRANSLATED_TEXT", latin)
+    """Blocks of 20 characters at least that are Latin letters for more than tenths/10; dividers, unknown blocks and those not to be translated (column translatable, if there is one) are left out."""
+    return row_findings(blocks, {"UNTRANSLATED_TEXT": _untranslated(blocks, least_chars, tenths)})
 
 
 def dead_page_refs(blocks: DataFrame) -> DataFrame:
-    reference = T.page_reference(F.col("text"))
-    return _finding(blocks.where(reference.isNotNull()), "render", "warning", "DEAD_PAGE_REF", reference)
+    return row_findings(blocks, {"DEAD_PAGE_REF": T.page_reference(F.col("text"))})
 
 
-def leaked_identifiers(blocks: DataFrame) -> DataFrame:
-    found = T.leaked_identifier(F.col("text"))
-    return _finding(blocks.where(found.isNotNull()), "render", "error", "LEAKED_TECHNICAL_ID", found)
+def leaked_identifiers(blocks: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """Blocks, but for dividers, and titles of pages (page_id, title) that hold a technical identifier."""
+    found = row_findings(blocks, {"LEAKED_TECHNICAL_ID": _leaked_identifiers(blocks)})
+    if titles is None:
+        return found
+    heads = titles.select("page_id", F.lit("page.title").alias("block_id"), F.col("title").alias("text"))
+    return row_findings(heads, {"LEAKED_TECHNICAL_ID": T.leaked_identifier(F.col("text"))}).unionByName(found)
 
 
 def decorative_icons(blocks: DataFrame) -> DataFrame:
-    reason = T.first_reason(F.col("text"), T.DECORATIVE)
-    return _finding(blocks.where(reason.isNotNull()), "render", "warning", "DECORATIVE_ICON_LEAKED", reason)
+    return row_findings(blocks, {"DECORATIVE_ICON_LEAKED": T.first_reason(F.col("text"), T.DECORATIVE)})
 
 
 def glued_text(blocks: DataFrame, rules: tuple[tuple[str, str], ...] = T.GLUED) -> DataFrame:
-    reason = T.first_reason(F.col("text"), rules)
-    return _finding(blocks.where(reason.isNotNull()), "extraction", "warning", "GLUED_TEXT", reason)
+    return row_findings(blocks, {"GLUED_TEXT": T.first_reason(F.col("text"), rules)})
 
 
 def duplicate_content(blocks: DataFrame, tenths: int = 9) -> DataFrame:
-    """Blocks whose word set is more than tenths/10 alike that of the block before on the page; dividers are skipped, empty texts never match."""
+    """Blocks whose word set is more than tenths/10 alike that of the block before on the page; dividers are skipped, empty texts never match.
+
+    The shuffle carries the texts; word sets are made after it.
+    """
     w = Window.partitionBy("page_id").orderBy("pos")
-    rows = blocks.where(F.col("kind") != "divider").withColumn("words", T.word_set(F.col("text")))
-    rows = rows.select("page_id", "block_id", "text", "words", F.lag("words").over(w).alias("before"), F.lag("text").over(w).alias("text_before"), F.lag("block_id").over(w).alias("block_before"))
-    hit = rows.where((F.col("text_before") != "") & (F.col("text") != "") & T.jaccard_over(F.col("before"), F.col("words"), tenths))
+    rows = blocks.where(F.col("kind") != "divider")
+    rows = rows.select("page_id", "block_id", "text", F.lag("text").over(w).alias("text_before"), F.lag("block_id").over(w).alias("block_before"))
+    hit = rows.where((F.col("text_before") != "") & (F.col("text") != "") & T.jaccard_over(T.word_set(F.col("text_before")), T.word_set(F.col("text")), tenths))
     return _finding(hit, "structure", "warning", "DUPLICATE_CONTENT", F.col("block_before"))
 
 
@@ -80,11 +116,25 @@ def icon_count(source: DataFrame, target: DataFrame, rendered: DataFrame | None
 RULES: tuple[Callable[[DataFrame], DataFrame], ...] = (paragraph_length, untranslated, dead_page_refs, leaked_identifiers, decorative_icons, glued_text, duplicate_content)
 
 
+#: The rules on single blocks, as columns.
+_ROW_RULES: dict[Callable[[DataFrame], DataFrame], tuple[str, RowRule]] = {
+    paragraph_length: ("PARAGRAPH_TOO_LONG", _paragraph_length),
+    untranslated: ("UNTRANSLATED_TEXT", _untranslated),
+    dead_page_refs: ("DEAD_PAGE_REF", lambda _: T.page_reference(F.col("text"))),
+    leaked_identifiers: ("LEAKED_TECHNICAL_ID", _leaked_identifiers),
+    decorative_icons: ("DECORATIVE_ICON_LEAKED", lambda _: T.first_reason(F.col("text"), T.DECORATIVE)),
+    glued_text: ("GLUED_TEXT", lambda _: T.first_reason(F.col("text"), T.GLUED)),
+}
+
+
 def run_rules(blocks: DataFrame, rules: tuple[Callable[[DataFrame], DataFrame], ...] = RULES) -> DataFrame:
-    """All findings; the rules read the same scan, and none needs another's result."""
-    out = rules[0](blocks)
-    for rule in rules[1:]:
-        out = out.unionByName(rule(blocks))
+    """All findings. Rules on single blocks are one pass over the texts; each rule on neighbours is a branch of its own."""
+    single = dict(_ROW_RULES[r] for r in rules if r in _ROW_RULES)
+    parts = [row_findings(blocks, {code: rule(blocks) for code, rule in single.items()})] if single else []
+    parts += [r(blocks) for r in rules if r not in _ROW_RULES]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

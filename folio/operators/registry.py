@@ -53,9 +53,9 @@ def passing_streaks(events: DataFrame) -> DataFrame:
 
 
 def run_manifest(events: DataFrame) -> DataFrame:
-    """run_id and its events as an ordered array."""
-    items = F.struct("finished_at", "event_id", "stage_name", "status")
-    return events.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(items)), lambda e: F.concat_ws(":", e["stage_name"], e["status"])).alias("stages"))
+    """run_id, nth, stage: a run's events in order, a row each, so that a long run is no large cell."""
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("finished_at", "event_id"))
+    return events.select("run_id", nth.alias("nth"), F.concat_ws(":", "stage_name", "status").alias("stage"))
 
 
 def first_result(events: DataFrame, stage: str) -> DataFrame:
@@ -69,3 +69,11 @@ def nearest_raster(rasters: DataFrame, target_dpi: int) -> DataFrame:
     rank = F.struct(F.coalesce(F.abs(F.col("dpi") - target_dpi), F.lit(2**31 - 1)).alias("d"), F.col("dpi"), F.col("path"))
     best = rasters.groupBy("page_id").agg(F.min(rank).alias("r"))
     return best.select("page_id", F.col("r.dpi").alias("dpi"), F.col("r.path").alias("path"))
+
+
+def with_provenance(runs: DataFrame, updates: DataFrame) -> DataFrame:
+    """runs (run_id, with columns of their own) with the newest value of each column that updates (run_id, recorded_at, the same columns) set; nulls leave what is there."""
+    names = [c for c in updates.columns if c not in ("run_id", "recorded_at")]
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("recorded_at"))).alias(f"new_{c}") for c in names]
+    rows = runs.join(updates.groupBy("run_id").agg(*newest), "run_id", "left")
+    return rows.withColumns({c: F.coalesce(f"new_{c}", c) if c in runs.columns else F.col(f"new_{c}") for c in names}).drop(*[f"new_{c}" for c in names])

@@ -208,19 +208,21 @@ def match_terms(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     """
     token = r"[\p{L}\p{N}]+"
     forms = terms.select("concept_id", F.lower("form").alias("form")).where(F.col("form").rlike(token)).withColumn("head", F.regexp_extract("form", token, 0))
-    rows = blocks.select("page_id", "block_id", F.lower("text").alias("low")).withColumn("head", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(f"({token})"), F.lit(1)))))
-    found = rows.join(forms, "head").where(F.contains("low", "form")).groupBy("page_id", "block_id").agg(F.min("low").alias("low"), F.collect_set(F.struct("form", "concept_id")).alias("forms"))
+    heads = blocks.select("page_id", "block_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({token})"), F.lit(1)))).alias("head"))  # keys and words only, no texts
+    likely = heads.join(forms, "head").groupBy("page_id", "block_id").agg(F.collect_set(F.struct("form", "concept_id")).alias("forms"))
+    found = blocks.select("page_id", "block_id", F.lower("text").alias("low")).join(likely, ["page_id", "block_id"])
+    found = found.withColumn("forms", F.filter("forms", lambda f: F.contains("low", f["form"]))).where(F.size("forms") > 0)
     schema = "page_id string, block_id string, start int, end int, concept_id string"
 
     def pick(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                taken: list[tuple[int, int]] = []
+                taken = bytearray(len(r.low))
                 for f in sorted(r.forms, key=lambda f: (-len(f["form"]), f["form"], f["concept_id"])):
                     for m in re.finditer(rf"(?<!\w){re.escape(f['form'])}(?!\w)", r.low):
-                        if all(m.end() <= a or b <= m.start() for a, b in taken):
-                            taken.append(m.span())
+                        if not any(taken[m.start() : m.end()]):
+                            taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
                             out.append((r.page_id, r.block_id, *m.span(), f["concept_id"]))
             yield pd.DataFrame(out, columns=["page_id", "block_id", "start", "end", "concept_id"])
 
@@ -231,3 +233,21 @@ def build_page(blocks: DataFrame) -> DataFrame:
     """page_id, blocks (array in order), reading_order, n_blocks: one row a page."""
     items = F.sort_array(F.collect_list(F.struct("pos", "block_id", "kind", "text")))
     return blocks.groupBy("page_id").agg(items.alias("blocks")).withColumn("reading_order", F.transform("blocks", lambda b: b["block_id"])).withColumn("n_blocks", F.size("blocks"))
+
+
+def average_char_width(spans: DataFrame) -> DataFrame:
+    """page_id, char_width: the width of a page's spans over their characters; 10 where there is none."""
+    n, width = F.sum(F.length("text")), F.sum(F.when(F.length("text") > 0, F.col("x1") - F.col("x0")))
+    return spans.groupBy("page_id").agg(F.coalesce(F.try_divide(width.cast("double"), n), F.lit(10.0)).alias("char_width"))
+
+
+def icon_locations(blocks: DataFrame) -> DataFrame:
+    """page_id, instance_id, pos, child: where icons with an instance stand (blocks with children)."""
+    rows = blocks.select("page_id", "pos", F.posexplode("children").alias("child", "i"))
+    return rows.where((F.col("i.type") == "icon") & (F.coalesce("i.instance_id", F.lit("")) != "")).select("page_id", F.col("i.instance_id").alias("instance_id"), "pos", "child")
+
+
+def postprocess(blocks: DataFrame) -> DataFrame:
+    """Blocks as a reader gets them: long paragraphs cut, then recent repeats left out."""
+    cut = split_long(blocks).withColumn("pos", F.col("pos") * 1000 + F.col("part"))
+    return drop_recent_repeats(cut)

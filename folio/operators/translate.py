@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,11 +63,13 @@ def plan_segments(blocks: DataFrame, concepts: DataFrame) -> DataFrame:
 
     rows = section_of(blocks.where((F.trim("text") != "") & F.col("kind").isin("heading", "paragraph", "list_item", "callout", "caption", "table")), ["pos"])
     grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    low = rows.select("page_id", "block_id", F.lower("text").alias("low"))
-    low = low.withColumn("gram", F.explode(F.array_distinct(F.concat(*[grams(F.col("low"), n) for n in (1, 2, 3)]))))
+    low = F.lower("text")
+    met = rows.select("page_id", "block_id", F.explode(F.array_distinct(F.concat(*[grams(low, n) for n in (1, 2, 3)]))).alias("gram"))  # keys and grams only, no texts
     lemmas = concepts.select("concept_id", F.lower("lemma").alias("lemma")).withColumn("gram", F.substring("lemma", 1, 3))
-    found = low.join(lemmas, "gram").where(F.contains("low", "lemma")).groupBy("page_id", "block_id").agg(F.sort_array(F.collect_set("concept_id")).alias("concept_ids"))
-    out = rows.join(found, ["page_id", "block_id"], "left")
+    likely = met.join(lemmas, "gram").groupBy("page_id", "block_id").agg(F.collect_set(F.struct("concept_id", "lemma")).alias("likely"))
+    out = rows.join(likely, ["page_id", "block_id"], "left")
+    named = F.transform(F.filter("likely", lambda c: F.contains(low, c["lemma"])), lambda c: c["concept_id"])
+    out = out.withColumn("concept_ids", F.sort_array(F.array_distinct(named)))
     return out.select("page_id", F.col("block_id").alias("segment_id"), "pos", "text", "section", F.coalesce("concept_ids", F.array().cast("array<string>")).alias("concept_ids"))
 
 
@@ -120,3 +122,28 @@ def translated_blocks(blocks: DataFrame, results: DataFrame) -> DataFrame:
     found = results.where(F.col("target").isNotNull()).select(F.col("segment_id").alias("block_id"), "target")
     rows = blocks.join(found, "block_id", "left").withColumn("translated", F.col("target").isNotNull())
     return rows.withColumn("text", F.coalesce("target", "text")).drop("target")
+
+
+def inline_checksum(inlines: Column) -> Column:
+    """12 hex digits of the inlines' canonical JSON; their fields must be named in alphabetical order."""
+    from folio.functions.ids import short_hash
+
+    return short_hash(F.to_json(inlines))
+
+
+def user_messages(batched: DataFrame, source: str = "en", target: str = "ru") -> DataFrame:
+    """page_id, batch, message: the JSON that a model gets for each batch (segments with page_id, batch, pos, segment_id, kind, text, section, concept_ids)."""
+    context = F.when(F.coalesce("section", F.lit("")) != "", F.struct(F.col("section").alias("prev_heading")))
+    concepts = F.when(F.size("concept_ids") > 0, F.col("concept_ids"))
+    segment = F.struct("segment_id", F.col("kind").alias("block_type"), F.col("text").alias("source"), concepts.alias("required_concepts"), context.alias("context"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("pos", segment.alias("s")))), lambda x: x["s"])
+    out = batched.groupBy("page_id", "batch").agg(rows.alias("segments"))
+    name = F.format_string("%s.%d", "page_id", "batch")
+    return out.select("page_id", "batch", F.to_json(F.struct(name.alias("batch_id"), F.lit(source).alias("source_lang"), F.lit(target).alias("target_lang"), "segments")).alias("message"))
+
+
+def response_schema(segments: DataFrame) -> DataFrame:
+    """page_id, schema: the JSON schema of an answer that names each segment of a page once."""
+    one = F.to_json(F.struct(F.array_sort(F.collect_list("segment_id")).alias("enum"), F.lit("string").alias("type")))
+    text = F.concat(F.lit('{"type":"object","required":["segments"],"properties":{"segments":{"type":"array","items":{"type":"object","required":["segment_id","target"],"properties":{"segment_id":'), one, F.lit(',"target":{"type":"string"}}}}}}'))
+    return segments.groupBy("page_id").agg(text.alias("schema"))

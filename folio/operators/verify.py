@@ -5,6 +5,9 @@ Each check is an anti join on keys that start with the page, or a window over a
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +15,10 @@ from pyspark.sql import functions as F
 def missing_references(references: DataFrame, targets: DataFrame, keys: list[str], code: str, severity: str = "error") -> DataFrame:
     """code, severity, page_id, entity_ref, target: references whose target doesn't exist.
 
-    references: page_id, entity_ref and the keys; targets: the keys. Repeated references are reported once.
+    references: page_id, entity_ref and the keys; targets: the keys, repeated ones too. Repeated references are reported once.
     """
-    lost = references.join(targets.select(*keys).distinct(), keys, "left_anti").distinct()
+    named = dict.fromkeys(["page_id", "entity_ref", *keys])
+    lost = references.select(*named).join(targets.select(*keys), keys, "left_anti").distinct()
     return lost.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "page_id", "entity_ref", F.col(keys[-1]).cast("string").alias("target"))
 
 
@@ -89,11 +93,109 @@ def missing_fallback(blocks: DataFrame) -> DataFrame:
 def anchor_cycles(edges: DataFrame, kinds: tuple[str, ...] = ("caption", "aside")) -> DataFrame:
     """page_id of pages whose edges of these kinds (page_id, edge_kind, source_id, target_id) hold a cycle.
 
-    Nodes without an outgoing edge are peeled off, page by page, until none is left to peel; pages
-    with edges left have a cycle. A page's edges are one row, so the peeling is an expression of as
-    many steps as the page has nodes and no path is enumerated.
+    Nodes that no edge points to are taken off, with their edges, until none is left; a page with nodes left has a cycle.
+    Each edge is looked at once. A page is a group, as in all rules of this module.
+    """
+    rows = edges.where(F.col("edge_kind").isin(*kinds)).select("page_id", "source_id", "target_id").distinct()
+
+    def cyclic(pdf: pd.DataFrame) -> pd.DataFrame:
+        after = defaultdict(list)
+        pointed = Counter(pdf["target_id"])
+        for s, t in zip(pdf["source_id"], pdf["target_id"], strict=True):
+            after[s].append(t)
+        free = [s for s in after if not pointed[s]]
+        gone = 0
+        while free:
+            for t in after[free.pop()]:
+                gone += 1
+                pointed[t] -= 1
+                if not pointed[t] and t in after:
+                    free.append(t)
+        return pdf[["page_id"]].head(1 if gone < len(pdf) else 0)
+
+    return rows.groupBy("page_id").applyInPandas(cyclic, "page_id string")
+
+
+def render_assets(referenced: DataFrame, figures: DataFrame) -> DataFrame:
+    """Assets (page_id, asset_id) that a page's figures or inlines show and its table of figures lacks."""
+    refs = referenced.where(F.coalesce("asset_id", F.lit("")) != "").withColumn("entity_ref", F.col("asset_id"))
+    return missing_references(refs, figures, ["page_id", "asset_id"], "XREF_RENDER_ASSET")
+
+
+def published(pages: DataFrame, figures: DataFrame, files: DataFrame) -> DataFrame:
+    """Pages (page_id) without a published file pages/{page_id}.json, and figures (page_id, asset_id, src) whose source isn't among the files (path)."""
+    wanted = pages.select("page_id", F.col("page_id").alias("entity_ref"), F.concat(F.lit("pages/"), "page_id", F.lit(".json")).alias("path"))
+    shown = figures.where(F.coalesce("src", F.lit("")) != "").select("page_id", F.col("asset_id").alias("entity_ref"), F.col("src").alias("path"))
+    return missing_references(wanted.unionByName(shown), files, ["path"], "XREF_RENDER_TO_PUBLISH")
+
+
+def _both(checks: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Findings of the pages that all of the tables have: a boundary is looked at only where both sides are there."""
+    for table in tables:
+        checks = checks.join(table.select("page_id").distinct(), "page_id", "left_semi")
+    return checks
+
+
+def cross_stage(tables: dict[str, DataFrame]) -> DataFrame:
+    """All findings between stages, of whatever tables there are; a boundary needs both of its sides, table by table and page by page.
+
+    words (page_id, word_id), evidence (page_id, evidence_id), matched (page_id, symbol_id); blocks (page_id, block_id, kind, asset_id, translatable)
+    with word_refs (page_id, entity_ref, word_id), evidence_refs (page_id, entity_ref, evidence_id) and placed (page_id, symbol_id) of the page;
+    rendered (page_id, block_id, kind, asset_id), referenced (page_id, asset_id), figures (page_id, asset_id, src); files (path).
+    """
+    t = tables
+    columns = ("code", "severity", "page_id", "entity_ref", "target")
+    found = []
+    if {"words", "word_refs"} <= set(t):
+        found.append(_both(native_words(t["word_refs"], t["words"]), t["words"]))
+    if {"evidence", "evidence_refs"} <= set(t):
+        found.append(_both(evidence(t["evidence_refs"], t["evidence"]), t["evidence"]))
+    if {"matched", "placed"} <= set(t):
+        found.append(symbols(t["matched"], t["placed"]))
+    if {"blocks", "rendered"} <= set(t):
+        wanted = t["blocks"].where(F.coalesce("translatable", F.lit(True)))
+        found.append(_both(blocks_rendered(wanted, t["rendered"]).withColumn("severity", F.lit("warning")), t["rendered"]))
+        figures = lambda df: df.where((F.col("kind") == "figure") & (F.coalesce("asset_id", F.lit("")) != "")).select("page_id", "block_id", "asset_id")
+        found.append(figure_assets(figures(t["blocks"]), figures(t["rendered"])))
+    if {"referenced", "figures"} <= set(t):
+        found.append(render_assets(t["referenced"], t["figures"]))
+    if {"rendered", "figures", "files"} <= set(t):
+        found.append(published(t["rendered"].select("page_id").distinct(), t["figures"], t["files"]))
+    if not found:
+        raise ValueError("no boundary has both of its sides")
+    out = found[0].select(*columns)
+    for part in found[1:]:
+        out = out.unionByName(part.select(*columns))
+    return out
+
+
+def invariants(blocks: DataFrame, regions: DataFrame, edges: DataFrame, flow: DataFrame, placements: DataFrame, evidence_refs: DataFrame | None = None, entities: DataFrame | None = None, boxes: DataFrame | None = None) -> DataFrame:
+    """All findings within resolved pages; those about evidence where it is given.
+
+    blocks: page_id, block_id, kind, region_id, fallback; see the single checks for the others.
     """
-    rows = edges.where(F.col("edge_kind").isin(*kinds)).groupBy("page_id").agg(F.collect_set(F.struct(F.col("source_id").alias("s"), F.col("target_id").alias("t"))).alias("e"))
-    peel = lambda e, _: F.filter(e, lambda x: F.exists(e, lambda y: y["s"] == x["t"]))
-    left = F.aggregate(F.sequence(F.lit(1), F.size("e")), F.col("e"), peel)
-    return rows.where(F.size(left) > 0).select("page_id")
+    cycles = anchor_cycles(edges).select(F.lit("ANCHOR_CYCLE").alias("code"), F.lit("error").alias("severity"), "page_id", F.col("page_id").alias("entity_ref"), F.lit(None).cast("string").alias("target"))
+    parts = [dangling_regions(blocks, regions), dangling_flow(flow, blocks), dangling_anchors(edges, blocks, regions), duplicate_instances(placements), orphan_captions(blocks, edges), cycles, missing_fallback(blocks)]
+    if evidence_refs is not None and entities is not None:
+        parts.append(evidence(evidence_refs, entities, "DANGLING_EVIDENCE_REF"))
+    if boxes is not None:
+        parts.append(boxes_out_of_page(boxes))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def page_report(pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """page_id, n_findings, n_blocking, passed of all pages, those without findings too."""
+    blocking = F.col("severity").isin("error", "critical")
+    counts = findings.groupBy("page_id").agg(F.count("*").alias("n_findings"), F.count_if(blocking).alias("n_blocking"))
+    rows = pages.select("page_id").distinct().join(counts, "page_id", "left").na.fill(0, ["n_findings", "n_blocking"])
+    return rows.withColumn("passed", F.col("n_blocking") == 0)
+
+
+def report_totals(findings: DataFrame) -> DataFrame:
+    """One row: findings by severity, dropped symbols, and whether nothing blocks."""
+    count = lambda s: F.count_if(F.col("severity") == s).alias(s)
+    totals = findings.agg(*map(count, ("info", "warning", "error", "critical")), F.count_if(F.col("code") == "XREF_SYMBOL_DROPPED").alias("symbol_drops"))
+    return totals.withColumn("passed", (F.col("error") == 0) & (F.col("critical") == 0))

@@ -122,13 +122,13 @@ def _waivers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waivers made from labels: each labelled document waives long paragraphs on its page, and some waive duplicates anywhere."""
     rows = views.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ordinal"), F.format_string("w%d", "doc_id").alias("waiver_id"), "doc_id")
     own = rows.select("ordinal", "waiver_id", F.lit("PARAGRAPH_TOO_LONG").alias("code"), ids.page_id(F.col("doc_id")).alias("page_id"))
-    wide = rows.where("doc_id % 5 = 1").select((F.col("ordinal") + 1000000).alias("ordinal"), "waiver_id", F.lit("DUPLICATE_CONTENT").alias("code"), F.lit(None).cast("string").alias("page_id"))
+    wide = views.table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("ordinal"), F.format_string("w%d", "doc_id").alias("waiver_id")).select((F.col("ordinal") + 1000000).alias("ordinal"), "waiver_id", F.lit("DUPLICATE_CONTENT").alias("code"), F.lit(None).cast("string").alias("page_id"))
     return own.unionByName(wide)
 
 
 _WAIVED = f"""{with_views('v_block')}, {_THREE}, w AS (
     SELECT doc_id AS ordinal, 'w' || doc_id AS waiver_id, 'PARAGRAPH_TOO_LONG' AS code, printf('p%04d', doc_id) AS page_id FROM labels
-    UNION ALL SELECT doc_id + 1000000, 'w' || doc_id, 'DUPLICATE_CONTENT', NULL FROM labels WHERE doc_id % 5 = 1
+    UNION ALL SELECT doc_id + 1000000, 'w' || doc_id, 'DUPLICATE_CONTENT', NULL FROM labels WHERE quality = 0
 ), x AS (
     SELECT f.*, (SELECT arg_min(w.waiver_id, w.ordinal) FROM w WHERE w.code = f.code AND (w.page_id IS NULL OR w.page_id = f.page_id)) AS waiver_id FROM f
 )"""
@@ -160,19 +160,21 @@ def verify_native_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.native_words(refs, words)
 
 
-@query(f"""{with_views('v_word')}, m AS (SELECT DISTINCT page_id, lower(word) AS s FROM v_word WHERE wpos % 2 = 0 AND length(word) > 6), p AS (SELECT DISTINCT page_id, lower(word) AS s FROM v_word WHERE wpos % 3 = 0 AND length(word) > 6)
+@query(f"""{with_views('v_word')}, m AS (SELECT DISTINCT page_id, CASE WHEN wpos % 2 = 0 THEN word ELSE '~' || word END AS s FROM v_word), p AS (SELECT DISTINCT page_id, CASE WHEN wpos % 3 = 0 THEN word ELSE '~' || word END AS s FROM v_word)
     SELECT 'XREF_SYMBOL_TO_IR' AS code, 'error' AS severity, page_id, s AS entity_ref, s AS target FROM (FROM p EXCEPT FROM m)
     UNION ALL SELECT 'XREF_SYMBOL_DROPPED', 'warning', page_id, s, s FROM (FROM m EXCEPT FROM p)""")
 def verify_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = views.words(spark, sf_dir).where("length(word) > 6").select("page_id", F.lower("word").alias("symbol_id"), "wpos")
-    return verify.symbols(words.where("wpos % 2 = 0").drop("wpos"), words.where("wpos % 3 = 0").drop("wpos"))
+    """All words as symbols, on both sides: marked by one rule where they are matched, by another where they are placed."""
+    words = views.words(spark, sf_dir)
+    side = lambda n: words.select("page_id", F.when(F.col("wpos") % n == 0, F.col("word")).otherwise(F.concat(F.lit("~"), "word")).alias("symbol_id"))
+    return verify.symbols(side(2), side(3))
 
 
 @query(f"""{with_views('v_block')} SELECT 'DANGLING_REGION_REF' AS code, 'error' AS severity, page_id, block_id AS entity_ref, printf('r%03d', pos % 7) AS target FROM v_block a
-    WHERE NOT EXISTS (SELECT 1 FROM v_block b WHERE b.page_id = a.page_id AND b.pos % 2 = 0 AND b.pos % 7 = a.pos % 7)""")
+    WHERE NOT EXISTS (SELECT 1 FROM v_block b WHERE b.page_id = a.page_id AND (2 * b.pos) % 9 = a.pos % 7)""")
 def verify_dangling_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = views.blocks(spark, sf_dir).withColumn("region_id", ids.region_id(F.col("pos") % 7))
-    return verify.dangling_regions(blocks, blocks.where("pos % 2 = 0"))
+    return verify.dangling_regions(blocks, blocks.withColumn("region_id", ids.region_id((2 * F.col("pos")) % 9)))
 
 
 @query(f"""{with_views('v_block')} SELECT 'ORPHAN_CAPTION' AS code, 'warning' AS severity, page_id, block_id AS entity_ref, block_id AS target FROM v_block WHERE pos % 3 = 1 AND pos % 4 <> 1""")
@@ -244,9 +246,9 @@ def registry_passing_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.passing_streaks(views.stage_events(spark, sf_dir))
 
 
-@query(f"{with_views('v_event')} SELECT run_id, string_agg(stage_name || ':' || status, ',' ORDER BY finished_at, event_id) AS stages FROM v_event GROUP BY 1")
+@query(f"{with_views('v_event')} SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY finished_at, event_id) AS INTEGER) AS nth, stage_name || ':' || status AS stage FROM v_event")
 def registry_run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.run_manifest(views.stage_events(spark, sf_dir)).withColumn("stages", F.array_join("stages", ","))
+    return registry.run_manifest(views.stage_events(spark, sf_dir))
 
 
 @query(f"{with_views('v_event')} SELECT run_id, min(event_id) AS event_id FROM v_event WHERE stage_name = 'click' AND status IN ('completed', 'cached') GROUP BY 1")
@@ -426,11 +428,11 @@ _TERMS = "tm AS (SELECT form FROM (SELECT unnest(regexp_extract_all(lower(text),
 _DOC_TERMS = "dt AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents)"
 
 
-@query(f"WITH {_TERMS}, {_DOC_TERMS} SELECT 'c.' || form AS concept_id, string_agg(printf('p%04d', doc_id), ',' ORDER BY printf('p%04d', doc_id)) AS pages FROM tm JOIN dt ON term = form GROUP BY 1")
+@query(f"WITH {_TERMS}, {_DOC_TERMS} SELECT 'c.' || form AS concept_id, printf('p%04d', doc_id) AS page_id FROM tm JOIN dt ON term = form")
 def glossary_page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = search.postings(views.table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text")
     mentions = index.join(_terms(spark, sf_dir), F.col("term") == F.col("form")).select("concept_id", ids.page_id(F.col("key")).alias("page_id"))
-    return search.page_references(mentions).withColumn("pages", F.array_join("pages", ","))
+    return search.page_references(mentions)
 
 
 @query(f"""{with_views('v_block')}, b AS (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS br FROM v_block),
@@ -452,9 +454,8 @@ def search_term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     x AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM q JOIN i USING (term) JOIN d USING (term) CROSS JOIN s GROUP BY 1, 2)
     SELECT query_id, rank, key, score FROM (SELECT item_id AS query_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id AS key, score FROM x) WHERE rank <= 10""")
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.postings(views.table(spark, sf_dir, "documents"), "doc_id", "text")
     queries = search.postings(views.table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("key").alias("query_id"), "term")
-    return search.bm25(index, queries)
+    return search.bm25(views.table(spark, sf_dir, "documents"), "doc_id", "text", queries)
 
 
 @query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 1), lambda w: regexp_replace(w, '^[.,;:!?]+|[.,;:!?]+$', '', 'g')))), '|') AS terms FROM documents""")
@@ -484,11 +485,13 @@ def eval_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", value.alias("confidence")).withColumn("band", evaluate.confidence_band(F.col("confidence")))
 
 
-@query(f"""{with_views('v_block')} SELECT page_id, block_id, CASE WHEN pos % 5 = 0 THEN 'missing' WHEN pos % 7 = 0 THEN 'extra' WHEN pos % 3 = 0 AND kind <> 'table' THEN 'type_mismatch' ELSE 'match' END AS status FROM v_block WHERE pos % 5 <> 0 OR pos % 7 <> 0""")
+@query(f"""{with_views('v_block')}, a AS (SELECT page_id, block_id, kind FROM v_block), e AS (SELECT page_id, CASE WHEN pos % 7 = 0 THEN block_id || '.1' ELSE block_id END AS block_id, CASE WHEN pos % 3 = 0 THEN 'table' ELSE kind END AS kind FROM v_block)
+    SELECT page_id, block_id, CASE WHEN a.kind IS NULL THEN 'missing' WHEN e.kind IS NULL THEN 'extra' WHEN a.kind = e.kind THEN 'match' ELSE 'type_mismatch' END AS status FROM a FULL JOIN e USING (page_id, block_id)""")
 def eval_compare_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks against a specification of all blocks, in which some have another name or kind."""
     blocks = views.blocks(spark, sf_dir)
-    expected = blocks.where("pos % 7 <> 0").withColumn("kind", F.when(F.col("pos") % 3 == 0, "table").otherwise(F.col("kind")))
-    return evaluate.compare_blocks(blocks.where("pos % 5 <> 0"), expected)
+    name = F.when(F.col("pos") % 7 == 0, F.concat("block_id", F.lit(".1"))).otherwise(F.col("block_id"))
+    return evaluate.compare_blocks(blocks, blocks.withColumn("kind", F.when(F.col("pos") % 3 == 0, "table").otherwise(F.col("kind"))).withColumn("block_id", name))
 
 
 @query(f"""{with_views('v_block')}, b AS ({_LONG}), a AS ({_LONG.replace('> 1000', '> 600')} UNION ALL {_UNTRANSLATED})
@@ -506,7 +509,7 @@ def eval_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NORMAL = f"regexp_replace(text, '{T.CONTROL}', '', 'g')"
-_NORMAL = f"regexp_replace({_NORMAL}, '(?i)(^|[^a-z])({'|'.join(T.COMPOUND_PREFIXES)})- ([a-z])', '\\1\\2-' || chr(1) || '\\3', 'g')"
+_NORMAL = f"regexp_replace({_NORMAL}, '(^|[^a-zA-Z])((?i:{'|'.join(T.COMPOUND_PREFIXES)}))- ([a-z])', '\\1\\2-\\3' || chr(1), 'g')"
 _NORMAL = f"replace(regexp_replace({_NORMAL}, '([a-zA-Z])- ([a-z])', '\\1\\2', 'g'), chr(1), '')"
 _NORMAL = f"regexp_replace({_NORMAL}, '([a-z])([.!?])([A-Z])', '\\1\\2 \\3', 'g')"
 
@@ -535,11 +538,14 @@ def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r"<h[1-6][^>]*>([^<]*)</h[1-6]>"), F.lit(1))).alias("heading"))
 
 
-@query("""SELECT doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 5 = 0 THEN 'removed' WHEN doc_id % 3 = 0 THEN 'changed' ELSE 'same' END AS change FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 5 <> 0""")
+@query("""WITH a AS (SELECT doc_id AS path, sha256(coalesce(text, '')) AS h FROM documents), b AS (SELECT CASE WHEN doc_id % 7 = 0 THEN -doc_id - 1 ELSE doc_id END AS path, sha256(coalesce(lower(text), '')) AS h FROM documents)
+    SELECT path, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b USING (path)""")
 def publish_release_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
-    after = files.where("path % 5 <> 0").withColumn("sha256", F.when(F.col("path") % 3 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
-    return publish.release_diff(files.where("path % 7 <> 0"), after)
+    """All documents against all of them in small letters, some under another path."""
+    docs = views.table(spark, sf_dir, "documents")
+    digest = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256).alias("sha256")
+    moved = F.when(F.col("doc_id") % 7 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    return publish.release_diff(docs.select(F.col("doc_id").alias("path"), digest(F.col("text"))), docs.select(moved.alias("path"), digest(F.lower("text"))))
 
 
 @query("SELECT doc_id AS page_id, 'missing_file' AS problem FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unlisted_file' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
@@ -596,7 +602,7 @@ def translation_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translate.translate(segments, lambda: translate.MockTranslator({"the": "der", "and": "und"}))
 
 
-@query(f"""{with_views('v_block')}, {_TERMS} SELECT b.page_id, b.block_id AS segment_id, b.section, (SELECT coalesce(string_agg('c.' || form, ',' ORDER BY 'c.' || form), '') FROM tm WHERE length(form) >= 3 AND contains(lower(b.text), form)) AS concept_ids
+@query(f"""{with_views('v_block')}, {_TERMS} SELECT b.page_id, b.block_id AS segment_id, b.section, (SELECT coalesce(string_agg('c.' || form, ',' ORDER BY 'c.' || form), '') FROM tm WHERE contains(lower(b.text), form)) AS concept_ids
     FROM (SELECT *, last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM v_block) b""")
 def translation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     concepts = _terms(spark, sf_dir).select("concept_id", F.col("form").alias("lemma"))
@@ -649,12 +655,13 @@ def render_presentation_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.presentation_mode(pages).select("doc_id", "mode")
 
 
-@query()
+@query("""WITH t AS (SELECT printf('p%04d', doc_id) AS page_id, doc_id AS number, split_part(text, chr(10), 1) AS title FROM documents WHERE text IS NOT NULL), l AS (SELECT lower(trim(title)) AS k, arg_max(page_id, number) AS page_id, max(number) AS number FROM t WHERE trim(title) <> '' GROUP BY 1),
+    h AS (SELECT t.number AS pos, t.number AS page, l.page_id, l.number FROM t JOIN l ON k = lower(t.title))
+    SELECT DISTINCT page_id, (SELECT arg_min(number - page, pos) FROM h) AS "offset" FROM h""")
 def render_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents made of every third document's title (its first line), against all documents as pages."""
-    pages = views.table(spark, sf_dir, "documents").select(ids.page_id(F.col("doc_id")).alias("page_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("doc_id").alias("number"))
-    entries = pages.where("number % 3 = 0").select("title", F.col("number").alias("page"), F.col("number").alias("pos"))
-    return render.contents(entries, pages)
+    """Contents made of all documents' titles (their first lines), against all documents as pages: the last page of a title has the entry."""
+    pages = views.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(ids.page_id(F.col("doc_id")).alias("page_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("doc_id").alias("number"))
+    return render.contents(pages.select("title", F.col("number").alias("page"), F.col("number").alias("pos")), pages)
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,22 @@ def ladder_table(spark: SparkSession, config: dict) -> DataFrame:
     """ladder, order, golden_set of a benchmark ladder's checkpoints."""
     rows = sorted((config["name"], int(c["order"]), c["golden_set"]) for c in config.get("checkpoints", []))
     return spark.createDataFrame(rows, "ladder string, order int, golden_set string")
+
+
+def symbol_table(spark: SparkSession, config: dict) -> DataFrame:
+    """symbol_id, label, template, threshold of a symbol catalog."""
+    rows = [(s["symbol_id"], s.get("label", ""), s.get("template_asset", ""), float(s["match_threshold"]) if "match_threshold" in s else None) for s in config.get("symbols", [])]
+    return spark.createDataFrame(rows, "symbol_id string, label string, template string, threshold double")
+
+
+def waiver_table(spark: SparkSession, config: dict | list) -> DataFrame:
+    """ordinal, waiver_id, code, page_id (null: any), reason, approved_by of a list of waivers, in its order."""
+    items = config.get("waivers", []) if isinstance(config, dict) else config
+    rows = [(k, w["waiver_id"], w["code"], w.get("page_id") or None, w.get("reason", ""), w.get("approved_by", "")) for k, w in enumerate(items)]
+    return spark.createDataFrame(rows, "ordinal int, waiver_id string, code string, page_id string, reason string, approved_by string")
+
+
+def fixture_table(spark: SparkSession, config: dict) -> DataFrame:
+    """document_id, path, sha256 of a fixture manifest's files."""
+    rows = [(f["document_id"], path, digest) for f in config.get("fixtures", []) for path, digest in sorted(f.get("checksums", {}).items())]
+    return spark.createDataFrame(rows, "document_id string, path string, sha256 string")

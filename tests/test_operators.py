@@ -417,7 +417,7 @@ def test_annotation_candidates_and_order_confidence(spark):
     source = spark.createDataFrame([("p", "b1", "heading", "Title", -5.0, 0.0, 50.0, 10.0, 100.0, 200.0), ("p", "b2", "divider", "x", 0.0, 0.0, 1.0, 1.0, 100.0, 200.0), ("p", "b3", "note", "n", 0.0, 0.0, 1.0, 1.0, 100.0, 200.0)], schema)
     target = spark.createDataFrame([("p", "b1", "Titel")], "page_id string, block_id string, text string")
     out = {r["annotation_id"]: r for r in publish.annotation_candidates(source, target).collect()}
-    assert set(out) == {"b1", "b3"} and tuple(out["b1"])[2:] == ("heading", 100, "Title", "Titel", 0.0, 0.0, 0.5, 0.05) and (out["b3"]["priority"], out["b3"]["target"]) == (20, "")
+    assert set(out) == {"b1", "b3"} and tuple(out["b1"])[2:] == ("title", 100, "Title", "Titel", 0.0, 0.0, 0.5, 0.05) and (out["b3"]["priority"], out["b3"]["target"]) == (20, "")
     order = spark.createDataFrame([("p", "main", 1), ("p", "main", 1), ("p", "main", 2), ("p", "aside", None)], "page_id string, role string, band int")
     assert layout.order_confidence(order).first()["confidence"] == pytest.approx(0.82)
     moved = translate.translated_blocks(source, spark.createDataFrame([("b1", "Titel")], "segment_id string, target string"))

@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import folio.plans.page_queries  # noqa: F401  registers its queries
 from folio.plans.queries import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
