@@ -105,10 +105,11 @@ def test_tiles_skip_what_their_population_counts_part():
     assert not looked
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("block", [40, 1_000_000])
+def test_connected_components(spark, block):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(400, 450)] + [(7, 7)]
-    rows = components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    rows = components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b", block=block).collect()
     expected = brute_components({x for e in edges for x in e}, edges)
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert {r["id"]: r["component"] for r in rows} == {x: c for x, c in expected.items() if x in linked}
