@@ -117,7 +117,7 @@ def search_chunk_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _harvested(spark, sf_dir).select("anchor", F.array_join(named, ",").alias("concepts"), F.array_join("symbols", ",").alias("symbols"))
 
 
-@query(f"{_CHILDREN}, {_RANK}, {_CHUNK} SELECT anchor, coalesce(string_agg(name || ' ' || form, ' ' ORDER BY seat) FILTER (type = 'term_mark'), '') AS glossary_text, coalesce(string_agg(name, ',' ORDER BY seat) FILTER (type = 'icon'), '') AS symbol_text, any_value(page_id) || ',s' AS section_text FROM ck LEFT JOIN cf USING (anchor) GROUP BY 1")
+@query(f"""{_CHILDREN}, {_RANK}, {_CHUNK} SELECT anchor, coalesce(string_agg(name || ' ' || form, ' ' ORDER BY seat) FILTER (type = 'term_mark'), '') AS glossary_text, coalesce(string_agg(regexp_replace(replace(replace(name, '\\', '\\\\'), chr(34), '\\'), '[\\[\\]]', '', 'g'), ',' ORDER BY seat) FILTER (type = 'icon'), '') AS symbol_text, any_value(page_id) || ',s' AS section_text FROM ck LEFT JOIN cf USING (anchor) GROUP BY 1""")
 def search_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _harvested(spark, sf_dir).withColumn("section_path", F.array("page_id", F.lit("s")))
     return search.searchable(rows).select("anchor", "glossary_text", "symbol_text", "section_text")
