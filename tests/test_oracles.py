@@ -2,13 +2,17 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pandas as pd
 import pytest
 
-import folio.plans.page_queries  # noqa: F401  registers its queries
+import folio.plans.fold_oracles
+import folio.plans.page_queries  # noqa: F401  they register queries and oracles
+from folio.functions import text as T
 from folio.plans.queries import ORACLES, QUERIES
+from folio.sources import views
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,3 +50,16 @@ def test_query_agrees_with_its_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_oracle_runs(spark, name):
     assert QUERIES[name](spark, SF_DIR).count() > 0
+
+
+def test_glued_text_with_repeats_against_brute_force(spark):
+    """DuckDB's patterns have no back references, so Python's are the oracle."""
+    blocks = views.defects(spark, SF_DIR).select("page_id", "block_id", "text").collect()
+    expected = set()
+    for b in blocks:
+        reason = next((name for name, pattern in T.GLUED if re.search(pattern, b["text"])), None)
+        if reason:
+            expected.add((b["page_id"], b["block_id"], reason))
+    found = QUERIES["qa_glued_text_with_repeats"](spark, SF_DIR).collect()
+    assert {(r["page_id"], r["entity_ref"], r["detail"]) for r in found} == expected and len(found) == len(expected)
+    assert any(r == "repeat" for _, _, r in expected)
