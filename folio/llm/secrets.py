@@ -60,7 +60,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_random(run: str, encoding, most_ratio: float) -> bool:
-    """Whether a run, what follows its prefix of words, or a part between separators is random."""
+    """Whether a run, what follows its prefix of words, or a part between separators is random.
+
+    Left out before the ratio decides: parts under 20 characters, plain numbers, digests of known lengths, UUIDs and dates.
+    """
     known = KNOWN_END.search(run)
     run = run[: known.start()] if known else run
     prefix = PREFIX.match(run)

@@ -171,3 +171,10 @@ def test_hashes_do_not_depend_on_the_place(monkeypatch):
             assert seen.setdefault(batch.data[a:b].tobytes(), h) == h
     textarrays._power_tables.cache_clear()
     assert len(set(seen.values())) == len(seen)
+
+
+def test_rows_of_one_doc_id_have_a_fixed_order(spark):
+    rows = [(5, f"text number {k} " * (1 + k % 3)) for k in range(40)] + [(None, "a"), (None, "b"), (5, None), (1, "x")]
+    docs = documents(spark, rows)
+    runs = [sorted(map(tuple, dac.round_trip(d, TOKENIZER, 2).collect()), key=str) for d in (docs.coalesce(1), docs.repartition(7, "text"))]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
