@@ -21,7 +21,10 @@ LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those of no certain language; a null lang is filled in."""
+    """Rejects documents without a letter and those of no certain language; a null lang is filled in.
+
+    A null or empty text has no letter. Repeated rows, and rows with one doc_id or none, are judged each; no rows give no rows.
+    """
     small_batches(spark)
     net = langid.fit(docs, F.lit(True))
     found = langid.predict(docs.select(*COLUMNS), net)
@@ -30,7 +33,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents by the base rules or the decision list, learned from the labels of what is left."""
+    """Rejects documents by the base rules or the decision list, learned from the labels of what is left.
+
+    Without labels of both kinds the base rules decide alone. Null and empty texts fail them; repeated rows are judged each.
+    """
     small_batches(spark)
     rules = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.judge(docs.select(*COLUMNS), rules).where("kept").select(*COLUMNS)
@@ -47,13 +53,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts give way to a mark."""
+    """All documents stay, repeated rows and null or empty texts too; secrets in their texts give way to a mark."""
     small_batches(spark)
     return secrets.redact(docs.select(*COLUMNS), RANKS).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens, one row a piece."""
+    """Sequences of at most 1024 tokens, one row a piece; a null or empty text is its end token alone."""
     small_batches(spark)
     return packing.pack_documents(docs, TOKENIZER, end_id=0)
 
