@@ -155,3 +155,8 @@ def extract_json(text: Column) -> Column:
     fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1), F.lit(""))
     braces = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
     return F.try_parse_json(F.coalesce(fenced, braces))
+
+
+def writing_direction(dx: Column) -> Column:
+    """rtl where a line's direction points to the left, else ltr."""
+    return F.when(dx < 0, "rtl").otherwise("ltr")

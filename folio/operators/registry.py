@@ -77,3 +77,10 @@ def with_provenance(runs: DataFrame, updates: DataFrame) -> DataFrame:
     newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("recorded_at"))).alias(f"new_{c}") for c in names]
     rows = runs.join(updates.groupBy("run_id").agg(*newest), "run_id", "left")
     return rows.withColumns({c: F.coalesce(f"new_{c}", c) if c in runs.columns else F.col(f"new_{c}") for c in names}).drop(*[f"new_{c}" for c in names])
+
+
+def render_results(events: DataFrame) -> DataFrame:
+    """run_id, artifact_ref of each run's first render that was completed or cached; a run without one, or whose result has no reference, is left out."""
+    hit = events.where((F.col("stage_name") == "render") & F.col("status").isin("completed", "cached"))
+    first = hit.groupBy("run_id").agg(F.min_by(F.struct("artifact_ref"), F.struct("finished_at", "event_id")).alias("r"))
+    return first.where(F.coalesce("r.artifact_ref", F.lit("")) != "").select("run_id", "r.artifact_ref")

@@ -75,3 +75,37 @@ def contents(entries: DataFrame, pages: DataFrame) -> DataFrame:
     by_number = found.join(F.broadcast(whole), "offset").select("page_id", "offset").distinct()
     none = hits.limit(1).select(F.lit(1).alias("any"))
     return by_title.unionByName(by_number.join(none, F.lit(True), "left_anti"))
+
+
+def reader_inlines(inlines: DataFrame) -> DataFrame:
+    """page_id, block_id, child, kind, text, symbol_id, alt of what a reader shows: texts, line breaks as text, and icons with their name as alternative text; other inlines are left out."""
+    bare = F.regexp_replace("symbol_id", r"^sym\.", "")
+    alt = F.concat(F.upper(F.substring(bare, 1, 1)), F.lower(F.substring(bare, 2, 1 << 20)))
+    icon = F.col("type") == "icon"
+    rows = inlines.where(F.col("type").isin("text", "icon", "line_break"))
+    text = F.when(F.col("type") == "line_break", "\n").when(F.col("type") == "text", F.col("text"))
+    return rows.select("page_id", "block_id", "child", F.when(icon, "icon").otherwise("text").alias("kind"), text.alias("text"), F.when(icon, F.col("symbol_id")).alias("symbol_id"), F.when(icon, alt).alias("alt"))
+
+
+def facsimiles(rasters: DataFrame, standard: int = 150, fine: int = 300) -> DataFrame:
+    """page_id, src, src_fine, width, height of pages from their rasters (page_id, nth, dpi, width, height): the standard resolution, else the fine one, else the first."""
+    rank = F.struct(F.when(F.col("dpi") == standard, 0).when(F.col("dpi") == fine, 1).otherwise(2), "nth")
+    name = lambda dpi: F.format_string("rasters/%s__%ddpi.png", "page_id", dpi)
+    rows = rasters.groupBy("page_id").agg(F.min_by(F.struct("dpi", "width", "height"), rank).alias("l"), F.bool_or(F.col("dpi") == fine).alias("has_fine"))
+    return rows.select("page_id", name(F.col("l.dpi")).alias("src"), F.when(F.col("has_fine"), name(F.lit(fine))).otherwise("").alias("src_fine"), "l.width", "l.height")
+
+
+def preferred_pages(pages: DataFrame, edition: str) -> DataFrame:
+    """One row a page of pages (page_id, language, ...): the edition's language first, the other where that is missing."""
+    wanted = "en" if edition == "en" else "ru"
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.when(F.col("language") == wanted, 0).otherwise(1), "language"))
+    return pages.withColumn("rank", rank).where("rank = 1").drop("rank")
+
+
+def companions(blocks: DataFrame, mentions: DataFrame, concepts: DataFrame, group: str, order: str, pages: DataFrame) -> dict[str, DataFrame]:
+    """What goes with a document's render pages: glossary, search documents and navigation."""
+    from folio.operators import publish, search
+
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda b: b["text"]), " ")
+    docs = blocks.groupBy("page_id").agg(text.alias("text"))
+    return {"glossary": publish.glossary_export(concepts, search.page_references(mentions)), "search_docs": search.search_documents(docs), "nav": search.navigation(pages, group, order)}

@@ -147,3 +147,18 @@ def response_schema(segments: DataFrame) -> DataFrame:
     one = F.to_json(F.struct(F.array_sort(F.collect_list("segment_id")).alias("enum"), F.lit("string").alias("type")))
     text = F.concat(F.lit('{"type":"object","required":["segments"],"properties":{"segments":{"type":"array","items":{"type":"object","required":["segment_id","target"],"properties":{"segment_id":'), one, F.lit(',"target":{"type":"string"}}}}}}'))
     return segments.groupBy("page_id").agg(text.alias("schema"))
+
+
+def pending(segments: DataFrame, memory: DataFrame) -> DataFrame:
+    """Segments (segment_id, checksum) that the memory (segment_id, checksum, target) has no translation of with the same checksum: what a run has to translate."""
+    return segments.join(memory.where(F.col("target").isNotNull()).select("segment_id", "checksum").distinct(), ["segment_id", "checksum"], "left_anti")
+
+
+def without_additional_properties(schema: dict) -> dict:
+    """A JSON schema without additionalProperties, at any depth of its properties and items; for services that don't take it."""
+    out = {k: v for k, v in schema.items() if k != "additionalProperties"}
+    if isinstance(out.get("properties"), dict):
+        out["properties"] = {k: without_additional_properties(v) if isinstance(v, dict) else v for k, v in out["properties"].items()}
+    if isinstance(out.get("items"), dict):
+        out["items"] = without_additional_properties(out["items"])
+    return out

@@ -742,3 +742,58 @@ def render_injected_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = views.blocks(spark, sf_dir)
     used = blocks.select("page_id", F.concat(F.lit("a"), (F.length("text") % 9).cast("string")).alias("asset_id")).distinct()
     return render.inject_figures(used, blocks.select("page_id", F.concat(F.lit("a"), F.col("pos").cast("string")).alias("image_id"), "pos"))
+
+
+@query(f"{_CHILDREN} SELECT page_id, block_id, CAST(wpos AS INTEGER) AS child, type AS kind, CASE WHEN type = 'text' THEN word END AS text, CASE WHEN type = 'icon' THEN lower(word) END AS symbol_id, CASE WHEN type = 'icon' THEN upper(substring(lower(word), 1, 1)) || substring(lower(word), 2) END AS alt FROM ch WHERE type <> 'term_mark'")
+def render_reader_inlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.reader_inlines(ir.inlines(_page_ir(spark, sf_dir)))
+
+
+@query("""WITH r AS (SELECT source AS page_id, doc_id AS nth, ([72, 150, 300, 96])[n_chars % 4 + 1] AS dpi, n_chars AS width, n_chars + 1 AS height FROM documents WHERE n_chars % 4 <> 1 OR doc_id % 3 = 0),
+    b AS (SELECT page_id, min((CASE dpi WHEN 150 THEN 0 WHEN 300 THEN 1 ELSE 2 END, nth)) AS m, bool_or(dpi = 300) AS fine FROM r GROUP BY 1)
+    SELECT r.page_id, 'rasters/' || r.page_id || '__' || dpi || 'dpi.png' AS src, CASE WHEN fine THEN 'rasters/' || r.page_id || '__300dpi.png' ELSE '' END AS src_fine, width, height FROM b JOIN r ON r.page_id = b.page_id AND r.nth = m[2]""")
+def render_facsimiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the rasters of their source, at four resolutions."""
+    docs = views.table(spark, sf_dir, "documents").where("n_chars % 4 <> 1 OR doc_id % 3 = 0")
+    dpi = F.element_at(F.array(*map(F.lit, (72, 150, 300, 96))), (F.col("n_chars") % 4 + 1).cast("int"))
+    return render.facsimiles(docs.select(F.col("source").alias("page_id"), F.col("doc_id").alias("nth"), dpi.alias("dpi"), F.col("n_chars").alias("width"), (F.col("n_chars") + 1).alias("height")))
+
+
+@query("WITH t AS (SELECT DISTINCT n_chars AS page_id, lang AS language FROM documents) SELECT page_id, arg_min(language, (CASE WHEN language = 'en' THEN 0 ELSE 1 END, language)) AS language FROM t GROUP BY 1")
+def render_preferred_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one length as the editions of a page."""
+    pages = views.table(spark, sf_dir, "documents").select(F.col("n_chars").alias("page_id"), F.col("lang").alias("language")).distinct()
+    return render.preferred_pages(pages, "en")
+
+
+@query(f"{with_views('v_word')} SELECT word_id, CASE WHEN x0 - 290 < 0 THEN 'rtl' ELSE 'ltr' END AS direction FROM v_word")
+def text_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.words(spark, sf_dir).select("word_id", T.writing_direction(F.col("x0") - 290).alias("direction"))
+
+
+@query(f"""{with_views('v_event')}, r AS (SELECT run_id, CASE WHEN stage_name = 'click' THEN 'render' ELSE stage_name END AS stage_name, status, finished_at, event_id, CASE WHEN event_id % 3 > 0 THEN cache_key END AS artifact_ref FROM v_event),
+    f AS (SELECT run_id, min((finished_at, event_id, coalesce(artifact_ref, ''))) AS m FROM r WHERE stage_name = 'render' AND status IN ('completed', 'cached') GROUP BY 1) SELECT run_id, m[3] AS artifact_ref FROM f WHERE m[3] <> ''""")
+def registry_render_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = views.stage_events(spark, sf_dir)
+    stage = F.when(F.col("stage_name") == "click", "render").otherwise(F.col("stage_name"))
+    return registry.render_results(events.withColumn("stage_name", stage).withColumn("artifact_ref", F.when(F.col("event_id") % 3 > 0, F.col("cache_key"))))
+
+
+@query(f"{with_views('v_block')}, s AS (SELECT block_id AS segment_id, substring(sha256('{{\"v\":\"' || length(text) || '\"}}'), 1, 12) AS checksum FROM v_block), m AS (SELECT block_id AS segment_id, substring(sha256('{{\"v\":\"' || length(trim(text)) || '\"}}'), 1, 12) AS checksum FROM v_block WHERE pos % 3 > 0) SELECT * FROM s WHERE (segment_id, checksum) NOT IN (FROM m)")
+def translation_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks by a checksum of their length, against a memory of most of them by that of their trimmed text."""
+    blocks = views.blocks(spark, sf_dir)
+    checksum = lambda c: translate.inline_checksum(F.struct(F.length(c).cast("string").alias("v"))).alias("checksum")
+    memory = blocks.select(F.col("block_id").alias("segment_id"), checksum(F.trim("text")), F.when(F.col("pos") % 3 > 0, F.col("text")).alias("target"))
+    return translate.pending(blocks.select(F.col("block_id").alias("segment_id"), checksum(F.col("text"))), memory)
+
+
+@query(f"{with_views('v_block')} SELECT printf('p%04d', doc_id) AS page_id, lag(printf('p%04d', doc_id)) OVER w AS prev_page, lead(printf('p%04d', doc_id)) OVER w AS next_page, coalesce(n, 0) AS n_terms FROM documents LEFT JOIN (SELECT doc_id, len(list_distinct(list_transform(list_filter(regexp_split_to_array(lower(string_agg(text, ' ' ORDER BY pos)), '\\s+'), lambda w: length(w) > 1), lambda w: regexp_replace(w, '^[.,;:!?]+|[.,;:!?]+$', '', 'g')))) AS n FROM v_block GROUP BY 1) USING (doc_id) WINDOW w AS (PARTITION BY lang ORDER BY doc_id)")
+def render_companions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours in the language and number of search terms of each page, from a document's companions."""
+    blocks = views.blocks(spark, sf_dir)
+    pages = views.table(spark, sf_dir, "documents").select("lang", "doc_id", ids.page_id(F.col("doc_id")).alias("page_id"))
+    concepts = _terms(spark, sf_dir).select("concept_id", F.col("form").alias("target_lemma"), F.col("form").alias("lemma"))
+    found = render.companions(blocks, blocks.select(F.lit("c.x").alias("concept_id"), "page_id"), concepts, "lang", "doc_id", pages)
+    terms = found["search_docs"].select("page_id", F.size("terms").alias("n_terms"))
+    return found["nav"].join(terms, "page_id", "left").select("page_id", "prev_page", "next_page", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))

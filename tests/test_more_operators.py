@@ -162,3 +162,29 @@ def test_configuration_tables(spark):
     assert [(r["ordinal"], r["page_id"]) for r in waivers.collect()] == [(0, None), (1, "p1")] and config.waiver_table(spark, {}).count() == 0
     fixtures = config.fixture_table(spark, {"fixtures": [{"document_id": "d", "checksums": {"b": "2", "a": "1"}}]})
     assert [tuple(r) for r in fixtures.collect()] == [("d", "a", "1"), ("d", "b", "2")]
+
+
+def test_a_document_is_built_by_stages(spark, tmp_path):
+    from folio.plans import build
+
+    items = [("p1", f"b{k}", k, "text", "paragraph", f"Text of block {k}.", 50.0, 100.0 + 40 * k, 500.0, 120.0 + 40 * k, 600.0) for k in range(5)]
+    evidence = spark.createDataFrame(items, "page_id string, item_id string, pos int, category string, kind string, text string, x0 double, y0 double, x1 double, y1 double, width double")
+    candidates = spark.createDataFrame([], "page_id string, evidence_id string, x0 double, y0 double, x1 double, y1 double, confidence double")
+    concepts = spark.createDataFrame([("c1", "block")], "concept_id string, lemma string")
+    text = translate.inline_checksum(F.struct("text")).alias("checksum")
+    memory = evidence.where("pos = 1").select(F.col("item_id").alias("segment_id"), text, F.lit("remembered").alias("target"))
+    files = spark.createDataFrame([("pages/p1.json", "ab")], "ref string, sha256 string")
+    stages = build.document_build(candidates, concepts, memory, files, evidence, lambda: translate.MockTranslator({"Text": "Wort"}))
+    tables = build.run_build(spark, str(tmp_path / "build"), stages)
+    texts = {r["block_id"]: r["text"] for r in tables["translate"].collect()}
+    assert texts == {f"b{k}": "remembered" if k == 1 else f"Wort of block {k}." for k in range(5)}
+    assert [r["block_id"] for r in tables["structure"].orderBy("pos").collect()] == [f"b{k}" for k in range(5)]
+    assert tables["render"].count() == 1 and tables["chunks"].count() == 5
+    release = tables["publish"].first()
+    assert (release["ref"], release["sha256"], len(release["build_id"])) == ("pages/p1.json", "ab", 12)
+
+
+def test_schemas_without_additional_properties():
+    schema = {"type": "object", "additionalProperties": False, "properties": {"a": {"type": "array", "items": {"type": "object", "additionalProperties": True}}}}
+    assert translate.without_additional_properties(schema) == {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "object"}}}}
+    assert "additionalProperties" in schema
