@@ -489,10 +489,11 @@ def publish_bundle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.bundle_manifest(_rasters(spark, sf_dir), files)
 
 
-@query(f"""{with_views('v_block')}, x AS (SELECT page_id, block_id, {_ASSET.format('pos')} AS a, {_ASSET.format('doc_id')} AS b FROM v_block WHERE length(text) % 3 = 0) SELECT page_id, block_id, a AS asset_id FROM x WHERE a IS NOT NULL AND NOT EXISTS (SELECT 1 FROM x y WHERE y.page_id = x.page_id AND y.b = x.a)""")
+@query(f"""{with_views('v_block')}, x AS (SELECT page_id, block_id, {_ASSET.format('pos')} AS a, {_ASSET.format('doc_id')} AS b, length(text) % 3 = 0 AS figure FROM v_block) SELECT page_id, block_id, a AS asset_id FROM x WHERE figure AND a IS NOT NULL AND NOT EXISTS (SELECT 1 FROM x y WHERE y.page_id = x.page_id AND y.b = x.a)""")
 def publish_unresolved_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = views.blocks(spark, sf_dir).where("length(text) % 3 = 0")
-    return publish.unresolved_figures(_assets(blocks, "pos").withColumn("kind", F.lit("figure")), _assets(blocks, "doc_id"))
+    blocks = views.blocks(spark, sf_dir)
+    kinds = blocks.select("page_id", "block_id", F.when(F.length("text") % 3 == 0, "figure").otherwise("paragraph").alias("kind"))
+    return publish.unresolved_figures(_assets(blocks, "pos").join(kinds, ["page_id", "block_id"]), _assets(blocks, "doc_id"))
 
 
 @query(f"WITH {_TERMS}, dt AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents) SELECT 'c.' || form AS concept_id, upper(form) AS term, form AS source_term, count(doc_id) AS n_pages, min(printf('p%04d', doc_id)) AS first_page FROM tm LEFT JOIN dt ON term = form GROUP BY form")
@@ -509,7 +510,7 @@ def _translated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     source = _block_boxes(spark, sf_dir).withColumn("height", F.lit(800.0))
     plain = F.regexp_replace("text", r"[^\x00-\x7f]", "")
     target = F.when(F.col("pos") % 4 == 0, plain).when(F.col("pos") % 4 == 1, "#$%&").otherwise(F.concat(F.lit("T "), plain))
-    return source.withColumn("text", plain), source.where("pos % 7 <> 3").select("page_id", "block_id", target.alias("text"))
+    return source.withColumn("text", plain), source.select("page_id", "block_id", F.when(F.col("pos") % 7 != 3, target).alias("text"))
 
 
 _KIND = "CASE WHEN kind = 'heading' THEN 'title' ELSE 'body' END"
@@ -564,7 +565,7 @@ def reader_files_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.table(spark, sf_dir, "documents")
     wanted = docs.select(F.col("source").alias("document_id"), F.col("lang").alias("edition"), F.col("doc_id").alias("page_id"))
     own = docs.join(views.table(spark, sf_dir, "labels"), "doc_id").select(F.col("source").alias("document_id"), F.col("lang").alias("edition"), F.col("doc_id").alias("page_id"), F.concat(F.lit("own/"), F.col("quality").cast("string")).alias("path"))
-    root = docs.where("n_chars % 2 = 0").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_id"), F.concat(F.lit("root/"), F.col("doc_id").cast("string")).alias("path"))
+    root = docs.select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_id"), F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("root/"), F.col("doc_id").cast("string"))).alias("path"))
     return reader.with_fallback(wanted, own, root)
 
 
@@ -749,14 +750,14 @@ def render_reader_inlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.reader_inlines(ir.inlines(_page_ir(spark, sf_dir)))
 
 
-@query("""WITH r AS (SELECT source AS page_id, doc_id AS nth, ([72, 150, 300, 96])[n_chars % 4 + 1] AS dpi, n_chars AS width, n_chars + 1 AS height FROM documents WHERE n_chars % 4 <> 1 OR doc_id % 3 = 0),
+@query("""WITH r AS (SELECT 'n' || n_chars // 50 AS page_id, doc_id AS nth, ([72, 150, 300, 96])[doc_id % 4 + 1] AS dpi, n_chars AS width, n_chars + 1 AS height FROM documents),
     b AS (SELECT page_id, min((CASE dpi WHEN 150 THEN 0 WHEN 300 THEN 1 ELSE 2 END, nth)) AS m, bool_or(dpi = 300) AS fine FROM r GROUP BY 1)
     SELECT r.page_id, 'rasters/' || r.page_id || '__' || dpi || 'dpi.png' AS src, CASE WHEN fine THEN 'rasters/' || r.page_id || '__300dpi.png' ELSE '' END AS src_fine, width, height FROM b JOIN r ON r.page_id = b.page_id AND r.nth = m[2]""")
 def render_facsimiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the rasters of their source, at four resolutions."""
-    docs = views.table(spark, sf_dir, "documents").where("n_chars % 4 <> 1 OR doc_id % 3 = 0")
-    dpi = F.element_at(F.array(*map(F.lit, (72, 150, 300, 96))), (F.col("n_chars") % 4 + 1).cast("int"))
-    return render.facsimiles(docs.select(F.col("source").alias("page_id"), F.col("doc_id").alias("nth"), dpi.alias("dpi"), F.col("n_chars").alias("width"), (F.col("n_chars") + 1).alias("height")))
+    """Documents of about one length as the rasters of a page, at four resolutions."""
+    docs = views.table(spark, sf_dir, "documents")
+    dpi = F.element_at(F.array(*map(F.lit, (72, 150, 300, 96))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return render.facsimiles(docs.select(F.concat(F.lit("n"), F.expr("n_chars div 50").cast("string")).alias("page_id"), F.col("doc_id").alias("nth"), dpi.alias("dpi"), F.col("n_chars").alias("width"), (F.col("n_chars") + 1).alias("height")))
 
 
 @query("WITH t AS (SELECT DISTINCT n_chars AS page_id, lang AS language FROM documents) SELECT page_id, arg_min(language, (CASE WHEN language = 'en' THEN 0 ELSE 1 END, language)) AS language FROM t GROUP BY 1")
