@@ -232,13 +232,52 @@ def dealt(rows: DataFrame, fp: list[str], radius: int, tile: int = TILE) -> Data
     return out.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "side")
 
 
-def links(rows: DataFrame, fp: list[str], radius: int, size: str | None = None, least: tuple[int, int] | None = None, label: str | None = None, tile: int = TILE) -> DataFrame:
+class Checked:
+    """Of near pairs those whose sets have the similarity asked for, as far as they join what isn't joined yet."""
+
+    def __init__(self, ids: np.ndarray, sets: np.ndarray, labels: np.ndarray, least: tuple[int, int]):
+        self.ids, self.sets, self.labels, self.least = ids, sets, labels.tolist(), least
+        self.parent: dict[int, int] = {}
+
+    def _root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def links(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs of places (i, j), enough of the similar ones to join all of them."""
+        over, under = self.least
+        lefts, rights = [], []
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        for x, ys in zip(*(np.unique(i), np.split(j, np.flatnonzero(np.diff(i)) + 1)), strict=True) if len(i) else ():
+            own = self._root(self.labels[x])
+            left = [y for y in ys.tolist() if self._root(self.labels[y]) != own and len(self.sets[y])]
+            mine = np.frombuffer(self.sets[x], np.uint64)
+            if not left or not len(mine):
+                continue
+            others = np.frombuffer(b"".join(self.sets[y] for y in left), np.uint64)
+            sizes = np.array([len(self.sets[y]) // 8 for y in left])
+            hit = mine[np.minimum(np.searchsorted(mine, others), len(mine) - 1)] == others
+            both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for k in np.flatnonzero(under * both >= over * (len(mine) + sizes - both)).tolist():
+                a, b = self._root(self.labels[x]), self._root(self.labels[left[k]])
+                if a != b:
+                    self.parent[max(a, b)] = min(a, b)
+                    lefts.append(x)
+                    rights.append(left[k])
+        return np.array(lefts, np.int64), np.array(rights, np.int64)
+
+
+def links(rows: DataFrame, fp: list[str], radius: int, size: str | None = None, least: tuple[int, int] | None = None, label: str | None = None, sets: str | None = None, tile: int = TILE) -> DataFrame:
     """bucket, src, dst: links that join all ids of a bucket whose fingerprints are within ``radius`` bits.
 
     rows: bucket, id, the words ``fp`` of the fingerprint, all long. ``size`` and ``least``: set sizes, of which pairs that can't
-    have the similarity ``least`` are skipped. ``label``: give all pairs of different labels, not only enough to join them.
+    have the similarity ``least`` are skipped. ``label``: give all pairs of different labels, not only enough to join them; with
+    ``sets`` (binary: sorted hashes), of these pairs only similar ones, enough to join them.
     """
-    names = ("bucket", "pair", "side", "id", *fp, *([size] if size else []), *([label] if label else []))
+    names = ("bucket", "pair", "side", "id", *fp, *([size] if size else []), *([label] if label else []), *([sets] if sets else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(bucket: np.ndarray, src: np.ndarray, dst: np.ndarray) -> pa.RecordBatch:
@@ -256,6 +295,8 @@ def links(rows: DataFrame, fp: list[str], radius: int, size: str | None = None,
                 i, j = few[i], few[j]
                 if label:
                     i, j = i[g[label][i] != g[label][j]], j[g[label][i] != g[label][j]]
+                if sets:
+                    i, j = Checked(ids, g[sets], g[label], least).links(i, j)
                 yield found(g["bucket"][i], ids[i], ids[j])
             for k in np.flatnonzero((many > 16) | ((g["pair"][starts[:-1]] != 0) & (many > 1))).tolist():
                 at, to = int(starts[k]), int(starts[k + 1])
@@ -265,8 +306,12 @@ def links(rows: DataFrame, fp: list[str], radius: int, size: str | None = None,
                 one_tile = split == to and g["pair"][at] >> 31 == g["pair"][at] & ((1 << 31) - 1)
                 b, shift = (a, at) if one_tile else (part(split, to), split)
                 labels = (g[label][at:split], g[label][shift : shift + len(b.ones)]) if label else None
+                checks = Checked(ids, g[sets], g[label], least) if sets else None
                 for i, j in tile_links(a, b, radius, least, labels):
-                    yield found(np.full(len(i), g["bucket"][at]), ids[i + at], ids[j + shift])
+                    i, j = i + at, j + shift
+                    if checks:
+                        i, j = checks.links(i, j)
+                    yield found(np.full(len(i), g["bucket"][at]), ids[i], ids[j])
 
     sent = dealt(rows, fp, radius, tile).select(*names)
     return sent.mapInArrow(run, "bucket long, src long, dst long")
@@ -387,15 +432,15 @@ def radius_for(similarity: float, bits: int, sureness: float = 3.2) -> int:
     return math.ceil(bits * p + sureness * math.sqrt(bits * p * (1 - p)))
 
 
-def similar_texts(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4, 5), tables: int = 64, bits: int = 16, seed: int = 42, tile: int = TILE) -> DataFrame:
+def similar_texts(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4, 5), tables: int = 96, bits: int = 16, seed: int = 42, tile: int = TILE) -> DataFrame:
     """row_key, doc_id, component: texts are in one component if links of a similarity of least[0] / least[1] or more connect them.
 
     docs: row_key (long, equal for equal rows only), doc_id (null or repeated ones too), text. Texts with the same set, those
     without a word included, are in one component. Repeated rows keep a row each. Nothing is linked that isn't as similar as
-    asked. Of pairs at a similarity of exactly 0.8, about 99 in 100 meet under one of the masks; at 0.85, all but about 6 in 10,000.
+    asked. Of pairs at a similarity of exactly 0.8, about 999 in 1,000 meet under one of the masks.
 
-    Tiles give enough links to join what is near; where the sets refute one of them, all near pairs of that
-    bucket which aren't joined yet are checked too.
+    Tiles give enough links to join what is near. Where the sets refute one of them, the near texts of that bucket meet again
+    with their sets, and all near pairs which aren't joined yet are checked in place: no row is made for a pair that isn't similar.
     """
     from folio.llm.dac import shared_folder
 
@@ -408,24 +453,20 @@ def similar_texts(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4,
     ordered = lambda found: found.select("bucket", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     held = ordered(links(rows, words, near, "n", least, tile=tile)).checkpoint()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        names = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = nodes.join(names, "node").select("node", "row_key").checkpoint()
-        few = broadcast_if_few(wanted)
-        if few is None:
-            return pairs.select("a", "b", F.lit(True).alias("similar"))
-        sets = _shingle_sets(docs.join(few, "row_key"), width, seed).dropDuplicates(["node"]).checkpoint()
-        return checked(pairs, sets, least).checkpoint()
-
-    found = verified(held.select("a", "b").distinct())
+    names = held.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(names, "node").select("node", "row_key").checkpoint()
+    few = broadcast_if_few(wanted)
+    if few is None:
+        return keys.select("row_key", "doc_id", F.col("node").alias("component"))
+    sets = _shingle_sets(docs.join(few, "row_key"), width, seed).dropDuplicates(["node"]).checkpoint()
+    found = checked(held.select("a", "b").distinct(), sets, least).checkpoint()
     labels = connected_components(found.where("similar"), "a", "b")
-    refuted = found.where("NOT similar").select("a", "b").checkpoint()
-    doubted = held.join(refuted, ["a", "b"], "left_semi").select("bucket").distinct().checkpoint()
+    doubted = held.join(found.where("NOT similar"), ["a", "b"], "left_semi").select("bucket").distinct().checkpoint()
     few = broadcast_if_few(doubted)
     if few is not None:
-        again = rows.join(few, "bucket", "left_semi").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        rest = ordered(links(again, words, near, "n", least, "component", tile)).select("a", "b").distinct().join(refuted, ["a", "b"], "left_anti")
-        more = verified(rest.checkpoint()).where("similar")
+        again = rows.join(few, "bucket", "left_semi").join(sets.withColumnRenamed("node", "id"), "id")
+        again = again.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        more = ordered(links(again, words, near, "n", least, "component", "shingles", tile=min(tile, TILE // 4))).select("a", "b").checkpoint()
         if not more.isEmpty():
-            labels = connected_components(found.where("similar").select("a", "b").unionByName(more.select("a", "b")), "a", "b")
+            labels = connected_components(found.where("similar").select("a", "b").unionByName(more), "a", "b")
     return keys.select("row_key", "doc_id", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("row_key", "doc_id", F.coalesce("component", "node").alias("component"))

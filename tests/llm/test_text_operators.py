@@ -89,7 +89,7 @@ def test_links_across_labels_are_all_pairs(spark, tile):
     rng = np.random.default_rng(9)
     rows = [(int(rng.integers(0, 3)), k, int(rng.integers(0, 1 << 6)), int(rng.integers(0, 4)), int(rng.integers(1, 30))) for k in range(120)]
     df = spark.createDataFrame(rows, "bucket long, id long, f0 long, group long, n long").withColumn("f1", F.lit(7).cast("long"))
-    found = simhash.links(df, ["f0", "f1"], 2, "n", (4, 5), "group", tile).collect()
+    found = simhash.links(df, ["f0", "f1"], 2, "n", (4, 5), "group", tile=tile).collect()
     fits = lambda m, n: 5 * min(m, n) >= 4 * max(m, n)
     expected = {(r[0], r[1], s[1]) for r in rows for s in rows if r[1] < s[1] and r[0] == s[0] and r[3] != s[3] and (r[2] ^ s[2]).bit_count() <= 2 and fits(r[4], s[4])}
     assert {(r["bucket"], min(r["src"], r["dst"]), max(r["src"], r["dst"])) for r in found} == expected and expected
