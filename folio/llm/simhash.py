@@ -235,8 +235,8 @@ def dealt(rows: DataFrame, fp: list[str], radius: int, tile: int = TILE) -> Data
 class Checked:
     """Of near pairs those whose sets have the similarity asked for, as far as they join what isn't joined yet."""
 
-    def __init__(self, ids: np.ndarray, sets: np.ndarray, labels: np.ndarray, least: tuple[int, int]):
-        self.ids, self.sets, self.labels, self.least = ids, sets, labels.tolist(), least
+    def __init__(self, sets: np.ndarray, labels: np.ndarray, least: tuple[int, int]):
+        self.sets, self.labels, self.least = sets, labels.tolist(), least
         self.parent: dict[int, int] = {}
 
     def _root(self, x: int) -> int:
@@ -296,7 +296,7 @@ def links(rows: DataFrame, fp: list[str], radius: int, size: str | None = None,
                 if label:
                     i, j = i[g[label][i] != g[label][j]], j[g[label][i] != g[label][j]]
                 if sets:
-                    i, j = Checked(ids, g[sets], g[label], least).links(i, j)
+                    i, j = Checked(g[sets], g[label], least).links(i, j)
                 yield found(g["bucket"][i], ids[i], ids[j])
             for k in np.flatnonzero((many > 16) | ((g["pair"][starts[:-1]] != 0) & (many > 1))).tolist():
                 at, to = int(starts[k]), int(starts[k + 1])
@@ -306,7 +306,7 @@ def links(rows: DataFrame, fp: list[str], radius: int, size: str | None = None,
                 one_tile = split == to and g["pair"][at] >> 31 == g["pair"][at] & ((1 << 31) - 1)
                 b, shift = (a, at) if one_tile else (part(split, to), split)
                 labels = (g[label][at:split], g[label][shift : shift + len(b.ones)]) if label else None
-                checks = Checked(ids, g[sets], g[label], least) if sets else None
+                checks = Checked(g[sets], g[label], least) if sets else None
                 for i, j in tile_links(a, b, radius, least, labels):
                     i, j = i + at, j + shift
                     if checks:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -78,3 +79,25 @@ def test_a_group_without_a_doc_id_bridges_two(spark):
     rows = [(1, texts[0]), (None, texts[1]), (2, texts[2])]
     kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()
     assert [r["doc_id"] for r in kept] == [1]
+
+
+def test_checked_links_join_what_is_similar():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[int(rng.integers(0, 20)) :], rng.integers(0, 1 << 63, int(rng.integers(0, 8)), dtype=np.uint64)])) for _ in range(40)] + [np.zeros(0, np.uint64)]
+    labels = np.arange(len(sets)) // 2
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if labels[i] != labels[j]]
+    raw = np.array([s.tobytes() for s in sets], object)
+    i, j = simhash.Checked(raw, labels, (4, 5)).links(*map(np.array, zip(*pairs)))
+    similar = lambda a, b: len(sets[a]) and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))
+    assert all(similar(a, b) for a, b in zip(i.tolist(), j.tolist())) and len(i) < len(sets)
+
+    def groups(links):
+        own = labels.tolist()
+        for _ in own:
+            for a, b in links:
+                low, high = sorted((own[a], own[b]))
+                own = [low if x == high else x for x in own]
+        return own
+
+    assert groups(list(zip(i.tolist(), j.tolist()))) == groups([p for p in pairs if similar(*p)])
