@@ -195,8 +195,8 @@ def broadcast_if_few(keys: DataFrame) -> DataFrame | None:
     return None if not n else F.broadcast(keys) if n <= MOST_BROADCAST else keys
 
 
-def dealt(rows: DataFrame, fp: list[str], radius: int, tile: int = TILE) -> DataFrame:
-    """rows (bucket, fp words, ...) with pair and side, dealt by (bucket, pair) and sorted: a hot bucket's rows once for each pair of tiles they take part in."""
+def dealt(rows: DataFrame, fp: list[str], radius: int, tile: int = TILE, sets: DataFrame | None = None) -> DataFrame:
+    """rows (bucket, fp words, ...) with pair and side, and the columns of sets (by id), dealt by (bucket, pair) and sorted: a hot bucket's rows once for each pair of tiles they take part in."""
     # A 16th of the ids (by a hash) tells hot buckets: one of `tile` rows has tile / 16 of them, and is taken as hot from half of that on.
     seen = rows.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0) if tile >= 1024 else rows
     enough = tile / 32 if tile >= 1024 else tile
@@ -226,6 +226,7 @@ def dealt(rows: DataFrame, fp: list[str], radius: int, tile: int = TILE) -> Data
         tiled = tiled.join(tiles.select("bucket", "run", "cuts", "part", "t"), ["bucket", "run", "cuts", "part"]).join(sides, ["bucket", "t"])
         names = [*rows.columns, *placed]
         out = rows.join(few, "bucket", "left_anti").withColumns(placed).select(*names).unionByName(tiled.select(*names))
+    out = out if sets is None else out.join(sets, "id")
     return out.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "side")
 
 
@@ -267,14 +268,15 @@ class Checked:
         return np.array(lefts, np.int64), np.array(rights, np.int64)
 
 
-def links(rows: DataFrame, fp: list[str], radius: int, size: str | None = None, least: tuple[int, int] | None = None, label: str | None = None, sets: str | None = None, tile: int = TILE) -> DataFrame:
+def links(rows: DataFrame, fp: list[str], radius: int, size: str | None = None, least: tuple[int, int] | None = None, label: str | None = None, sets: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """bucket, src, dst: links that join all ids of a bucket whose fingerprints are within ``radius`` bits.
 
     rows: bucket, id, the words ``fp`` of the fingerprint, all long. ``size`` and ``least``: set sizes, of which pairs that can't
     have the similarity ``least`` are skipped. ``label``: give all pairs of different labels, not only enough to join them; with
-    ``sets`` (binary: sorted hashes), of these pairs only similar ones, enough to join them.
+    ``sets`` (id, shingles: sorted hashes as bytes), of these pairs only similar ones, enough to join them.
     """
-    names = ("bucket", "pair", "side", "id", *fp, *([size] if size else []), *([label] if label else []), *([sets] if sets else []))
+    names = ("bucket", "pair", "side", "id", *fp, *([size] if size else []), *([label] if label else []), *(["shingles"] if sets is not None else []))
+    exact = sets is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(bucket: np.ndarray, src: np.ndarray, dst: np.ndarray) -> pa.RecordBatch:
@@ -292,8 +294,8 @@ def links(rows: DataFrame, fp: list[str], radius: int, size: str | None = None,
                 i, j = few[i], few[j]
                 if label:
                     i, j = i[g[label][i] != g[label][j]], j[g[label][i] != g[label][j]]
-                if sets:
-                    i, j = Checked(g[sets], g[label], least).links(i, j)
+                if exact:
+                    i, j = Checked(g["shingles"], g[label], least).links(i, j)
                 yield found(g["bucket"][i], ids[i], ids[j])
             for k in np.flatnonzero((many > 16) | ((g["pair"][starts[:-1]] != 0) & (many > 1))).tolist():
                 at, to = int(starts[k]), int(starts[k + 1])
@@ -303,14 +305,14 @@ def links(rows: DataFrame, fp: list[str], radius: int, size: str | None = None,
                 one_tile = split == to and g["pair"][at] >> 31 == g["pair"][at] & ((1 << 31) - 1)
                 b, shift = (a, at) if one_tile else (part(split, to), split)
                 labels = (g[label][at:split], g[label][shift : shift + len(b.ones)]) if label else None
-                checks = Checked(g[sets], g[label], least) if sets else None
+                checks = Checked(g["shingles"], g[label], least) if exact else None
                 for i, j in tile_links(a, b, radius, least, labels):
                     i, j = i + at, j + shift
                     if checks:
                         i, j = checks.links(i, j)
                     yield found(np.full(len(i), g["bucket"][at]), ids[i], ids[j])
 
-    sent = dealt(rows, fp, radius, tile).select(*names)
+    sent = dealt(rows, fp, radius, tile, sets).select(*names)
     return sent.mapInArrow(run, "bucket long, src long, dst long")
 
 
@@ -461,9 +463,10 @@ def similar_texts(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4,
     doubted = held.join(found.where("NOT similar"), ["a", "b"], "left_semi").select("bucket").distinct().checkpoint()
     few = broadcast_if_few(doubted)
     if few is not None:
-        again = rows.join(few, "bucket", "left_semi").join(sets.withColumnRenamed("node", "id"), "id")
-        again = again.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        more = ordered(links(again, words, near, "n", least, "component", "shingles", tile=min(tile, TILE // 4))).select("a", "b").checkpoint()
+        suspects = nodes.join(names, "node").withColumnRenamed("node", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        again = met(suspects, words, random_masks(tables, bits, WIDE), "n", "component").join(few, "bucket", "left_semi").checkpoint()
+        more = links(again, words, near, "n", least, "component", sets.withColumnRenamed("node", "id"), tile=min(tile, TILE // 4))
+        more = ordered(more).select("a", "b").checkpoint()
         if not more.isEmpty():
             labels = connected_components(found.where("similar").select("a", "b").unionByName(more), "a", "b")
     return keys.select("row_key", "doc_id", "node").join(labels.withColumnRenamed("id", "node"), "node", "left").select("row_key", "doc_id", F.coalesce("component", "node").alias("component"))
