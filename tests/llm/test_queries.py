@@ -20,6 +20,7 @@ COLUMNS = {
     "op8_squares_packing": ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"),
     "op9_conv_langid": ("doc_id", "held_out", "lang_pred", "score"),
     "op10_decision_list": ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"),
+    "op11_link_trust": ("page_id", "host", "path", "rule", "verdict"),
 }
 PAGES = [(1, "u", "<article><p>Some text</p></article><nav>x</nav>"), (2, None, None), (None, "u", "")]
 
@@ -50,7 +51,7 @@ def test_query(spark, folders, name):
     if "doc_id" in found.columns:
         assert sorted({str(r["doc_id"]) for r in rows}) == sorted({str(i) for i, _ in texts()})
         assert name == "op8_squares_packing" or len(rows) == len(texts())
-    elif name == "op1_main_text":
+    elif name in ("op1_main_text", "op11_link_trust"):
         assert len(rows) == len(PAGES)
     else:
         assert len(rows) == 3 * 20
