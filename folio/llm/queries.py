@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import ann, bpe, dac, html_extract, langid, lm, packing, quality, secrets, simhash, urlfilter
+from folio.llm import ann, bpe, dac, html_extract, langid, lm, packing, prefix_trie, quality, secrets, simhash, urlfilter
 from folio.llm.textarrays import small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -72,8 +72,12 @@ def op11_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    found = (op1_main_text, op2_one_bit_neighbours, op3_interpolated_lm, op4_simhash_groups, op5_prefix_bpe, op6_secret_scan, op7_addressable_tokens, op8_squares_packing, op9_conv_langid, op10_decision_list, op11_link_trust)
+    found = (op1_main_text, op2_one_bit_neighbours, op3_interpolated_lm, op4_simhash_groups, op5_prefix_bpe, op6_secret_scan, op7_addressable_tokens, op8_squares_packing, op9_conv_langid, op10_decision_list, op11_link_trust, op12_prefix_trie)
     return {f.__name__: f for f in found}
 
 
@@ -93,4 +97,5 @@ ORACLES = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
     "op11_link_trust": urlfilter.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }

@@ -21,6 +21,7 @@ COLUMNS = {
     "op9_conv_langid": ("doc_id", "held_out", "lang_pred", "score"),
     "op10_decision_list": ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"),
     "op11_link_trust": ("page_id", "host", "path", "rule", "verdict"),
+    "op12_prefix_trie": ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"),
 }
 PAGES = [(1, "u", "<article><p>Some text</p></article><nav>x</nav>"), (2, None, None), (None, "u", "")]
 
@@ -35,6 +36,7 @@ def folders(spark, tmp_path_factory):
             "documents": documents(spark),
             "pages": spark.createDataFrame(PAGES, "page_id long, url string, html string"),
             "embeddings": spark.createDataFrame([(i, [float(i % 7), 1.0, float(-i)], 0) for i in range(60)], "vec_id long, embedding array<float>, label int"),
+            "conversations": spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, None, None), (2, None, "user", "hi"), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string"),
             "labels": spark.createDataFrame([(1, 1, 0), (5, 0, 0), (5, 0, 1), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int"),
         }
         for name, df in tables.items():
@@ -53,6 +55,8 @@ def test_query(spark, folders, name):
         assert name == "op8_squares_packing" or len(rows) == len(texts())
     elif name in ("op1_main_text", "op11_link_trust"):
         assert len(rows) == len(PAGES)
+    elif name == "op12_prefix_trie":
+        assert sorted(r["depth"] for r in rows)[:1] == [0] and max(r["n_convs"] for r in rows) == 2
     else:
         assert len(rows) == 3 * 20
     if name in ("op3_interpolated_lm", "op9_conv_langid"):
