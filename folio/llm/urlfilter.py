@@ -20,6 +20,10 @@ URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 ANCHOR = r"""(?i)<(?:a|area)\s(?:[^>]*?\s)?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'<>\s]*)"""
 
 
+#: Bytes of blocked hosts' names up to which they are broadcast to the pages.
+MOST_BROADCAST = 8 << 20
+
+
 class Rule(NamedTuple):
     """A verdict (allow or block) for a host with its subdomains and the paths that start with ``path``."""
 
@@ -122,7 +126,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = 0.
     host, path = host_and_path(F.col("url"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     scores = host_scores(pages.select("url", "html"), rules, damping)
-    bad = scores.where(F.col("distrust") - F.col("trust") > margin * F.col("pages")).select(F.col("host").alias("bad"))
+    bad = scores.where(F.col("distrust") - F.col("trust") > margin * F.col("pages")).select(F.col("host").alias("bad")).checkpoint()
+    if (bad.agg(F.sum(F.octet_length("bad") + 16)).first()[0] or 0) <= MOST_BROADCAST:
+        bad = F.broadcast(bad)
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = rows.select("*", name.alias("rule"), verdict.alias("verdict")).join(bad, F.col("host") == F.col("bad"), "left")
     own = F.when(F.col("bad").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
