@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import ann, bpe, dac, html_extract, langid, lm, packing, prefix_trie, quality, secrets, simhash, urlfilter
+from folio.llm import ann, bpe, collocations, dac, html_extract, langid, lm, packing, prefix_trie, quality, secrets, simhash, urlfilter
 from folio.llm.textarrays import small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -76,8 +76,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(_read(spark, sf_dir, "conversations"))
 
 
+def op13_tiled_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_main_text, op2_one_bit_neighbours, op3_interpolated_lm, op4_simhash_groups, op5_prefix_bpe, op6_secret_scan, op7_addressable_tokens, op8_squares_packing, op9_conv_langid, op10_decision_list, op11_link_trust, op12_prefix_trie)
+    found = (op1_main_text, op2_one_bit_neighbours, op3_interpolated_lm, op4_simhash_groups, op5_prefix_bpe, op6_secret_scan, op7_addressable_tokens, op8_squares_packing, op9_conv_langid, op10_decision_list, op11_link_trust, op12_prefix_trie, op13_tiled_phrases)
     return {f.__name__: f for f in found}
 
 
@@ -98,4 +102,5 @@ ORACLES = {
     """,
     "op11_link_trust": urlfilter.ORACLE,
     "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_tiled_phrases": collocations.ORACLE,
 }

@@ -64,9 +64,9 @@ def test_against_python_and_sql(spark, sizes):
         assert sorted((tuple(r) for r in c.execute(prefix_trie.ORACLE).fetchall()), key=str) == want
 
 
-def test_a_conversation_that_most_repeat(spark, monkeypatch):
-    monkeypatch.setattr(prefix_trie, "CHUNK_IDS", 7)
-    rows = [(1000 * i + 1, t, "user", "hello") for i in range(300) for t in range(7)]
+def test_a_conversation_that_most_repeat(spark):
+    """More ids of one node than a chunk holds."""
+    rows = [(100 * i + 1, 0, "user", "hello") for i in range(20_000)] + [(100 * i + 2, t, "user", str(i)) for i in range(3) for t in range(4)]
     found = prefix_trie.prefix_nodes(spark.createDataFrame(rows, SCHEMA)).select(*COLUMNS).collect()
     assert sorted((tuple(r) for r in found), key=str) == plain(rows)
 

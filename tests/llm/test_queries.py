@@ -22,6 +22,7 @@ COLUMNS = {
     "op10_decision_list": ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"),
     "op11_link_trust": ("page_id", "host", "path", "rule", "verdict"),
     "op12_prefix_trie": ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"),
+    "op13_tiled_phrases": ("lang", "rank", "phrase", "a", "l", "r", "n", "score"),
 }
 PAGES = [(1, "u", "<article><p>Some text</p></article><nav>x</nav>"), (2, None, None), (None, "u", "")]
 
@@ -55,6 +56,8 @@ def test_query(spark, folders, name):
         assert name == "op8_squares_packing" or len(rows) == len(texts())
     elif name in ("op1_main_text", "op11_link_trust"):
         assert len(rows) == len(PAGES)
+    elif name == "op13_tiled_phrases":
+        assert {r["lang"] for r in rows} == {"en"} and sorted(r["rank"] for r in rows) == list(range(1, len(rows) + 1))
     elif name == "op12_prefix_trie":
         assert sorted(r["depth"] for r in rows)[:1] == [0] and max(r["n_convs"] for r in rows) == 2
     else:
