@@ -35,6 +35,10 @@ TILE = 2048
 SLICE = 1 << 19
 #: A broadcast of keys (8 bytes each) is made up to this count, which is looked at first.
 MOST_BROADCAST = 1 << 18
+#: Bytes of shingle sets in a tile of them at most, but for one row's own.
+SET_BYTES = 64 << 20
+#: Distinct texts that a mask's bucket holds on average at most.
+BUCKET = 64
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -195,12 +199,16 @@ def broadcast_if_few(keys: DataFrame) -> DataFrame | None:
     return None if not n else F.broadcast(keys) if n <= MOST_BROADCAST else keys
 
 
-def dealt(rows: DataFrame, fp: list[str], radius: int, tile: int = TILE, sets: DataFrame | None = None) -> DataFrame:
-    """rows (bucket, fp words, ...) with pair and side, and the columns of sets (by id), dealt by (bucket, pair) and sorted: a hot bucket's rows once for each pair of tiles they take part in."""
+def dealt(rows: DataFrame, fp: list[str], radius: int, tile: int = TILE, sets: DataFrame | None = None, size: str | None = None) -> DataFrame:
+    """rows (bucket, fp words, ...) with pair and side, and the columns of sets (by id), dealt by (bucket, pair) and sorted: a hot bucket's rows once for each pair of tiles they take part in.
+
+    With sets, a row counts for as many as its set (of ``size`` hashes) takes shares of SET_BYTES, so a tile is bounded in bytes too.
+    """
+    weight = F.lit(1) if sets is None else F.floor(8 * F.col(size) * tile / SET_BYTES) + 1
     # A 16th of the ids (by a hash) tells hot buckets: one of `tile` rows has tile / 16 of them, and is taken as hot from half of that on.
     seen = rows.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0) if tile >= 1024 else rows
     enough = tile / 32 if tile >= 1024 else tile
-    hot = seen.groupBy("bucket").agg(F.count("*").alias("total")).where(F.col("total") > enough).select("bucket").checkpoint()
+    hot = seen.groupBy("bucket").agg(F.sum(weight).alias("total")).where(F.col("total") > enough).select("bucket").checkpoint()
     placed = {"pair": F.lit(0).cast("long"), "side": F.lit(0)}
     few = broadcast_if_few(hot)
     if few is None:
@@ -210,7 +218,7 @@ def dealt(rows: DataFrame, fp: list[str], radius: int, tile: int = TILE, sets: D
         warm = rows.join(few, "bucket", "left_semi").withColumn("ones", ones)
         w = Window.partitionBy("bucket").orderBy("ones")
         # Tiles of a bucket: runs of its population counts with about `tile` fingerprints; a count with more is cut by a hash.
-        spans = warm.groupBy("bucket", "ones").agg(F.count("*").alias("n"))
+        spans = warm.groupBy("bucket", "ones").agg(F.sum(weight).alias("n"))
         spans = spans.withColumn("run", F.floor((F.sum("n").over(w) - 1) / tile)).withColumn("cuts", F.ceil(F.col("n") / tile).cast("int"))
         tiles = spans.groupBy("bucket", "run", "cuts").agg(F.min("ones").alias("low"), F.max("ones").alias("high"))
         tiles = tiles.select("bucket", "run", "cuts", "low", "high", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"))
@@ -312,7 +320,7 @@ def links(rows: DataFrame, fp: list[str], radius: int, size: str | None = None,
                         i, j = checks.links(i, j)
                     yield found(np.full(len(i), g["bucket"][at]), ids[i], ids[j])
 
-    sent = dealt(rows, fp, radius, tile, sets).select(*names)
+    sent = dealt(rows, fp, radius, tile, sets, size).select(*names)
     return sent.mapInArrow(run, "bucket long, src long, dst long")
 
 
@@ -431,12 +439,22 @@ def radius_for(similarity: float, bits: int, sureness: float = 3.2) -> int:
     return math.ceil(bits * p + sureness * math.sqrt(bits * p * (1 - p)))
 
 
-def similar_texts(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4, 5), tables: int = 96, bits: int = 16, seed: int = 42, tile: int = TILE) -> DataFrame:
+def masks_for(n: int, similarity: float, missed: float = 8e-4, least_bits: int = 16) -> tuple[int, int]:
+    """Number of masks and bits a mask for n distinct texts: buckets of chance hold BUCKET at most, and of pairs of this similarity a share of ``missed`` at most meets under no mask.
+
+    Two sets agree in a bit with 1 minus their angle over pi, so twice the texts take a bit more and, at a similarity of 0.8, 18 % more masks.
+    """
+    bits = max(least_bits, math.ceil(math.log2(max(n, 1) / BUCKET)))
+    meets = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits if similarity < 1 else 1.0
+    return (math.ceil(math.log(missed) / math.log1p(-meets)) if meets < 1 else 1), bits
+
+
+def similar_texts(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4, 5), missed: float = 8e-4, seed: int = 42, tile: int = TILE) -> DataFrame:
     """row_key, doc_id, component: texts are in one component if links of a similarity of least[0] / least[1] or more connect them.
 
     docs: row_key (long, equal for equal rows only), doc_id (null or repeated ones too), text. Texts with the same set, those
     without a word included, are in one component. Repeated rows keep a row each. Nothing is linked that isn't as similar as
-    asked. Of pairs at a similarity of exactly 0.8, about 999 in 1,000 meet under one of the masks.
+    asked. Of pairs just as similar as asked a share of ``missed`` meets under none of the masks, which follow the number of distinct texts.
 
     Tiles give enough links to join what is near. Where the sets refute one of them, the near texts of that bucket meet again
     with their sets, and all near pairs which aren't joined yet are checked in place: no row is made for a pair that isn't similar.
@@ -448,7 +466,8 @@ def similar_texts(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4,
     near = radius_for(least[0] / least[1], 64 * WIDE)
     keys = wide_fingerprints(docs, width, seed).checkpoint()
     nodes = keys.groupBy("node").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), *[F.first(w).alias(w) for w in words]).checkpoint()
-    rows = met(nodes.withColumnRenamed("node", "id"), words, random_masks(tables, bits, WIDE), "n")
+    masks = random_masks(*masks_for(nodes.count(), least[0] / least[1], missed), WIDE)
+    rows = met(nodes.withColumnRenamed("node", "id"), words, masks, "n")
     ordered = lambda found: found.select("bucket", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     held = ordered(links(rows, words, near, "n", least, tile=tile)).checkpoint()
 
@@ -464,7 +483,7 @@ def similar_texts(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4,
     few = broadcast_if_few(doubted)
     if few is not None:
         suspects = nodes.join(names, "node").withColumnRenamed("node", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        again = met(suspects, words, random_masks(tables, bits, WIDE), "n", "component").join(few, "bucket", "left_semi").checkpoint()
+        again = met(suspects, words, masks, "n", "component").join(few, "bucket", "left_semi").checkpoint()
         more = links(again, words, near, "n", least, "component", sets.withColumnRenamed("node", "id"), tile=min(tile, TILE // 4))
         more = ordered(more).select("a", "b").checkpoint()
         if not more.isEmpty():

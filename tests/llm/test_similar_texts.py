@@ -101,3 +101,32 @@ def test_checked_links_join_what_is_similar():
         return own
 
     assert groups(list(zip(i.tolist(), j.tolist()))) == groups([p for p in pairs if similar(*p)])
+
+
+def test_masks_follow_the_number_of_texts():
+    sizes = [10**4, 10**6, 10**8, 10**10]
+    found = [simhash.masks_for(n, 0.8) for n in sizes]
+    assert found[0] == (96, 16) and all(n / 2**bits <= simhash.BUCKET for n, (_, bits) in zip(sizes, found, strict=True))
+    agree = 1 - np.arccos(2 * 0.8 / 1.8) / np.pi
+    assert all((1 - agree**bits) ** tables <= 8e-4 for tables, bits in found)
+    compared = [tables * n / 2**bits for n, (tables, bits) in zip(sizes, found, strict=True)]
+    assert compared[3] / compared[1] < 10_000 / 100  # a text's comparisons grow far slower than the texts
+
+
+def test_one_long_text_in_a_crowd(spark, monkeypatch):
+    """Tiles of sets are cut by their bytes: a long text has tiles of its own, and no link is lost."""
+    monkeypatch.setattr(simhash, "SET_BYTES", 1 << 14)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(160)]
+    long = [f"x{i}" for i in range(30_000)]
+    texts = [" ".join(altered(rng, base, rng.choice((1, 2, 3, 4)))) for _ in range(40)] + [" ".join(long), " ".join(altered(rng, long, 50))]
+    rows = list(enumerate(texts, 1))
+    sets = {i: shingles(t) for i, t in rows}
+    group = {i: i for i in sets}
+    pairs = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+    found = simhash.similar_texts(documents(spark, rows).withColumn("row_key", F.col("doc_id")), tile=16).collect()
+    of = {r["doc_id"]: r["component"] for r in found}
+    assert len(set(of.values())) == len(set(group.values())) and all(of[i] == of[j] for i, j in pairs) and of[41] == of[42]
