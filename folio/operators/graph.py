@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,13 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folio-"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name below the shared checkpoint folder; it stays there for that folder's owner to clear."""
+    ensure_checkpoints(spark)
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 100) -> DataFrame:
     """id, component (the smallest id reachable) of every node with a link.
 

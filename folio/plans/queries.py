@@ -450,11 +450,14 @@ def search_term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.term_statistics(search.postings(views.table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS l FROM documents), p AS (SELECT doc_id, len(l) AS length, unnest(l) AS term FROM t), i AS (SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM p GROUP BY 1, 2),
+_BM25 = """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS l FROM documents), p AS (SELECT doc_id, len(l) AS length, unnest(l) AS term FROM t), i AS (SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM p GROUP BY 1, 2),
     s AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT doc_id, any_value(length) AS length FROM i GROUP BY 1)), d AS (SELECT term, count(*) AS df FROM i GROUP BY 1),
     q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark)),
     x AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM q JOIN i USING (term) JOIN d USING (term) CROSS JOIN s GROUP BY 1, 2)
-    SELECT query_id, rank, key, score FROM (SELECT item_id AS query_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id AS key, score FROM x) WHERE rank <= 10""")
+    SELECT query_id, rank, key, score FROM (SELECT item_id AS query_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id AS key, score FROM x) WHERE rank <= 10"""
+
+
+@query(_BM25)
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = search.postings(views.table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("key").alias("query_id"), "term")
     return search.bm25(views.table(spark, sf_dir, "documents"), "doc_id", "text", queries)
