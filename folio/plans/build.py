@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions import text as T
 from folio.operators import assets, layout, publish, render, search, translate
-from folio.plans.stages import Stage
+from folio.plans.stages import PageStage, Stage
 
 Tables = dict[str, DataFrame]
 
@@ -63,12 +64,23 @@ def document_build(candidates: DataFrame, concepts: DataFrame, memory: DataFrame
             "publish": lambda spark, t: release_stage(t["render"], files),
         }[name]
 
-    names = ("evidence", "structure", "translate", "render", "chunks", "publish")
-    return [Stage(name, "1.0", of(name)) for name in names]
+    sources = {"evidence": [evidence], "structure": [candidates], "translate": [concepts, memory], "render": [], "chunks": [], "publish": [files]}
+    return [Stage(name, "1.0", of(name), tables) for name, tables in sources.items()]
+
+
+def page_build() -> list[PageStage]:
+    """From blocks (page_id, block_id, pos, kind, text) page by page: texts without decorative tokens, search chunks, and what a page's index row says."""
+    text = T.strip_decorative(F.col("text"))
+    chunks = F.count("*").cast("int").alias("n_chunks")
+    return [
+        PageStage("clean", "1.0", ["blocks"], lambda t: t["blocks"].withColumn("text", text).select("page_id", "block_id", "pos", "kind", "text")),
+        PageStage("chunks", "1.0", ["clean"], lambda t: chunk_stage(t["clean"])),
+        PageStage("summary", "1.0", ["chunks"], lambda t: t["chunks"].groupBy("page_id").agg(chunks, F.sum("n_blocks").cast("int").alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"))),
+    ]
 
 
 def run_build(spark: SparkSession, path: str, stages: list[Stage]) -> Tables:
-    """All tables of a build below a path that all executors reach; stages whose inputs are as before are read, not run."""
+    """All tables of a build below a path that all executors reach; stages whose inputs hold the same rows as before are read, not run."""
     from folio.plans.stages import Runner
 
     return Runner(spark, path).run(stages)

@@ -1,14 +1,17 @@
-"""Registered queries over indexes: ranked search by bounds, phrases, prefixes and NEAR, each with oracle SQL that scans the texts."""
+"""Registered queries over things that are kept: indexes for ranked search, phrases, prefixes and NEAR, and builds that follow changed pages. Oracle SQL works on the texts afresh."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions import text as T
 from folio.operators import positional, search, topk
 from folio.operators.graph import scratch
+from folio.plans import build, stages
 from folio.plans.queries import _BM25, query
 from folio.sources import views
+from folio.sources.views import with_views
 
 
 @query(_BM25)
@@ -57,3 +60,28 @@ def search_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = positional.phrase_rows(_items(spark, sf_dir, 1, 2), "words", phrase=F.lit(0))
     single = positional.phrase_rows(_items(spark, sf_dir, 6, 1), "words", phrase=F.lit(1))
     return positional.search(_index(spark, sf_dir), pair.unionByName(single))
+
+
+def _stripped(text: str) -> str:
+    for name, pattern in T.DECORATIVE:
+        text = f"regexp_replace({text}, '{pattern}', '{' ' if name == 'placeholder' else ''}', 'g')"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+_CHANGED = "CASE WHEN doc_id % 10 = 0 THEN text || ' AB1234 once more' ELSE text END"
+
+
+@query(f"""{with_views('v_block')}, c AS (SELECT doc_id, page_id, block_id, pos, kind, {_stripped(_CHANGED)} AS text FROM v_block),
+    b AS (SELECT *, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS br FROM c),
+    n AS (SELECT *, row_number() OVER w - CASE WHEN first_value(kind) OVER w = 'heading' THEN 1 ELSE 0 END AS nth, first_value(kind) OVER w AS o FROM b WINDOW w AS (PARTITION BY page_id, br ORDER BY pos)),
+    g AS (SELECT doc_id, page_id, br, CASE WHEN o = 'heading' AND nth <= 3 THEN 0 ELSE nth + 3 END AS gr, count(*) AS n, string_agg(text, ' ' ORDER BY pos) FILTER (text <> '') AS text FROM n GROUP BY ALL)
+    SELECT page_id, CAST(count(*) AS INTEGER) AS n_chunks, CAST(sum(n) AS INTEGER) AS n_blocks, CAST(sum(length(text)) AS BIGINT) AS n_chars, doc_id % 10 = 0 AS made_again FROM g WHERE text <> '' GROUP BY page_id, doc_id""")
+def build_changed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A build, then one after every tenth page has changed: the same rows as a fresh build, and only those pages made again."""
+    blocks = views.blocks(spark, sf_dir)
+    runner = stages.PageRunner(spark, scratch(spark, "pages"))
+    runner.run({"blocks": blocks.drop("doc_id")}, build.page_build())
+    changed = blocks.withColumn("text", F.expr(_CHANGED)).drop("doc_id")
+    after = runner.run({"blocks": changed}, build.page_build())["summary"]
+    made = runner.pages_made("summary", 2).withColumn("again", F.lit(True))
+    return after.join(made, "page_id", "left").withColumn("made_again", F.coalesce("again", F.lit(False))).drop("again")
