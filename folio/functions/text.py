@@ -133,6 +133,17 @@ def sentence_boundary_near_middle(text: Column) -> Column:
     return best["i"]
 
 
+#: Digraphs whose title case is a letter of its own.
+DIGRAPHS = ("ǄǇǊǱ", "ǅǈǋǲ")
+
+
+def capitalized(text: Column) -> Column:
+    """The first character in title case, all others in lower case. What a capital letter makes of one character is a capital and small ones (``ß`` gives ``Ss``)."""
+    up = F.upper(F.substring(text, 1, 1))
+    title = F.translate(F.concat(F.substring(up, 1, 1), F.lower(F.substring(up, 2, 3))), *DIGRAPHS)
+    return F.concat(title, F.lower(F.substring(text, 2, 1 << 30)))
+
+
 @F.pandas_udf(StringType())
 def nfkd_lower(text: pd.Series) -> pd.Series:
     """Lower case, NFKD, white space collapsed: Spark has no Unicode normalisation."""

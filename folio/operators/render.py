@@ -79,8 +79,7 @@ def contents(entries: DataFrame, pages: DataFrame) -> DataFrame:
 
 def reader_inlines(inlines: DataFrame) -> DataFrame:
     """page_id, block_id, child, kind, text, symbol_id, alt of what a reader shows: texts, line breaks as text, and icons with their name as alternative text; other inlines are left out."""
-    bare = F.regexp_replace("symbol_id", r"^sym\.", "")
-    alt = F.concat(F.upper(F.substring(bare, 1, 1)), F.lower(F.substring(bare, 2, 1 << 20)))
+    alt = T.capitalized(F.regexp_replace("symbol_id", r"^sym\.", ""))
     icon = F.col("type") == "icon"
     rows = inlines.where(F.col("type").isin("text", "icon", "line_break"))
     text = F.when(F.col("type") == "line_break", "\n").when(F.col("type") == "text", F.col("text"))

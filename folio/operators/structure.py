@@ -6,8 +6,6 @@ merged before are folds, by page.
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,35 +198,6 @@ def joined_spans(spans: DataFrame, gap: float = 1.5) -> DataFrame:
     return rows.groupBy("page_id", "line", "nth").agg(F.first("marks").alias("marks"), F.array_join(F.transform(parts, lambda p: F.concat(p["space"], p["text"])), "").alias("text"))
 
 
-def match_terms(blocks: DataFrame, terms: DataFrame) -> DataFrame:
-    """page_id, block_id, start, end, concept_id: whole-word matches of terms (concept_id, form), ignoring case; the longest form wins where matches overlap.
-
-    The terms are a table that grows with the input, so each word of a block meets the forms that
-    begin with it by a join, never all forms.
-    """
-    token = r"[\p{L}\p{N}]+"
-    forms = terms.select("concept_id", F.lower("form").alias("form")).where(F.col("form").rlike(token)).withColumn("head", F.regexp_extract("form", token, 0))
-    heads = blocks.select("page_id", "block_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({token})"), F.lit(1)))).alias("head"))  # keys and words only, no texts
-    likely = heads.join(forms, "head").groupBy("page_id", "block_id").agg(F.collect_set(F.struct("form", "concept_id")).alias("forms"))
-    found = blocks.select("page_id", "block_id", F.lower("text").alias("low")).join(likely, ["page_id", "block_id"])
-    found = found.withColumn("forms", F.filter("forms", lambda f: F.contains("low", f["form"]))).where(F.size("forms") > 0)
-    schema = "page_id string, block_id string, start int, end int, concept_id string"
-
-    def pick(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                taken = bytearray(len(r.low))
-                for f in sorted(r.forms, key=lambda f: (-len(f["form"]), f["form"], f["concept_id"])):
-                    for m in re.finditer(rf"(?<!\w){re.escape(f['form'])}(?!\w)", r.low):
-                        if not any(taken[m.start() : m.end()]):
-                            taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-                            out.append((r.page_id, r.block_id, *m.span(), f["concept_id"]))
-            yield pd.DataFrame(out, columns=["page_id", "block_id", "start", "end", "concept_id"])
-
-    return found.mapInPandas(pick, schema)
-
-
 def build_page(blocks: DataFrame) -> DataFrame:
     """page_id, blocks (array in order), reading_order, n_blocks: one row a page."""
     items = F.sort_array(F.collect_list(F.struct("pos", "block_id", "kind", "text")))

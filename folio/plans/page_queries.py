@@ -745,7 +745,7 @@ def render_injected_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.inject_figures(used, blocks.select("page_id", F.concat(F.lit("a"), F.col("pos").cast("string")).alias("image_id"), "pos"))
 
 
-@query(f"{_CHILDREN} SELECT page_id, block_id, CAST(wpos AS INTEGER) AS child, type AS kind, CASE WHEN type = 'text' THEN word END AS text, CASE WHEN type = 'icon' THEN lower(word) END AS symbol_id, CASE WHEN type = 'icon' THEN upper(substring(lower(word), 1, 1)) || substring(lower(word), 2) END AS alt FROM ch WHERE type <> 'term_mark'")
+@query(f"{_CHILDREN} SELECT page_id, block_id, CAST(wpos AS INTEGER) AS child, type AS kind, CASE WHEN type = 'text' THEN word END AS text, CASE WHEN type = 'icon' THEN lower(word) END AS symbol_id, CASE WHEN type = 'icon' THEN CASE substring(lower(word), 1, 1) WHEN 'ß' THEN 'Ss' ELSE upper(substring(lower(word), 1, 1)) END || substring(lower(word), 2) END AS alt FROM ch WHERE type <> 'term_mark'")
 def render_reader_inlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.reader_inlines(ir.inlines(_page_ir(spark, sf_dir)))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import ids
 from folio.functions import text as T
-from folio.operators import assets, evaluate, layout, patch, publish, qa, registry, render, search, structure, translate, verify
+from folio.operators import assets, evaluate, layout, patch, publish, qa, registry, render, search, structure, terms, translate, verify
 from folio.sources import views
 from folio.sources.views import with_views
 from folio.streaming import events as stream
@@ -423,7 +423,7 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def glossary_term_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.match_terms(views.blocks(spark, sf_dir), _terms(spark, sf_dir))
+    return terms.match_terms(views.blocks(spark, sf_dir), _terms(spark, sf_dir))
 
 
 _TERMS = "tm AS (SELECT form FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS form FROM benchmark) GROUP BY 1 HAVING count(*) >= 5)"

@@ -11,6 +11,7 @@ from folio.functions import geometry as G
 from folio.functions import ids
 from folio.functions import text as T
 from folio.operators import assets, evaluate, graph, layout, patch, publish, qa, registry, render, search, structure, translate, verify
+from folio.operators.terms import match_terms
 from folio.plans import stages
 from folio.sources import artifacts, config, ir, reader
 from folio.streaming import events as stream
@@ -166,7 +167,7 @@ def test_split_long_keeps_the_text(spark):
 
 def test_term_matches_prefer_the_longest(spark):
     terms = spark.createDataFrame([("c1", "fire"), ("c2", "fire ball"), ("c3", "ball")], "concept_id string, form string")
-    found = structure.match_terms(blocks(spark, [("paragraph", "A Fire Ball and fireballs, fire."), ("paragraph", "")]), terms).collect()
+    found = match_terms(blocks(spark, [("paragraph", "A Fire Ball and fireballs, fire."), ("paragraph", "")]), terms).collect()
     assert sorted((r["start"], r["end"], r["concept_id"]) for r in found) == [(2, 11, "c2"), (27, 31, "c1")]
 
 
