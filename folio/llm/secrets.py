@@ -32,6 +32,16 @@ IDENTIFIER = re.compile(
 NUMBER = re.compile(r"[0-9_+/=-]+")  # numbers and rules
 #: A digest or identifier at the end of a run; what stands before it is judged by itself.
 KNOWN_END = re.compile(rf"(?:^|(?<=[_/=+-]))(?:{DIGEST.pattern}|{IDENTIFIER.pattern})$")
+#: Characters from a run's end in which a known one is looked for; digests and dates are shorter.
+END_CHARS = 160
+#: Words as they are written, in one case or with a capital.
+WORDS = re.compile(r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)[_/=+-]*)+")
+#: Consonants as they hardly stand in a word, and letters that stand for vowels in some language.
+CROWD, VOWEL = re.compile(r"(?i:[bcdfghjklmnpqrstvxz]{4})"), re.compile(r"(?i:[aeiouwy])")
+#: Of what could be words, with a ratio over this, only those without vowels enough are random.
+WORD_RATIO = 1.9
+#: Letters and digits that a key has, different ones; sequences of bases and repeated letters have fewer.
+LEAST_DISTINCT = 8
 PREFIX = re.compile(r"(?:[A-Za-z]+[_/=-]+)+")
 PART = re.compile(r"[A-Za-z0-9+]{20,}")
 _KEYWORD = ("passw", "secret", "token", "api")
@@ -59,18 +69,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def pronounceable(part: str) -> bool:
+    return not CROWD.search(part) and 10 * len(VOWEL.findall(part)) >= 3 * sum(c.isalpha() for c in part)
+
+
 def is_random(run: str, encoding, most_ratio: float) -> bool:
     """Whether a run, what follows its prefix of words, or a part between separators is random.
 
-    Left out before the ratio decides: parts under 20 characters, plain numbers, digests of known lengths, UUIDs and dates.
+    Left out before the ratio decides: parts under 20 characters or of few different ones, plain numbers, digests of known lengths, UUIDs and
+    dates. A vocabulary of one language finds words of others hard too, so what could be words and lies just under the limit needs four consonants
+    in a row besides, or less than three vowels in ten letters. Linear in the run's length.
     """
-    known = KNOWN_END.search(run)
+    known = KNOWN_END.search(run, max(0, len(run) - END_CHARS))
     run = run[: known.start()] if known else run
     prefix = PREFIX.match(run)
     for part in {run, run[prefix.end() :] if prefix else run, *PART.findall(run)}:
         if len(part) < 20 or NUMBER.fullmatch(part) or DIGEST.fullmatch(part):
             continue
-        if len(part) <= most_ratio * len(encoding.encode_ordinary(part)):
+        if len({c for c in part if c.isalnum()}) < LEAST_DISTINCT:
+            continue
+        n = len(encoding.encode_ordinary(part))
+        if len(part) <= most_ratio * n and (len(part) <= WORD_RATIO * n or not (WORDS.fullmatch(part) and pronounceable(part))):
             return True
     return False
 

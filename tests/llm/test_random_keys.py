@@ -39,3 +39,30 @@ def test_nearly_all_random_strings_are_found(chars, prefix):
 def test_one_case_keys_leave_the_text(spark):
     rows = secrets.redact(documents(spark, [(1, f"my {KEYS[0]} and {KEYS[3]} end")]), RANKS).collect()
     assert [r["text"] for r in rows] == ["my [SECRET] and [SECRET] end"]
+
+
+WORDS = ["nieruchomosci-gruntowych", "przedsiebiorstwo-rolnicze-xyz", "Llanfairpwllgwyngyll", "muvaffakiyetsizlestirici", "epajarjestelmallistyttamaton", "megszentsegtelenithetetlen", "nejneobhospodarovavatelnejsi", "otorrinolaringologia", "lentokonesuihkuturbiini"]
+PLAIN = ["acgtgcatgcatcgatcgatgcat", "ACGTTGCAAGCTTGCATGCCTGCAGGTCGACTCTAGAGGATCC", "zzzzzzzzzzzzzzzzzzzzzzzz", "ABABABABABABABABABABABAB", "hahahahahahahahahahahaha"]
+
+
+@pytest.mark.parametrize("text", WORDS + PLAIN)
+def test_words_of_other_languages_and_sequences_stay(spark, text):
+    assert found(f"see {text} here") == []
+
+
+def test_words_stay_in_the_text(spark):
+    text = " ".join(WORDS + PLAIN)
+    assert secrets.redact(documents(spark, [(1, text)]), RANKS).first()["text"] == text
+
+
+@pytest.mark.parametrize("unit", ["1234_", "2024-01-01-", "a-", "deadbeef", "a", "A1-", "2024-01-01T00-", "xq7"])
+def test_long_runs_take_linear_time(unit):
+    import time
+
+    seconds = []
+    for size in (250_000, 1_000_000):
+        run = unit * (size // len(unit)) + "x"
+        began = time.process_time()
+        found(run)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 4 and seconds[1] < 12 * seconds[0] + 0.2
