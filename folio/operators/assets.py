@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import geometry as G
 from folio.functions import ids
+from folio.operators import asof
 
 
 def occurrences(evidence: DataFrame, inline_area: float = 900.0) -> DataFrame:
@@ -38,13 +39,12 @@ def nearest_lines(symbols: DataFrame, lines: DataFrame, tolerance: float = 6.0,
     """symbols with line and anchor: the line with the nearest vertical centre on the page.
 
     anchor: inline if that is within the tolerance, near_text within 15 points, else block; page if
-    the page has no line.
+    the page has no line. Of equally near lines the first counts.
     """
-    near = symbols.select("page_id", "symbol_id", G.centre_y().alias("cy")).join(lines.select("page_id", "line", G.centre_y().alias("ly")), "page_id")
-    best = near.groupBy("page_id", "symbol_id").agg(F.min(F.struct(F.abs(F.col("cy") - F.col("ly")).alias("d"), "line")).alias("b"))
-    rows = symbols.join(best, ["page_id", "symbol_id"], "left")
-    anchor = F.when(F.col("b").isNull(), "page").when(F.col("b.d") <= tolerance, "inline").when(F.col("b.d") <= near_text, "near_text").otherwise("block")
-    return rows.withColumn("line", F.col("b.line")).withColumn("anchor", anchor).drop("b")
+    rows = asof.nearest(symbols, lines, ["page_id"], G.centre_y(), G.centre_y(), ["line"])
+    d = F.col("near.distance")
+    anchor = F.when(d.isNull(), "page").when(d <= tolerance, "inline").when(d <= near_text, "near_text").otherwise("block")
+    return rows.withColumn("line", F.col("near.line")).withColumn("anchor", anchor).drop("near")
 
 
 def symbol_refs(placed: DataFrame) -> DataFrame:
