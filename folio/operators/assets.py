@@ -51,3 +51,16 @@ def symbol_refs(placed: DataFrame) -> DataFrame:
     """page_id, symbol_id, instance_id, anchor_kind, evidence_id, confidence of placed symbols (nearest_lines): the line is the evidence of those in or near text."""
     near = F.col("anchor").isin("inline", "near_text")
     return placed.select("page_id", "symbol_id", "instance_id", F.col("anchor").alias("anchor_kind"), F.when(near, F.format_string("%s.l%03d", "page_id", "line")).alias("evidence_id"), F.col("score").alias("confidence"))
+
+
+def icon_candidates(images: DataFrame, most: int = 80, least: int = 10) -> DataFrame:
+    """hash, page_id, page_number, xref, width, height, x0..y1 of small pictures: each content once, where it stands first.
+
+    images: page_number, xref, width, height (pixels), content, and the box it is placed in, or nulls. A picture counts if its longer side has
+    ``most`` pixels at most and its shorter one ``least`` at least; one without content is left out. The hash is 16 hex digits.
+    """
+    small = images.where((F.greatest("width", "height") <= most) & (F.least("width", "height") >= least) & (F.octet_length("content") > 0))
+    rows = small.withColumn("hash", F.substring(F.sha2("content", 256), 1, 16)).drop("content")
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1") if c in images.columns]
+    first = rows.groupBy("hash").agg(F.min_by(F.struct("page_number", "xref", "width", "height", *box), F.struct("page_number", "xref")).alias("f"))
+    return first.select("hash", ids.page_id(F.col("f.page_number")).alias("page_id"), "f.*")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple, Protocol, runtime_checkable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,9 +107,67 @@ def reading_order(specs: DataFrame, orders: DataFrame) -> DataFrame:
     return rows.select("page_id", F.lit("reading_order").alias("metric"), value.alias("value"), (value == 1.0).alias("passed"))
 
 
+class PageTables(NamedTuple):
+    """What metrics look at: blocks (page_id, block_id, kind), icons (page_id, a row each), orders (page_id, reading_order)."""
+
+    blocks: DataFrame
+    icons: DataFrame
+    orders: DataFrame
+
+
+@runtime_checkable
+class EvalMetric(Protocol):
+    """A metric of pages: its name, and page_id, metric, value, passed of all pages of the specifications."""
+
+    @property
+    def name(self) -> str: ...
+
+    def evaluate(self, specs: DataFrame, pages: PageTables) -> DataFrame: ...
+
+
+class BlockCount:
+    name = "block_count"
+
+    def evaluate(self, specs: DataFrame, pages: PageTables) -> DataFrame:
+        return block_count(specs, pages.blocks)
+
+
+class SymbolCount:
+    name = "symbol_count"
+
+    def evaluate(self, specs: DataFrame, pages: PageTables) -> DataFrame:
+        return symbol_count(specs, pages.icons)
+
+
+class TypeCoverage:
+    name = "type_coverage"
+
+    def evaluate(self, specs: DataFrame, pages: PageTables) -> DataFrame:
+        return type_coverage(specs, pages.blocks)
+
+
+class ReadingOrder:
+    name = "reading_order"
+
+    def evaluate(self, specs: DataFrame, pages: PageTables) -> DataFrame:
+        return reading_order(specs, pages.orders)
+
+
+def builtin_metrics() -> list[EvalMetric]:
+    return [BlockCount(), SymbolCount(), TypeCoverage(), ReadingOrder()]
+
+
+def run_metrics(specs: DataFrame, pages: PageTables, metrics: Sequence[EvalMetric] | None = None) -> DataFrame:
+    """page_id, metric, value, passed by each metric (the built-in ones, if none are given). Two metrics of one name raise ValueError."""
+    metrics = list(metrics) if metrics is not None else builtin_metrics()
+    if len({m.name for m in metrics}) < len(metrics):
+        raise ValueError("metrics need names of their own")
+    return reduce(DataFrame.unionByName, [m.evaluate(specs, pages) for m in metrics])
+
+
 def default_metrics(specs: DataFrame, blocks: DataFrame, icons: DataFrame, orders: DataFrame) -> DataFrame:
-    """All metrics of pages: page_id, metric, value, passed."""
-    return block_count(specs, blocks).unionByName(symbol_count(specs, icons)).unionByName(type_coverage(specs, blocks)).unionByName(reading_order(specs, orders))
+    """All built-in metrics of pages: page_id, metric, value, passed."""
+    return run_metrics(specs, PageTables(blocks, icons, orders))
 
 
 def checkpoint_results(checkpoints: DataFrame, metrics: DataFrame, documents: DataFrame) -> DataFrame:

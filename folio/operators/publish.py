@@ -134,3 +134,30 @@ def bundle_manifest(pages: DataFrame, files: DataFrame) -> DataFrame:
     documents = pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("key"), F.concat(F.lit("pages/"), "page_id", F.lit(".json")).alias("ref"))
     rasters = flat_rasters(pages).select(F.lit("raster").alias("kind"), "key", "ref")
     return documents.unionByName(rasters).join(files.select("ref", "sha256"), "ref", "left").select("kind", "key", "ref", "sha256")
+
+
+_MANIFEST = "source_pdf_sha256 string, stages array<struct<stage_name:string,artifact_ref:string>>"
+_RENDERED = "page_refs map<string,string>, image_refs map<string,string>, raster_refs map<string,map<string,string>>, glossary_ref string, search_docs_ref string, nav_ref string"
+COMPANIONS = ("glossary_ref", "search_docs_ref", "nav_ref")
+
+
+def bundle_refs(runs: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a release of each run is made of, from its manifest and its render result; and the runs that have none of it.
+
+    runs: run_id, run_manifest_ref. artifacts: ref, body (JSON). First table: run_id, source_pdf_sha256, kind (page, companion, image, raster), key,
+    ref. Second table: run_id, problem (no_manifest, no_render_stage, no_page_refs). The first render stage of a manifest counts; a reference whose
+    artifact is missing or isn't JSON is one that says nothing. A raster's key is {page}__{dpi}dpi.
+    """
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    body = lambda ref: artifacts.select(F.col("ref").alias(ref), "body")
+    rows = runs.select("run_id", "run_manifest_ref").join(body("run_manifest_ref"), "run_manifest_ref", "left").withColumn("m", F.from_json("body", _MANIFEST)).drop("body")
+    render = F.get(F.filter("m.stages", lambda s: s["stage_name"] == "render"), 0)["artifact_ref"]
+    rows = rows.withColumn("render_ref", render).join(body("render_ref"), "render_ref", "left").withColumn("r", F.from_json("body", _RENDERED))
+    problem = F.when(~filled(F.col("run_manifest_ref")) | F.col("m.stages").isNull(), "no_manifest").when(~filled(F.col("render_ref")), "no_render_stage").when(F.coalesce(F.size("r.page_refs"), F.lit(0)) <= 0, "no_page_refs")
+    rows = rows.withColumn("problem", problem)
+    entries = lambda c, kind: F.transform(F.coalesce(F.map_entries(c), F.array()), lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("key"), e["value"].alias("ref")))
+    companions = F.filter(F.array(*[F.struct(F.lit("companion").alias("kind"), F.lit(c).alias("key"), F.col(f"r.{c}").alias("ref")) for c in COMPANIONS]), lambda e: F.coalesce(e["ref"], F.lit("")) != "")
+    rasters = F.flatten(F.transform(F.map_entries("r.raster_refs"), lambda p: F.transform(F.map_entries(p["value"]), lambda e: F.struct(F.lit("raster").alias("kind"), F.format_string("%s__%sdpi", p["key"], e["key"]).alias("key"), e["value"].alias("ref")))))
+    every = F.concat(entries("r.page_refs", "page"), companions, entries("r.image_refs", "image"), F.coalesce(rasters, F.array()))
+    good = rows.where("problem IS NULL").select("run_id", "m.source_pdf_sha256", F.explode(every).alias("e")).select("run_id", "source_pdf_sha256", "e.*")
+    return good, rows.where("problem IS NOT NULL").select("run_id", "problem")

@@ -142,6 +142,26 @@ def user_messages(batched: DataFrame, source: str = "en", target: str = "ru") ->
     return out.select("page_id", "batch", F.to_json(F.struct(name.alias("batch_id"), F.lit(source).alias("source_lang"), F.lit(target).alias("target_lang"), "segments")).alias("message"))
 
 
+def few_shot_examples(batched: DataFrame, pairs: DataFrame, most: int = 2) -> DataFrame:
+    """page_id, batch, nth, segment_id, user, assistant: translated pairs that show a model the concepts of a batch, as the messages of an exchange.
+
+    batched: page_id, batch, concept_ids (one row a segment). pairs: segment_id, kind, text, target, concept_ids, one row a pair. Of each concept the
+    pair with the shortest text is its example (then the smallest segment_id), so a concept of all batches costs one row a batch; a
+    batch gets the examples of most of its concepts first, ``most`` in all.
+    """
+    shown = pairs.where((F.trim("text") != "") & (F.trim("target") != ""))
+    best = shown.select(F.explode("concept_ids").alias("concept_id"), "segment_id", F.length("text").alias("size"))
+    best = best.groupBy("concept_id").agg(F.min_by("segment_id", F.struct("size", "segment_id")).alias("segment_id"))
+    asked = batched.select("page_id", "batch", F.explode("concept_ids").alias("concept_id")).distinct().join(best, "concept_id")
+    rank = F.row_number().over(Window.partitionBy("page_id", "batch").orderBy(F.desc("n"), "segment_id"))
+    chosen = asked.groupBy("page_id", "batch", "segment_id").agg(F.count("*").alias("n")).withColumn("nth", rank).where(F.col("nth") <= most)
+    name = F.concat(F.lit("example_"), F.col("nth").cast("string")).alias("batch_id")
+    concepts = F.when(F.size("concept_ids") > 0, F.col("concept_ids")).alias("required_concepts")
+    user = F.to_json(F.struct(name, F.array(F.struct("segment_id", F.col("kind").alias("block_type"), F.col("text").alias("source"), concepts)).alias("segments")))
+    assistant = F.to_json(F.struct(name, F.array(F.struct("segment_id", "target")).alias("segments")))
+    return chosen.join(shown, "segment_id").select("page_id", "batch", "nth", "segment_id", user.alias("user"), assistant.alias("assistant"))
+
+
 def response_schema(segments: DataFrame) -> DataFrame:
     """page_id, schema: the JSON schema of an answer that names each segment of a page once."""
     one = F.to_json(F.struct(F.array_sort(F.collect_list("segment_id")).alias("enum"), F.lit("string").alias("type")))
