@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folio.functions import ids
 from folio.functions import text as T
-from folio.operators import positional, search, topk
+from folio.operators import feedback, positional, search, topk
 from folio.operators.graph import scratch
 from folio.plans import build, stages
 from folio.plans.queries import _BM25, query
@@ -85,3 +86,53 @@ def build_changed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = runner.run({"blocks": changed}, build.page_build())["summary"]
     made = runner.pages_made("summary", 2).withColumn("again", F.lit(True))
     return after.join(made, "page_id", "left").withColumn("made_again", F.coalesce("again", F.lit(False))).drop("again")
+
+
+_SHORT = _BM25.replace("unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark", "unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:4]) AS term FROM benchmark")
+_RANKED = f"ranked AS ({_SHORT}), asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')[1:4]) AS term FROM benchmark), words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS l FROM documents)"
+
+
+def _first_ranking(spark: SparkSession, sf_dir: str) -> tuple[topk.Index, DataFrame, DataFrame]:
+    """The index, the first four words of each passage as a query, and the ten best documents."""
+    items = views.table(spark, sf_dir, "benchmark")
+    terms = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), 1, 4)
+    queries = items.select(F.col("item_id").alias("query_id"), F.explode(terms).alias("term"))
+    folder = scratch(spark, "index")
+    topk.build(views.table(spark, sf_dir, "documents"), "doc_id", "text", folder)
+    index = topk.load(spark, folder)
+    return index, queries, topk.search(index, queries).checkpoint()
+
+
+@query(f"""WITH {_RANKED}, t AS (SELECT doc_id, unnest(l) AS term FROM words), c AS (SELECT term, count(*) AS cf FROM t GROUP BY 1), h AS (SELECT query_id, term, count(*) AS tf FROM ranked JOIN t ON doc_id = key WHERE rank <= 5 GROUP BY 1, 2),
+    w AS (SELECT query_id, term, round(tf / sum(tf) OVER (PARTITION BY query_id) * log2((tf / sum(tf) OVER (PARTITION BY query_id)) / (cf / (SELECT sum(cf) FROM c))), 6) AS weight FROM h JOIN c USING (term))
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS INTEGER) AS nth, term, weight FROM w WHERE weight > 0 AND (query_id, term) NOT IN (FROM asked) QUALIFY nth <= 10""")
+def search_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, queries, ranked = _first_ranking(spark, sf_dir)
+    return feedback.expansion_terms(index, ranked, queries)
+
+
+@query(f"""WITH {_RANKED}, p AS (SELECT query_id, rank, key, term, place FROM ranked JOIN (SELECT doc_id, unnest(l) AS term, unnest(range(len(l))) AS place FROM words) ON doc_id = key JOIN asked USING (query_id, term)),
+    e AS (SELECT r.query_id, r.key, r.rank, r.place, o.term, max(o.place) AS last FROM p r JOIN p o ON o.query_id = r.query_id AND o.key = r.key AND o.place <= r.place GROUP BY ALL),
+    n AS (SELECT query_id, key, count(DISTINCT term) AS n FROM p GROUP BY 1, 2), s AS (SELECT query_id, key, rank, place, place - min(last) + 1 AS size, count(*) AS k FROM e GROUP BY 1, 2, 3, 4),
+    m AS (SELECT query_id, key, rank, n, min(size) AS size FROM s JOIN n USING (query_id, key) WHERE k = n GROUP BY 1, 2, 3, 4)
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, size, rank) AS INTEGER) AS rank, key, CAST(n AS INTEGER) AS n_words, CAST(size AS INTEGER) AS "window" FROM m""")
+def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, queries, ranked = _first_ranking(spark, sf_dir)
+    return feedback.rerank(views.table(spark, sf_dir, "documents"), "doc_id", "text", ranked, queries)
+
+
+@query(f"""{with_views('v_block')}, a AS (SELECT doc_id, page_id, block_id, pos, CASE WHEN pos % 2 = 0 THEN rtrim(trim(text), '.!?') ELSE lower(text) END AS text FROM v_block),
+    b AS (SELECT doc_id, page_id, block_id, pos, CASE WHEN pos = min(pos) OVER (PARTITION BY page_id) THEN lower(text) ELSE text END AS text FROM a WHERE trim(text) <> ''),
+    e AS (SELECT doc_id, page_id, arg_max(block_id, pos) AS last_id, trim(arg_max(text, pos)) AS last_text, arg_min(block_id, pos) AS first_id, trim(arg_min(text, pos)) AS first_text FROM b GROUP BY 1, 2),
+    n AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS next FROM documents)
+    SELECT a.page_id, z.page_id AS next_page, a.last_id || '|' || z.first_id AS block_ids, CASE WHEN regexp_matches(a.last_text, '\p{{L}}-$') THEN left(a.last_text, length(a.last_text) - 1) || z.first_text ELSE a.last_text || ' ' || z.first_text END AS text
+    FROM n JOIN e a USING (doc_id) JOIN e z ON z.doc_id = n.next WHERE NOT regexp_matches(a.last_text, '[.!?:;…»”"]$') AND regexp_matches(z.first_text, '^\p{{Ll}}')""")
+def search_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a language as the pages of a book; every second block loses its full stop, and the first ones their capitals."""
+    blocks = views.blocks(spark, sf_dir)
+    first = F.col("pos") == F.min("pos").over(Window.partitionBy("page_id"))
+    text = F.when(F.col("pos") % 2 == 0, F.regexp_replace(F.trim("text"), "[.!?]+$", "")).otherwise(F.lower("text"))
+    own = blocks.withColumn("text", text).where(F.trim("text") != "").withColumn("text", F.when(first, F.lower("text")).otherwise(F.col("text"))).withColumn("kind", F.lit("paragraph"))
+    pages = views.table(spark, sf_dir, "documents").select(ids.page_id(F.col("doc_id")).alias("page_id"), "lang", "doc_id")
+    found = feedback.bridges(own, search.navigation(pages, "lang", "doc_id"))
+    return found.withColumn("block_ids", F.array_join("block_ids", "|"))
