@@ -130,7 +130,7 @@ def segments(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """shard, segment, n_ids, doc_ids, container: the documents' ids in ascending doc_id order.
 
     Shards are ranges of doc_id in order (null ids first). Rows with the same doc_id follow one another by a hash of
-    their texts, whatever the partitions were, and a doc_id that many rows hold is spread over shards like others; each
+    their texts, whatever the partitions were, and equal rows, which are told apart by a number, are spread over shards like others; each
     has its own place. Each document's ids end with ``end_id``, so an empty or null text has one id.
     """
     kind = dict(docs.dtypes)["doc_id"]
@@ -163,8 +163,8 @@ def segments(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         if held:
             yield close()
 
-    tied = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
-    ordered = tied.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    tied = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("nth"))
+    ordered = tied.repartitionByRange("doc_id", "tie", "nth").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return ordered.mapInArrow(run, f"shard int, segment int, n_ids long, doc_ids array<{kind}>, container binary")
 
 

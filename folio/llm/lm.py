@@ -97,6 +97,23 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {_DDL[f.type]}" for f in schema)
 
 
+def told_apart(docs: DataFrame, many: int = 1000) -> DataFrame:
+    """doc_id, text, nth: all rows, with a number (0 elsewhere) for rows that ``many`` others equal, so that they can be dealt out.
+
+    Equal rows are counted by a hash first. Only those of counts beyond ``many`` are put together, on the map side, and taken apart again
+    by runs of ``many`` numbers, so the numbers are the same whenever they are made.
+    """
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > many).select("key").checkpoint()
+    if hot.isEmpty():
+        return rows.select("doc_id", "text", F.lit(0).cast("long").alias("nth"))
+    equal = rows.join(hot, "key", "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    runs = equal.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / many)))).repartition("doc_id", F.xxhash64("text"), "run")
+    last = F.least((F.col("run") + 1) * many, F.col("n")) - 1
+    apart = runs.select("doc_id", "text", F.explode(F.sequence(F.col("run") * many, last)).alias("nth"))
+    return rows.join(hot, "key", "left_anti").select("doc_id", "text", F.lit(0).cast("long").alias("nth")).unionByName(apart)
+
+
 def blocks(docs: DataFrame, tuned_on: int, block_bytes: int, range_bytes: int) -> tuple[DataFrame, int, int]:
     """doc_id, text, fold, block; the number of key ranges; and the number of blocks of the tuning part, which come first.
 
@@ -106,9 +123,10 @@ def blocks(docs: DataFrame, tuned_on: int, block_bytes: int, range_bytes: int) -
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     some = max(1, math.ceil(size / FOLDS / block_bytes))
     rest = max(1, math.ceil(size * (FOLDS - 1) / FOLDS / block_bytes))
-    key = F.xxhash64("doc_id", "text")
+    key = F.xxhash64("doc_id", "text", "nth")
     block = F.when(F.col("fold") == tuned_on, F.pmod(key, F.lit(some))).otherwise(some + F.pmod(key, F.lit(rest)))
-    return docs.select("doc_id", "text", fold(F.col("doc_id")).alias("fold")).withColumn("block", block), max(1, math.ceil(size / range_bytes)), some
+    dealt = told_apart(docs).withColumn("fold", fold(F.col("doc_id"))).withColumn("block", block).select("doc_id", "text", "fold", "block")
+    return dealt, max(1, math.ceil(size / range_bytes)), some
 
 
 def count_keys(dealt: DataFrame, ranges: int, held_out: int, tuned_on: int) -> DataFrame:
@@ -233,6 +251,7 @@ def score_documents(docs: DataFrame, held_out: int = 1, tuned_on: int = 0, block
     documents of their own; other columns are not read.
     """
     spark = docs.sparkSession
+    shared_folder(spark)
     kind = dict(docs.dtypes)["doc_id"]
     dealt, ranges, tuning_blocks = blocks(docs, tuned_on, block_bytes, range_bytes)
     folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
