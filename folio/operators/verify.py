@@ -32,10 +32,15 @@ def evidence(evidence_refs: DataFrame, entities: DataFrame, code: str = "XREF_EV
 
 
 def symbols(matched: DataFrame, placed: DataFrame) -> DataFrame:
-    """Symbols placed that no match has (error), and matched but not placed (warning); both have page_id, symbol_id."""
-    phantom = missing_references(placed.withColumn("entity_ref", F.col("symbol_id")), matched, ["page_id", "symbol_id"], "XREF_SYMBOL_TO_IR")
-    dropped = missing_references(matched.withColumn("entity_ref", F.col("symbol_id")), placed, ["page_id", "symbol_id"], "XREF_SYMBOL_DROPPED", "warning")
-    return phantom.unionByName(dropped)
+    """Symbols placed that no match has (error), and matched but not placed (warning); both have page_id, symbol_id. One aggregate over both sides; a null id is never the same as another."""
+    side = lambda df, m: df.select("page_id", "symbol_id", F.lit(m).alias("m"), F.lit(not m).alias("p"))
+    seen = side(matched, True).unionByName(side(placed, False)).groupBy("page_id", "symbol_id").agg(F.bool_or("m").alias("m"), F.bool_or("p").alias("p"))
+    unknown = F.col("page_id").isNull() | F.col("symbol_id").isNull()
+    finding = lambda code, severity: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))
+    phantom = F.when(F.col("p") & (~F.col("m") | unknown), finding("XREF_SYMBOL_TO_IR", "error"))
+    dropped = F.when(F.col("m") & (~F.col("p") | unknown), finding("XREF_SYMBOL_DROPPED", "warning"))
+    found = seen.withColumn("f", F.explode(F.filter(F.array(phantom, dropped), lambda x: x.isNotNull())))
+    return found.select("f.code", "f.severity", "page_id", F.col("symbol_id").alias("entity_ref"), F.col("symbol_id").cast("string").alias("target"))
 
 
 def blocks_rendered(blocks: DataFrame, rendered: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from folio.functions import ids
 from folio.operators import assets, memory, publish, translate
+from folio.operators.graph import scratch
 from folio.plans.queries import _TERMS, _terms, query
-from folio.sources import views
+from folio.sources import artifact_source, views
+from folio.sources.views import with_views
 
 _WORDS = r"([\p{L}\p{N}]+)"
 
@@ -87,3 +89,15 @@ def translation_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = items.select(F.col("item_id").alias("segment_id"), F.expr(_EDITED).alias("text"))
     kept = items.select(F.col("item_id").alias("segment_id"), "text", F.when(F.col("item_id") % 10 < 9, F.concat(F.lit("t"), F.col("item_id").cast("string"))).alias("target"))
     return memory.recall(segments, kept)
+
+
+@query(f"""{with_views('v_block')} SELECT page_id AS entity_id, kind AS family, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars, min(left(sha256(text), 12)) AS first_hash FROM v_block GROUP BY 1, 2""")
+def source_artifacts_by_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks as artifacts, written and read again by the data source."""
+    artifact_source.register(spark)
+    folder = scratch(spark, "artifacts")
+    uri = folder if "://" in folder else f"file://{folder}"
+    blocks = views.blocks(spark, sf_dir).select(F.lit("d").alias("document_id"), F.col("kind").alias("family"), F.lit("page").alias("scope"), F.col("page_id").alias("entity_id"), F.col("text").alias("body"))
+    blocks.write.format(artifact_source.NAME).mode("append").save(uri)
+    found = spark.read.format(artifact_source.NAME).load(uri)
+    return found.groupBy("entity_id", "family").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("n_chars"), F.min("content_hash").alias("first_hash"))
