@@ -125,8 +125,8 @@ def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     b AS (SELECT doc_id, page_id, block_id, pos, CASE WHEN pos = min(pos) OVER (PARTITION BY page_id) THEN lower(text) ELSE text END AS text FROM a WHERE trim(text) <> ''),
     e AS (SELECT doc_id, page_id, arg_max(block_id, pos) AS last_id, trim(arg_max(text, pos)) AS last_text, arg_min(block_id, pos) AS first_id, trim(arg_min(text, pos)) AS first_text FROM b GROUP BY 1, 2),
     n AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS next FROM documents)
-    SELECT a.page_id, z.page_id AS next_page, a.last_id || '|' || z.first_id AS block_ids, CASE WHEN regexp_matches(a.last_text, '\p{{L}}-$') THEN left(a.last_text, length(a.last_text) - 1) || z.first_text ELSE a.last_text || ' ' || z.first_text END AS text
-    FROM n JOIN e a USING (doc_id) JOIN e z ON z.doc_id = n.next WHERE NOT regexp_matches(a.last_text, '[.!?:;…»”"]$') AND regexp_matches(z.first_text, '^\p{{Ll}}')""")
+    SELECT a.page_id, z.page_id AS next_page, a.last_id || '|' || z.first_id AS block_ids, CASE WHEN regexp_matches(a.last_text, '\\p{{L}}-$') THEN left(a.last_text, length(a.last_text) - 1) || z.first_text ELSE a.last_text || ' ' || z.first_text END AS text
+    FROM n JOIN e a USING (doc_id) JOIN e z ON z.doc_id = n.next WHERE NOT regexp_matches(a.last_text, '[.!?:;…»”"]$') AND regexp_matches(z.first_text, '^\\p{{Ll}}')""")
 def search_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a language as the pages of a book; every second block loses its full stop, and the first ones their capitals."""
     blocks = views.blocks(spark, sf_dir)
