@@ -64,15 +64,27 @@ def normalized_inlines(children: Column) -> Column:
 def split_inlines(children: Column, at: Column) -> tuple[Column, Column]:
     """The inlines before and after a character offset of their joined text; the inline it falls into is cut in two.
 
-    Each inline's offset is the length of the text before it. Inlines without text go with what
-    stands before them.
+    One pass adds up the lengths of their text, so time grows with the inlines and not with their square. Inlines without text go
+    with what stands before them. Without an offset (null) nothing is on either side.
     """
     length = lambda i: F.when(i["type"] == "text", F.length(F.coalesce(i["text"], F.lit("")))).otherwise(F.lit(0))
-    before = lambda k: F.aggregate(F.slice(children, 1, k), F.lit(0), lambda s, i: s + length(i))
-    placed = F.transform(children, lambda i, k: F.struct(i.alias("i"), before(k).alias("a"), (before(k) + length(i)).alias("b")))
-    left = F.transform(F.filter(placed, lambda p: (p["a"] < at) | (p["b"] <= at)), lambda p: F.when(p["b"] > at, p["i"].withField("text", F.substring(p["i"]["text"], F.lit(1), at - p["a"]))).otherwise(p["i"]))
-    right = F.transform(F.filter(placed, lambda p: p["b"] > at), lambda p: F.when(p["a"] < at, p["i"].withField("text", F.substring(p["i"]["text"], at - p["a"] + 1, p["b"] - p["a"]))).otherwise(p["i"]))
-    return left, right
+
+    def step(s: Column, size: Column) -> Column:
+        upto = s["upto"] + size
+        return F.struct(upto.alias("upto"), F.when(upto <= at, s["n"] + 1).otherwise(s["n"]).alias("n"), F.when(upto <= at, upto).otherwise(s["a"]).alias("a"))
+
+    def parts(s: Column) -> Column:
+        # n inlines end at the offset or before it, where the text has a characters; the next one is cut if they are too few.
+        n, a, none = s["n"], s["a"], F.slice(children, 1, 0)
+        is_cut = (a < at) & (n < F.size(children))
+        piece = lambda start, size: F.transform(F.slice(children, n + 1, 1), lambda i: i.withField("text", F.substring(i["text"], start, size)))
+        left = F.when(is_cut, F.concat(F.slice(children, F.lit(1), n), piece(F.lit(1), at - a))).otherwise(F.slice(children, F.lit(1), n))
+        right = F.when(is_cut, F.concat(piece(at - a + 1, F.lit(2**31 - 1)), F.slice(children, n + 2, F.size(children)))).otherwise(F.slice(children, n + 1, F.size(children)))
+        return F.struct(left.alias("left"), F.when(at.isNotNull(), right).otherwise(none).alias("right"))
+
+    start = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"), F.lit(0).alias("a"))
+    both = F.aggregate(F.transform(children, length), start, step, parts)
+    return both["left"], both["right"]
 
 
 def source_words(pages: DataFrame) -> DataFrame:

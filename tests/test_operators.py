@@ -1,6 +1,7 @@
 """Operators that SQL can't express, and edge cases, on small literals."""
 
 import json
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -403,6 +404,23 @@ def test_flat_ir_tables(spark, tmp_path):
         assert left == "One.Two exam- ple"[:at] and left + right == "One.Two exam- ple"
 
 
+def test_inlines_are_split_in_one_pass(spark):
+    """20,000 inlines: time that grows with their square takes minutes."""
+    kind = F.when(F.col("id") % 3 == 2, "icon").otherwise("text")
+    item = F.struct("id", F.struct(kind.alias("type"), F.when(F.col("id") % 5 < 4, F.lit("abc")).alias("text"), F.col("id").alias("n")).alias("c"))
+    children = spark.range(20_000).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["c"]).alias("children")).checkpoint()
+    began = time.monotonic()
+    for at in (0, 10, 15_001, 10**6):
+        left, right = ir.split_inlines(F.col("children"), F.lit(at))
+        left, right, whole = children.select(left, right, "children").first()
+        length = lambda c: len(c["text"] or "") if c["type"] == "text" else 0
+        assert sum(map(length, left)) == min(at, sum(map(length, whole))) and sum(map(length, left + right)) == sum(map(length, whole))
+        assert [c["n"] for c in left + right if c["n"] != (left[-1]["n"] if left else -1)] == [c["n"] for c in whole if c["n"] != (left[-1]["n"] if left else -1)]
+    left, right = ir.split_inlines(F.col("children"), F.lit(None).cast("int"))
+    assert children.select(left, right).first() == ([], [])
+    assert time.monotonic() - began < 60
+
+
 def test_native_tables(spark, tmp_path):
     box = lambda a, b, c, d: {"x0": a, "y0": b, "x1": c, "y1": d}
     page = {"page_id": "p0001", "dimensions_pt": {"width": 100.0, "height": 100.0}, "words": [{"word_id": "w1", "text": "a", "bbox": box(0.0, 0.0, 50.0, 10.0)}], "spans": [], "image_blocks": [{"image_id": "i1", "bbox": box(0.0, 0.0, 100.0, 100.0)}, {"image_id": "i2", "bbox": box(0.0, 0.0, 9.0, 9.0)}]}
