@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 class Translator(Protocol):
@@ -56,12 +58,18 @@ class FallbackTranslator:
 def plan_segments(blocks: DataFrame, concepts: DataFrame) -> DataFrame:
     """page_id, segment_id, pos, text, section, concept_ids: what is to be translated, with the heading it stands under and the concepts it mentions.
 
-    A mention is the lemma anywhere in the text, ignoring case. Lemmas are met by their first three
-    characters (those of one or two by all of them) through a join, since both tables grow.
+    A mention is the lemma anywhere in the text, ignoring case. Lemmas of up to MOST_CHARS characters in all are looked for by one
+    automaton in one pass over the text. More of them are met by their first three characters (those of one or two by all of them)
+    through a join, since both tables grow.
     """
     from folio.operators.search import section_of
+    from folio.operators.terms import MOST_CHARS
 
+    known = concepts.select("concept_id", F.lower("lemma").alias("lemma")).where("lemma <> '' AND concept_id IS NOT NULL").distinct()
+    size = known.agg(F.sum(F.length("lemma") + F.length("concept_id"))).first()[0] or 0
     rows = section_of(blocks.where((F.trim("text") != "") & F.col("kind").isin("heading", "paragraph", "list_item", "callout", "caption", "table")), ["pos"])
+    if size <= MOST_CHARS:
+        return _mentioned(rows, tuple(sorted((r["lemma"], r["concept_id"]) for r in known.collect())))
     grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
     low = F.lower("text")
     met = rows.select("page_id", "block_id", F.explode(F.array_distinct(F.concat(*[grams(low, n) for n in (1, 2, 3)]))).alias("gram"))  # keys and grams only, no texts
@@ -73,6 +81,26 @@ def plan_segments(blocks: DataFrame, concepts: DataFrame) -> DataFrame:
     return out.select("page_id", F.col("block_id").alias("segment_id"), "pos", "text", "section", F.coalesce("concept_ids", F.array().cast("array<string>")).alias("concept_ids"))
 
 
+def _mentioned(rows: DataFrame, lemmas: tuple[tuple[str, str], ...]) -> DataFrame:
+    """What plan_segments gives, by one automaton over all lemmas (lemma, concept_id)."""
+    from folio.operators.terms import _kept as kept
+
+    names = ["page_id", "segment_id", "pos", "text", "section"]
+    rows = rows.select("page_id", F.col("block_id").alias("segment_id"), "pos", "text", "section", F.lower("text").alias("low"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = kept(lemmas) if lemmas else None
+        for batch in batches:
+            own = []
+            for text in batch.column("low").to_pylist():
+                hits = {form: concepts for _, (form, concepts) in found.iter(text)} if found is not None else {}
+                own.append(sorted({c for concepts in hits.values() for c in concepts}))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(own, pa.list_(pa.string()))], [*names, "concept_ids"])
+
+    out = StructType([*(rows.schema[c] for c in names), StructField("concept_ids", ArrayType(StringType()))])
+    return rows.mapInArrow(scan, out).withColumn("concept_ids", F.sort_array("concept_ids"))
+
+
 def translate(segments: DataFrame, make: Callable[[], Translator], batch: int = 50) -> DataFrame:
     """segment_id, target, provider, error. Each task makes its own client; a failed batch yields rows with the error and no target."""
 

@@ -404,6 +404,22 @@ def test_flat_ir_tables(spark, tmp_path):
         assert left == "One.Two exam- ple"[:at] and left + right == "One.Two exam- ple"
 
 
+def test_mentions_by_one_pass_and_by_a_join(spark, monkeypatch):
+    """Lemmas anywhere in a text, within one another too; a small dictionary needs no row for each stretch of three letters."""
+    from folio.operators import terms
+
+    texts = ["Alpha beta ALP", "x", "gam ma", "\u0416\u0423\u041a alphabet", "  "]
+    blocks = spark.createDataFrame([("p1", f"b{i}", i, "paragraph", t) for i, t in enumerate(texts)], "page_id string, block_id string, pos int, kind string, text string")
+    lemmas = [("c1", "alp"), ("c2", "Alphabet"), ("c3", "a"), ("c4", "\u0436\u0443"), ("c5", "a"), ("c6", "zz"), ("c7", None)]
+    want = [sorted(c for c, w in lemmas if w and w.lower() in t.lower()) for t in texts if t.strip()]
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(terms, "MOST_CHARS", most)
+        plan = translate.plan_segments(blocks, spark.createDataFrame(lemmas, "concept_id string, lemma string"))
+        assert [r["concept_ids"] for r in plan.orderBy("pos").collect()] == want
+        assert ("gram" in plan._jdf.queryExecution().toString()) == (most == 0)
+    assert [r["concept_ids"] for r in translate.plan_segments(blocks, spark.createDataFrame([], "concept_id string, lemma string")).collect()] == [[]] * 4
+
+
 def test_inlines_are_split_in_one_pass(spark):
     """20,000 inlines: time that grows with their square takes minutes."""
     kind = F.when(F.col("id") % 3 == 2, "icon").otherwise("text")
