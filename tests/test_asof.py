@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import asof
+from folio.operators import asof, runs
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -61,3 +62,26 @@ def test_pieces_and_icons_make_the_text_again(spark):
             at[r["icon_id"]] = (r["span_id"], len(text.get(r["span_id"], "")))
     assert text == {s: t for _, _, s, t, _, _ in spans if t}
     assert at == {r["icon_id"]: (r["span_id"], r["offset"]) for r in asof.gaps(*df).collect()}
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_gaps_exchange_lines_once(spark):
+    """Both sides meet in one exchange, packed by line; null keys and ids, and rows of one id, stay together."""
+    spans = [(p, 1, s, "abcd", a, a + 24) for p in ("p", None) for s, a in (("s", 0), (None, 40), ("s", 80))]
+    icons = [(p, 1, i, x) for p in ("p", None) for i, x in (("i", 3.0), ("i", 41.0), (None, 100.0), ("none", None))]
+    df = spark.createDataFrame(spans, "page_id string, line int, span_id string, text string, x0 int, x1 int"), spark.createDataFrame(icons, "page_id string, line int, icon_id string, x double")
+    found = asof.gaps(*df)
+    assert exchanges(found) == 1
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(p, 1, *r) for p in ("p", None) for r in (("i", None, 0), (None, "s", 3))], key=str)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 100])
+def test_groups_stay_whole_over_batches(size):
+    keys = [k for k in "aabbbbbbbcdddeeeeeeeeeeef"] + [None] * 3
+    table = pa.table({"k": pa.array(keys), "v": list(range(len(keys)))})
+    cut = list(runs.whole_groups(iter(table.to_batches(max_chunksize=size)), ["k"]))
+    assert [v for b in cut for v in b.column("v").to_pylist()] == list(range(len(keys)))
+    assert all(not set(a.column("k").to_pylist()) & set(b.column("k").to_pylist()) for a, b in zip(cut, cut[1:], strict=False))
