@@ -85,3 +85,15 @@ def test_groups_stay_whole_over_batches(size):
     cut = list(runs.whole_groups(iter(table.to_batches(max_chunksize=size)), ["k"]))
     assert [v for b in cut for v in b.column("v").to_pylist()] == list(range(len(keys)))
     assert all(not set(a.column("k").to_pylist()) & set(b.column("k").to_pylist()) for a, b in zip(cut, cut[1:], strict=False))
+
+
+def test_icons_in_text_exchange_lines_once(spark):
+    """Spans and icons meet in one exchange; several icons of a gap stand by x, then by id, and a span without icons is one piece."""
+    spans = [("p", 1, "s", "añ😀d", 0, 40), ("p", 1, "t", "plain", 100, 150), ("p", 2, "e", "", 0, 9), ("p", 2, "n", None, 0, 9)]
+    icons = [("p", 1, "i2", 20.0), ("p", 1, "i1", 20.0), ("p", 1, "i0", 21.0), ("p", 1, "end", 60.0), ("p", 2, "alone", 1.0)]
+    df = spark.createDataFrame(spans, "page_id string, line int, span_id string, text string, x0 int, x1 int"), spark.createDataFrame(icons, "page_id string, line int, icon_id string, x double")
+    found = asof.icons_in_text(*df)
+    assert exchanges(found) == 1
+    rows = sorted((r["span_id"], r["nth"], r["type"], r["text"] or r["icon_id"]) for r in found.collect())
+    cut = [("text", "añ"), ("icon", "i1"), ("icon", "i2"), ("icon", "i0"), ("text", "😀d"), ("icon", "end")]
+    assert rows == [*(("s", n, *c) for n, c in enumerate(cut)), ("t", 0, "text", "plain")]
