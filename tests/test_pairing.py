@@ -43,3 +43,11 @@ def test_a_batch_that_runs_twice_is_written_once(spark, tmp_path):
 
 def test_nothing_yet(spark, tmp_path):
     assert pairing.results(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_events_of_one_bucket(stream, monkeypatch):
+    """Open events of one key of state end each in its time: some by the timer of the first, others later."""
+    monkeypatch.setattr(pairing, "BUCKETS", 1)
+    assert stream(*((1, k, "started", k) for k in range(5)), (1, 5, "completed", 0), (2, 0, "failed", 1)) == []
+    assert stream((1, 6, "started", 9.5)) == [(0, "lost", None), (1, "lost", None), (2, "lost", None)]
+    assert stream((1, 4, "completed", 9), (1, 3, "cached", 9.25)) == [(0, "lost", None), (1, "lost", None), (2, "lost", None), (3, "lost", None), (4, "completed", 5)]
