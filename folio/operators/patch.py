@@ -1,14 +1,15 @@
 """Patches of page documents by JSON pointers.
 
 A page is a JSON string; its patch operations are applied in order, since each sees what the ones
-before it left. That is a fold over one small document, so a grouped map by page.
+before it left. That is a fold over one small document: a page's operations are gathered in a row beside it.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,24 +63,25 @@ def apply_patches(pages: DataFrame, operations: DataFrame) -> DataFrame:
     operations come through as they are.
     """
 
-    def fold(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ops = right.sort_values("ordinal").to_dict("records")
-        out = []
-        for page in left.to_dict("records"):
-            error, doc = None, page["doc"]
-            if ops:
-                try:
-                    at = json.loads(doc)
-                    for o in ops:
-                        at = apply_operation(at, o["op"], o["path"], json.loads(o["value"]) if o["value"] is not None else None)
-                    doc = json.dumps(at, ensure_ascii=False, separators=(",", ":"))
-                except (ValueError, LookupError, TypeError) as e:
-                    error = f"{type(e).__name__}: {e}"
-            out.append((page["page_id"], doc, error))
-        return pd.DataFrame(out, columns=["page_id", "doc", "error"])
-
-    left, right = pages.select("page_id", "doc"), operations.select("page_id", "ordinal", "op", "path", "value")
-    return left.groupBy("page_id").cogroup(right.groupBy("page_id")).applyInPandas(fold, "page_id string, doc string, error string")
+    def mended(doc: str, operations: list[dict] | None) -> tuple[str, str | None]:
+        if operations is None:
+            return doc, None
+        try:
+            at = json.loads(doc)
+            for o in sorted(operations, key=lambda o: (o["ordinal"] is None, o["ordinal"] or 0)):
+                at = apply_operation(at, o["op"], o["path"], json.loads(o["value"]) if o["value"] is not None else None)
+            return json.dumps(at, ensure_ascii=False, separators=(",", ":")), None
+        except (ValueError, LookupError, TypeError) as e:
+            return doc, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [mended(doc, ops) for doc, ops in zip(batch.column("doc").to_pylist(), batch.column("operations").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array([o[k] for o in out], pa.string()) for k in (0, 1))], ["page_id", "doc", "error"])
+
+    own = operations.groupBy(F.col("page_id").alias("page")).agg(F.sort_array(F.collect_list(F.struct("ordinal", "op", "path", "value"))).alias("operations"))
+    rows = pages.select("page_id", "doc").join(own, F.col("page_id").eqNullSafe(F.col("page")), "left").select("page_id", "doc", "operations")
+    return rows.mapInArrow(run, "page_id string, doc string, error string")
 
 
 def fixes_for(blocks: DataFrame, findings: DataFrame, long_at: int = 1000) -> DataFrame:

@@ -464,3 +464,13 @@ def test_golden_and_ladder_tables(spark):
     assert config.golden_table(spark, golden).first()["expected"] == 2
     ladder = {"name": "l", "checkpoints": [{"order": 2, "golden_set": "b"}, {"order": 1, "golden_set": "a"}]}
     assert [r["golden_set"] for r in config.ladder_table(spark, ladder).collect()] == ["a", "b"]
+
+
+def test_patches_have_no_group_a_page(spark):
+    """Operations are gathered in a row beside their page, in their order; pages without any, and without an id, come through."""
+    pages = spark.createDataFrame([("p1", "[1]"), ("p1", "[]"), ("p2", "no json"), (None, "[2]")], "page_id string, doc string")
+    ops = [("p1", 2, "insert", "/0", "3"), ("p1", 1, "delete", "/0", None), (None, 1, "replace", "", "null"), ("p9", 1, "delete", "/0", None)]
+    out = patch.apply_patches(pages, spark.createDataFrame(ops, "page_id string, ordinal int, op string, path string, value string"))
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    found = sorted(map(tuple, out.collect()), key=str)
+    assert [(*r[:2], r[2] and r[2].split(":")[0]) for r in found] == sorted([("p1", "[3]", None), ("p1", "[]", "IndexError"), ("p2", "no json", None), (None, "null", None)], key=str)
