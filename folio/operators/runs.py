@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 
@@ -84,3 +85,24 @@ def ranks(values: pa.Array) -> np.ndarray:
     rank[order] = np.arange(len(names))
     rank[-1] = -1
     return rank[pc.fill_null(found.indices, len(names)).to_numpy(zero_copy_only=False)]
+
+
+def folded(rows: DataFrame, by: list[str], fold: Callable[[list[dict]], list[dict]], schema: StructType) -> DataFrame:
+    """What ``fold`` makes of the rows of each group, given as dicts; groups are exchanged packed, and many are handed on at once."""
+    rest = [c for c in rows.columns if c not in by]
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, by):
+            first = starts_of(batch, by)
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, batch.num_rows)))
+            sizes = np.bincount(np.repeat(group, pc.list_value_length(batch.column(rest[0])).to_numpy(zero_copy_only=False)), minlength=len(first))
+            of = pa.array(np.repeat(first, sizes))
+            flat_rows = pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in by), *(batch.column(c).flatten() for c in rest)], [*by, *rest]).to_pylist()
+            out, at = [], 0
+            for size in sizes.tolist():
+                out += fold(flat_rows[at : at + size])
+                at += size
+            yield pa.RecordBatch.from_pylist(out, schema=types)
+
+    return dealt(packed(rows, by), by).mapInArrow(run, schema)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import geometry as G
 from folio.functions import text as T
+from folio.operators import runs
 
 
 def lines_by_chain(spans: DataFrame, tolerance: float = 3.0) -> DataFrame:
@@ -111,14 +112,15 @@ def drop_recent_repeats(blocks: DataFrame, within: int = 5, least_chars: int = 3
 def merge_list_continuations(blocks: DataFrame, gap_low: float = -5.0, gap_high: float = 20.0, short: int = 5, indent: float = 5.0) -> DataFrame:
     """A list item absorbs the paragraphs that follow it: those at most 20 points below its growing box, if the item is short or they are indented as far.
 
-    The box grows with each paragraph, so a grouped map folds each page.
+    The box grows with each paragraph, so each page is folded in order.
     """
+    box = ("x0", "y0", "x1", "y1")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(page: list[dict]) -> list[dict]:
         out: list[dict] = []
-        for b in pdf.sort_values("pos").to_dict("records"):
+        for b in sorted(page, key=lambda b: (b["pos"] is None, b["pos"] or 0)):
             item = out[-1] if out and out[-1]["kind"] == "list_item" else None
-            if item is not None and b["kind"] == "paragraph" and not any(pd.isna(x[c]) for x in (item, b) for c in ("x0", "y0", "x1", "y1")):
+            if item is not None and b["kind"] == "paragraph" and not any(x[c] is None or x[c] != x[c] for x in (item, b) for c in box):
                 gap = b["y0"] - item["y1"]
                 if gap_low <= gap <= gap_high and (len(item["text"].strip()) <= short or b["x0"] >= item["x0"] - indent):
                     space = "" if not item["text"] or not b["text"] or item["text"][-1].isspace() else " "
@@ -126,9 +128,9 @@ def merge_list_continuations(blocks: DataFrame, gap_low: float = -5.0, gap_high:
                     item |= {"x0": min(item["x0"], b["x0"]), "y0": min(item["y0"], b["y0"]), "x1": max(item["x1"], b["x1"]), "y1": max(item["y1"], b["y1"])}
                     continue
             out.append(b)
-        return pd.DataFrame(out, columns=pdf.columns)
+        return out
 
-    return blocks.groupBy("page_id").applyInPandas(fold, blocks.schema)
+    return runs.folded(blocks, ["page_id"], fold, blocks.schema)
 
 
 def promote_callouts(blocks: DataFrame) -> DataFrame:

@@ -474,3 +474,11 @@ def test_patches_have_no_group_a_page(spark):
     assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
     found = sorted(map(tuple, out.collect()), key=str)
     assert [(*r[:2], r[2] and r[2].split(":")[0]) for r in found] == sorted([("p1", "[3]", None), ("p1", "[]", "IndexError"), ("p2", "no json", None), (None, "null", None)], key=str)
+
+
+def test_folds_have_no_group_a_page(spark):
+    """Pages are exchanged packed and folded many at once; rows of a page may come in any order."""
+    rows = [(f"p{p}", f"b{k}", k, "list_item" if k == 0 else "paragraph", "1." if k == 0 else f"t{k}", 0.0, 12.0 * k, 9.0, 12.0 * k + 10) for k in (2, 0, 1) for p in range(30)]
+    out = structure.merge_list_continuations(spark.createDataFrame(rows, "page_id string, block_id string, pos int, kind string, text string, x0 double, y0 double, x1 double, y1 double"))
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == sorted((f"p{p}", "b0", 0, "list_item", "1. t1 t2", 0.0, 0.0, 9.0, 34.0) for p in range(30))
