@@ -11,8 +11,10 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from folio.functions import geometry as G
+from folio.operators import runs
 
 
 @dataclass(frozen=True)
@@ -210,36 +212,38 @@ def reading_order(areas: DataFrame) -> DataFrame:
     """page_id, region_id, role (main, aside or furniture), band, position: main regions top to bottom in bands and left to right in a band; asides after their nearest main region.
 
     Bands grow as regions join them (a region joins the first band that covers half its height), so
-    each page is folded in order by a grouped map.
+    each page is folded in order.
     """
     aside = F.col("kind").isin("sidebar", "margin_note", "callout_area")
     role = F.when(F.col("kind").isin("header", "footer"), "furniture").when(aside, "aside").otherwise("main")
-    rows = areas.withColumn("role", role)
-    schema = "page_id string, region_id string, role string, band int, position int, main_region string"
+    rows = areas.withColumn("role", role).select("page_id", "ordinal", "region_id", "role", "x0", "y0", "x1", "y1")
+    schema = StructType([*(rows.schema[c] for c in ("page_id", "region_id", "role")), StructField("band", IntegerType()), StructField("position", IntegerType()), StructField("main_region", rows.schema["region_id"].dataType)])
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        main = pdf[pdf["role"] == "main"].sort_values(["y0", "x0", "ordinal"])
+    def order(page: list[dict]) -> list[dict]:
         found: list[list[float]] = []
         band_of = {}
-        for r in main.itertuples():
-            height = r.y1 - r.y0
-            k = next((i for i, b in enumerate(found) if height > 0 and (min(r.y1, b[1]) - max(r.y0, b[0])) / height >= 0.5), None)
+        main = sorted((r for r in page if r["role"] == "main"), key=lambda r: (r["y0"], r["x0"], r["ordinal"]))
+        for r in main:
+            height = r["y1"] - r["y0"]
+            k = next((i for i, b in enumerate(found) if height > 0 and (min(r["y1"], b[1]) - max(r["y0"], b[0])) / height >= 0.5), None)
             if k is None:
-                found.append([r.y0, r.y1])
+                found.append([r["y0"], r["y1"]])
                 k = len(found) - 1
             else:
-                found[k] = [min(found[k][0], r.y0), max(found[k][1], r.y1)]
-            band_of[r.region_id] = k
+                found[k] = [min(found[k][0], r["y0"]), max(found[k][1], r["y1"])]
+            band_of[r["region_id"]] = k
         rank = {k: n for n, k in enumerate(sorted(range(len(found)), key=lambda i: found[i][0]))}
-        line = sorted(main.itertuples(), key=lambda r: (rank[band_of[r.region_id]], r.x0, r.ordinal))
-        out = [(r.page_id, r.region_id, "main", rank[band_of[r.region_id]] + 1, n + 1, None) for n, r in enumerate(line)]
-        for r in pdf[pdf["role"] != "main"].sort_values("ordinal").itertuples():
-            near = min(line, key=lambda m: (((m.x0 + m.x1 - r.x0 - r.x1) ** 2 + (m.y0 + m.y1 - r.y0 - r.y1) ** 2), m.ordinal), default=None) if r.role == "aside" else None
-            out.append((r.page_id, r.region_id, r.role, None, None, near.region_id if near is not None else None))
-        frame = pd.DataFrame(out, columns=["page_id", "region_id", "role", "band", "position", "main_region"])
-        return frame.astype({"band": "Int32", "position": "Int32"})
-
-    return rows.select("page_id", "ordinal", "region_id", "role", "x0", "y0", "x1", "y1").groupBy("page_id").applyInPandas(order, schema)
+        line = sorted(main, key=lambda r: (rank[band_of[r["region_id"]]], r["x0"], r["ordinal"]))
+        row = lambda r, band=None, position=None, near=None: {"page_id": r["page_id"], "region_id": r["region_id"], "role": r["role"], "band": band, "position": position, "main_region": near}
+        out = [row(r, rank[band_of[r["region_id"]]] + 1, n + 1) for n, r in enumerate(line)]
+        far = lambda r, m: ((m["x0"] + m["x1"] - r["x0"] - r["x1"]) ** 2 + (m["y0"] + m["y1"] - r["y0"] - r["y1"]) ** 2, m["ordinal"])
+        for r in page:
+            if r["role"] != "main":
+                near = min(line, key=lambda m: far(r, m), default=None) if r["role"] == "aside" else None
+                out.append(row(r, near=near and near["region_id"]))
+        return out
+
+    return runs.folded(rows, ["page_id"], order, schema)
 
 
 def order_confidence(order: DataFrame) -> DataFrame:

@@ -482,3 +482,12 @@ def test_folds_have_no_group_a_page(spark):
     out = structure.merge_list_continuations(spark.createDataFrame(rows, "page_id string, block_id string, pos int, kind string, text string, x0 double, y0 double, x1 double, y1 double"))
     assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, out.collect())) == sorted((f"p{p}", "b0", 0, "list_item", "1. t1 t2", 0.0, 0.0, 9.0, 34.0) for p in range(30))
+
+
+def test_reading_order_has_no_group_a_page(spark):
+    """Main regions by bands, then from left to right; an aside by its nearest main region, furniture by none; many pages at once."""
+    areas = [(3, "r3", "body", 300.0, 100.0, 500.0, 200.0), (1, "r1", "header", 0.0, 0.0, 500.0, 20.0), (4, "r4", "sidebar", 520.0, 100.0, 580.0, 200.0), (2, "r2", "body", 0.0, 110.0, 200.0, 190.0)]
+    out = layout.reading_order(spark.createDataFrame([(f"p{p}", *a) for a in areas for p in range(20)], "page_id string, ordinal int, region_id string, kind string, x0 double, y0 double, x1 double, y1 double"))
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    want = [("r1", "furniture", None, None, None), ("r2", "main", 1, 1, None), ("r3", "main", 1, 2, None), ("r4", "aside", None, None, "r3")]
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[:2]) == sorted(((f"p{p}", *w) for w in want for p in range(20)), key=lambda r: r[:2])
