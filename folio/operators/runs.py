@@ -69,6 +69,28 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[p
     yield from joined()
 
 
+def merged(lists: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each group of rows whose other columns are arrays: the arrays one after another, in no particular order. No aggregate, so no rows are held but one batch's."""
+    rest = [c for c in lists.columns if c not in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, by):
+            first = starts_of(batch, by)
+            columns = [batch.column(c).take(pa.array(first)) for c in by]
+            for c in rest:
+                sizes = pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+                ends = np.append(0, np.cumsum(sizes))
+                columns.append(pa.ListArray.from_arrays(pa.array(ends[np.append(first, batch.num_rows)].astype(np.int32)), batch.column(c).flatten()))
+            yield pa.RecordBatch.from_arrays(columns, [*by, *rest])
+
+    return dealt(lists.select(*by, *rest), by).mapInArrow(run, lists.select(*by, *rest).schema)
+
+
+def gathered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each group, with its other columns as arrays of like order; a group's rows are exchanged packed."""
+    return merged(packed(rows, by), by)
+
+
 def flat(batch: pa.RecordBatch, column: str, group: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """All items of an array column, and the group of each; a null array has none."""
     lists = batch.column(column)

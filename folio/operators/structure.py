@@ -23,9 +23,14 @@ def lines_by_chain(spans: DataFrame, tolerance: float = 3.0) -> DataFrame:
 
 
 def line_boxes(lined: DataFrame) -> DataFrame:
-    """page_id, line, x0.., n, text: the lines with their text from left to right."""
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "span_id", "text"))), lambda s: s["text"]), " ")
-    return lined.groupBy("page_id", "line").agg(*G.union_box(), F.count("*").alias("n"), text.alias("text"))
+    """page_id, line, x0.., n, text: the lines with their text from left to right. A line's spans are exchanged packed, and it is made of its arrays."""
+    by = ["page_id", "line"]
+    packed = runs.packed(lined.select(*by, "x0", "y0", "x1", "y1", "span_id", "text"), by)
+    boxed = packed.select(*by, "x0", "span_id", "text", *[F.array(f(c)).alias(c) for f, c in ((F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))])
+    rows = runs.merged(boxed, by)
+    text = F.array_join(F.transform(F.sort_array(F.arrays_zip("x0", "span_id", "text")), lambda s: s["text"]), " ")
+    box = [F.array_min("x0").alias("x0"), F.array_min("y0").alias("y0"), F.array_max("x1").alias("x1"), F.array_max("y1").alias("y1")]
+    return rows.select("page_id", "line", *box, F.size("text").cast("long").alias("n"), text.alias("text"))
 
 
 def lines_by_anchor(spans: DataFrame, tolerance: float = 6.0) -> DataFrame:
