@@ -1,15 +1,21 @@
 """Cross-stage references and invariants of resolved pages.
 
-Each check is an anti join on keys that start with the page, or a window over a page.
+Each check is an anti join on keys that start with the page, or takes whole pages, whose rows are exchanged packed (folio.operators.runs).
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+from folio.operators import runs
 
 
 def missing_references(references: DataFrame, targets: DataFrame, keys: list[str], code: str, severity: str = "error") -> DataFrame:
@@ -32,15 +38,22 @@ def evidence(evidence_refs: DataFrame, entities: DataFrame, code: str = "XREF_EV
 
 
 def symbols(matched: DataFrame, placed: DataFrame) -> DataFrame:
-    """Symbols placed that no match has (error), and matched but not placed (warning); both have page_id, symbol_id. One aggregate over both sides; a null id is never the same as another."""
-    side = lambda df, m: df.select("page_id", "symbol_id", F.lit(m).alias("m"), F.lit(not m).alias("p"))
-    seen = side(matched, True).unionByName(side(placed, False)).groupBy("page_id", "symbol_id").agg(F.bool_or("m").alias("m"), F.bool_or("p").alias("p"))
-    unknown = F.col("page_id").isNull() | F.col("symbol_id").isNull()
-    finding = lambda code, severity: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))
-    phantom = F.when(F.col("p") & (~F.col("m") | unknown), finding("XREF_SYMBOL_TO_IR", "error"))
-    dropped = F.when(F.col("m") & (~F.col("p") | unknown), finding("XREF_SYMBOL_DROPPED", "warning"))
-    found = seen.withColumn("f", F.explode(F.filter(F.array(phantom, dropped), lambda x: x.isNotNull())))
-    return found.select("f.code", "f.severity", "page_id", F.col("symbol_id").alias("entity_ref"), F.col("symbol_id").cast("string").alias("target"))
+    """Symbols placed that no match has (error), and matched but not placed (warning); both have page_id, symbol_id. A null id is never the same as another.
+
+    A page's symbols are exchanged as one array a side, each once, and compared there.
+    """
+    kind = matched.schema["symbol_id"].dataType
+    none = F.array().cast(ArrayType(kind))
+    own = lambda df, name: runs.packed(df.select("page_id", F.col("symbol_id").alias(name)), ["page_id"]).withColumn(name, F.array_distinct(name))
+    both = own(matched, "m").withColumn("p", none).unionByName(own(placed, "p").withColumn("m", none))
+    pages = runs.merged(both.select("page_id", "m", "p"), ["page_id"])
+    unknown = F.col("page_id").isNull()
+    # array_except takes null for equal to null, so nulls are kept apart.
+    only = lambda a, b: F.when(unknown, F.array_distinct(a)).otherwise(F.array_except(a, F.array_compact(b)))
+    finding = lambda code, severity, ids: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), ids.alias("ids"))
+    found = pages.select("page_id", F.inline(F.array(finding("XREF_SYMBOL_TO_IR", "error", only("p", "m")), finding("XREF_SYMBOL_DROPPED", "warning", only("m", "p")))))
+    found = found.select("code", "severity", "page_id", F.explode("ids").alias("entity_ref"))
+    return found.withColumn("target", F.col("entity_ref").cast("string"))
 
 
 def blocks_rendered(blocks: DataFrame, rendered: DataFrame) -> DataFrame:

@@ -33,3 +33,12 @@ def test_line_boxes_of_scattered_spans(spark):
 
 def test_text_coverage_collects_nothing(spark):
     assert "Aggregate" not in plan(page_queries.layout_text_coverage(spark, SF_DIR))
+
+
+def test_symbols_with_nulls_and_repeats(spark):
+    make = lambda rows: spark.createDataFrame(rows, "page_id string, symbol_id string").repartition(3)
+    found = verify.symbols(make([("p", "a"), ("p", "a"), ("p", "b"), ("p", None), (None, "n"), ("q", "x")]), make([("p", "b"), ("p", "c"), ("p", "c"), ("p", None), (None, "n")]))
+    phantom, dropped = ("XREF_SYMBOL_TO_IR", "error"), ("XREF_SYMBOL_DROPPED", "warning")
+    want = {(*phantom, "p", "c"), (*phantom, "p", None), (*phantom, None, "n"), (*dropped, "p", "a"), (*dropped, "p", None), (*dropped, None, "n"), (*dropped, "q", "x")}
+    rows = [tuple(r)[:4] for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want) and "Aggregate" not in plan(found)
