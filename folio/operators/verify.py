@@ -114,12 +114,13 @@ def anchor_cycles(edges: DataFrame, kinds: tuple[str, ...] = ("caption", "aside"
     Nodes that no edge points to are taken off, with their edges, until none is left; a page with nodes left has a cycle.
     Each edge is looked at once. A page is a group, as in all rules of this module.
     """
-    rows = edges.where(F.col("edge_kind").isin(*kinds)).select("page_id", "source_id", "target_id").distinct()
+    rows = edges.where(F.col("edge_kind").isin(*kinds)).select("page_id", "source_id", "target_id")
 
-    def cyclic(pdf: pd.DataFrame) -> pd.DataFrame:
+    def cyclic(rows: list[dict]) -> list[dict]:
+        own = {(r["source_id"], r["target_id"]) for r in rows}
         after = defaultdict(list)
-        pointed = Counter(pdf["target_id"])
-        for s, t in zip(pdf["source_id"], pdf["target_id"], strict=True):
+        pointed = Counter(t for _, t in own)
+        for s, t in own:
             after[s].append(t)
         free = [s for s in after if not pointed[s]]
         gone = 0
@@ -129,9 +130,9 @@ def anchor_cycles(edges: DataFrame, kinds: tuple[str, ...] = ("caption", "aside"
                 pointed[t] -= 1
                 if not pointed[t] and t in after:
                     free.append(t)
-        return pdf[["page_id"]].head(1 if gone < len(pdf) else 0)
+        return [{"page_id": rows[0]["page_id"]}] if gone < len(own) else []
 
-    return rows.groupBy("page_id").applyInPandas(cyclic, "page_id string")
+    return runs.folded(rows, ["page_id"], cyclic, StructType([edges.schema["page_id"]]))
 
 
 def render_assets(referenced: DataFrame, figures: DataFrame) -> DataFrame:

@@ -42,3 +42,9 @@ def test_symbols_with_nulls_and_repeats(spark):
     want = {(*phantom, "p", "c"), (*phantom, "p", None), (*phantom, None, "n"), (*dropped, "p", "a"), (*dropped, "p", None), (*dropped, None, "n"), (*dropped, "q", "x")}
     rows = [tuple(r)[:4] for r in found.collect()]
     assert set(rows) == want and len(rows) == len(want) and "Aggregate" not in plan(found)
+
+
+def test_cycles_without_a_group_a_call(spark):
+    edges = [("p", "aside", "a", "b"), ("p", "aside", "b", "a"), ("q", "aside", "a", "b"), ("q", "aside", "a", "b"), ("q", "other", "b", "a"), ("r", "caption", None, None)]
+    found = verify.anchor_cycles(spark.createDataFrame(edges, "page_id string, edge_kind string, source_id string, target_id string").repartition(3))
+    assert sorted(r[0] for r in found.collect()) == ["p", "r"] and "FlatMapGroupsInPandas" not in plan(found)
