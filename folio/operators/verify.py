@@ -98,8 +98,19 @@ def boxes_out_of_page(boxes: DataFrame, tolerance: float = 0.5) -> DataFrame:
 
 def duplicate_instances(placements: DataFrame) -> DataFrame:
     """Second and later occurrences of a symbol instance on a page, in order of pos."""
-    w = Window.partitionBy("page_id", "instance_id").orderBy("pos")
-    again = placements.where(F.col("instance_id").isNotNull() & (F.col("instance_id") != "")).withColumn("nth", F.row_number().over(w)).where("nth > 1")
+    rows = placements.where(F.col("instance_id").isNotNull() & (F.col("instance_id") != "")).select("page_id", "instance_id", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            instance, page = runs.flat(batch, "instance_id", np.arange(batch.num_rows))
+            code = instance.dictionary_encode().indices.to_numpy()
+            order = np.lexsort([runs.ranks(batch.column("pos").flatten()), code, page])
+            new = np.append(True, (np.diff(page[order]) != 0) | (np.diff(code[order]) != 0))[: len(order)]
+            nth = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1] + 1 if len(order) else order
+            again = np.flatnonzero(nth > 1)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pa.array(page[order[again]])), instance.take(pa.array(order[again])), pa.array(nth[again].astype(np.int64))], ["page_id", "instance_id", "nth"])
+
+    again = runs.gathered(rows, ["page_id"]).mapInArrow(run, StructType([rows.schema["page_id"], rows.schema["instance_id"], StructField("nth", LongType())]))
     return again.select(F.lit("DUPLICATE_SYMBOL_INSTANCE").alias("code"), F.lit("error").alias("severity"), "page_id", F.col("instance_id").alias("entity_ref"), F.col("nth").cast("string").alias("target"))
 
 

@@ -48,3 +48,14 @@ def test_cycles_without_a_group_a_call(spark):
     edges = [("p", "aside", "a", "b"), ("p", "aside", "b", "a"), ("q", "aside", "a", "b"), ("q", "aside", "a", "b"), ("q", "other", "b", "a"), ("r", "caption", None, None)]
     found = verify.anchor_cycles(spark.createDataFrame(edges, "page_id string, edge_kind string, source_id string, target_id string").repartition(3))
     assert sorted(r[0] for r in found.collect()) == ["p", "r"] and "FlatMapGroupsInPandas" not in plan(found)
+
+
+def test_duplicate_instances_of_scattered_rows(spark):
+    rows = [("p", "a", 3), ("p", "a", 1), ("q", "a", 2), ("p", "a", None), ("p", "", 1), ("p", "", 2), ("p", None, 1), (None, "b", 1), (None, "b", 2)]
+    found = verify.duplicate_instances(spark.createDataFrame(rows, "page_id string, instance_id string, pos long").repartition(4))
+    assert sorted(map(str, found.select("page_id", "entity_ref", "target").collect())) == sorted(map(str, spark.createDataFrame([("p", "a", "2"), ("p", "a", "3"), (None, "b", "2")], "page_id string, entity_ref string, target string").collect()))
+    assert "Window" not in plan(found)
+
+
+def test_no_duplicates_of_no_rows(spark):
+    assert verify.duplicate_instances(spark.range(0).select(F.lit("p").alias("page_id"), F.lit("i").alias("instance_id"), F.col("id").alias("pos"))).isEmpty()
