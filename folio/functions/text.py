@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 # Patterns and word lists whose results must match the published behaviour.
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
@@ -15,9 +19,11 @@ COMPOUND_PREFIXES = ("co", "all", "half", "non", "re", "self", "well")
 SENTENCE_BOUNDARY = r"\. (?=[A-ZА-ЯЁ])"
 AUTO_FIX_BOUNDARY = r"(?<=[.!?])\s+(?=[A-ZА-ЯЁ])"
 TOC_ENTRY = r"(.+?)\.{3,}\s*(\d+)"
+#: Found by ``repeated``, not by the engine's backtracking, whose time grows with the square of a line.
+REPEAT = r"(.{4,})\1"
 GLUED = (
     ("case", r"[а-яё][А-ЯЁ]{2,}"),
-    ("repeat", r"(.{4,})\1"),
+    ("repeat", REPEAT),
     ("sentence_ru", r"[.!?][А-ЯЁ]"),
     ("digit", r"[а-яёА-ЯЁ]\d|\d[а-яёА-ЯЁ]"),
     ("sentence_en", r"[a-z][.!?][A-Z]"),
@@ -56,9 +62,81 @@ def normalize(text: Column) -> Column:
     return unglue(dehyphenate(strip_controls(text)))
 
 
+#: Shifts and starts of a text that are looked at together, and the length of lines for which they are kept.
+_PAIRS, _KEPT = 1 << 20, 4096
+_LINE_END = re.compile("[\n\r\u0085\u2028\u2029]")
+
+
+def _anchors(n: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shifts p from ``least`` to n / 2 with the multiples j of each for which j + p < n, some at a time."""
+    p = least
+    while p <= n // 2:
+        to = min(n // 2 + 1, p + max(1, _PAIRS * p // n))
+        shifts = np.arange(p, to)
+        counts = (n - 1) // shifts
+        first = np.repeat(np.cumsum(counts) - counts, counts)
+        by = np.repeat(shifts, counts)
+        yield by, (np.arange(len(by)) - first) * by
+        p = to
+
+
+@cache
+def _kept_anchors(least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of all lines up to _KEPT by j + p, so that a shorter line's are the first ones; and how many a line has by its length."""
+    by, at = (np.concatenate(x) for x in zip(*_anchors(_KEPT, least), strict=True))
+    order = np.argsort(by + at, kind="stable")
+    by, at = by[order], at[order]
+    return by, at, np.searchsorted(by + at, np.arange(_KEPT + 1))
+
+
+def has_repeat(line: str, least: int = 4) -> bool:
+    """Whether some ``least`` or more characters stand twice in a row.
+
+    A repeat of length p is a run of p places that equal those p later, and such a run holds one multiple of p. So only the n / p multiples of each
+    length are looked at, n log n places in all; those with ``least`` equal places around them are compared as far as they go.
+    """
+    n = len(line)
+    if n < 2 * least:
+        return False
+    text = np.full(n + 2 * least, -1, np.int64)
+    text[least : least + n] = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    text[:least] = -2 - np.arange(least)
+    text[least + n :] = -2 - least - np.arange(least)
+    if n <= _KEPT:
+        by, at, upto = _kept_anchors(least)
+        found = [(by[: upto[n]], at[: upto[n]])]
+    else:
+        found = _anchors(n, least)
+    for shifts, starts in found:
+        hit = np.flatnonzero(text[least + starts] == text[least + starts + shifts])
+        p, j = shifts[hit], starts[hit]
+        run, best = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+        for d in range(1 - least, least):
+            there = np.minimum(least + j + p + d, len(text) - 1)
+            run = np.where(text[least + j + d] == text[there], run + 1, 0)
+            best = np.maximum(best, run)
+        for k in np.flatnonzero(best >= least):
+            a, b = least + int(j[k]), least + int(j[k] + p[k])
+            m = int(p[k])
+            after = text[a : min(a + m, n + least - m)] != text[b : min(b + m, n + least)]
+            ahead = int(after.argmax()) if after.any() else len(after)
+            back = min(a - least, m)
+            before = (text[a - back : a] != text[b - back : b])[::-1]
+            behind = int(before.argmax()) if before.any() else back
+            if ahead + behind >= m:
+                return True
+    return False
+
+
+@F.pandas_udf(BooleanType())
+def repeated(texts: pd.Series) -> pd.Series:
+    """Whether a line of the text holds four or more characters twice in a row, as the pattern REPEAT would find; null for null."""
+    return texts.map(lambda t: None if t is None else any(has_repeat(line) for line in _LINE_END.split(t)))
+
+
 def first_reason(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     """Name of the first pattern that occurs in the text; null if none does."""
-    return F.coalesce(*[F.when(text.rlike(p), F.lit(name)) for name, p in rules])
+    return F.coalesce(*[F.when(repeated(text) if p == REPEAT else text.rlike(p), F.lit(name)) for name, p in rules])
 
 
 def page_reference(text: Column) -> Column:
