@@ -7,17 +7,24 @@ threshold. Of all other words only the blocks are opened that could lift a docum
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from folio.operators import runs
 from folio.operators.search import _terms
 
 #: Postings of a block at most on average; a level of impact with more is cut by a hash of the key.
 BLOCK = 1024
 #: Steps of impact that a word's postings are sorted into; an impact is at most k1 + 1.
 STEPS = 16
+#: Documents whose words are counted together.
+ROWS = 512
 #: Scores are rounded to six digits, so what is this much below a threshold may still tie with it.
 SLACK = 2e-6
 
@@ -42,15 +49,31 @@ def _impact(tf: Column, length: Column, mean: Column, k1: float, b: float) -> Co
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """key, length, words: each row's distinct terms with their number; rows have key, length and terms."""
+    schema = StructType([rows.schema["key"], rows.schema["length"], StructField("words", ArrayType(StructType([StructField("term", StringType()), StructField("tf", LongType())])))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+            terms, row = runs.flat(batch, "terms", np.arange(batch.num_rows))
+            found = terms.dictionary_encode()
+            n = max(1, len(found.dictionary))
+            cells, tf = np.unique(row * n + found.indices.to_numpy(), return_counts=True)
+            offsets = np.searchsorted(cells // n, np.arange(batch.num_rows + 1)).astype(np.int32)
+            words = pa.StructArray.from_arrays([found.dictionary.take(pa.array(cells % n)), pa.array(tf, pa.int64())], ["term", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("length"), pa.ListArray.from_arrays(pa.array(offsets), words)], ["key", "length", "words"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def build(docs: DataFrame, key: str, text: str, path: str, k1: float = 1.2, b: float = 0.75) -> None:
     """Writes the index of docs (one row a key) below ``path``. Documents without a word are not in it.
 
-    Texts are shuffled by key once, as words; counts by document need no further exchange.
+    Texts are shuffled by key once, as words, and counted by document where they arrive, many at once; no word is a row of an aggregate.
     """
     spark = docs.sparkSession
-    rows = _terms(docs, key, text).where("length > 0").repartition("key")
-    counted = rows.select("key", "length", F.explode("terms").alias("term")).groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
-    counted.groupBy("key", "length").agg(F.collect_list(F.struct("term", "tf")).alias("words")).write.mode("overwrite").parquet(f"{path}/forward")
+    rows = runs.merged(_terms(docs, key, text).where("length > 0"), ["key", "length"])
+    _counted(rows).write.mode("overwrite").parquet(f"{path}/forward")
     forward = spark.read.parquet(f"{path}/forward")
     forward.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/sizes")
     sizes = spark.read.parquet(f"{path}/sizes")
@@ -61,7 +84,8 @@ def build(docs: DataFrame, key: str, text: str, path: str, k1: float = 1.2, b: f
     part = F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0)).cast("int")
     blocks = hits.join(large, ["term", "step"], "left").withColumn("part", part).groupBy("term", "step", "part")
     out = blocks.agg(F.count("*").alias("n"), F.max("impact").alias("top"), F.collect_list(F.struct("key", "impact")).alias("postings"))
-    out.repartitionByRange("term", F.desc("step")).sortWithinPartitions("term", F.desc("step")).write.mode("overwrite").parquet(f"{path}/blocks")
+    # Readers join on the term, so blocks stay where they were made and need no exchange by ranges.
+    out.sortWithinPartitions("term", F.desc("step")).write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def load(spark: SparkSession, path: str, k1: float = 1.2, b: float = 0.75) -> Index:
