@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from folio.operators import runs
@@ -126,11 +128,20 @@ def _numbers(values: pa.Array) -> np.ndarray:
 _BY = ["page_id", "line"]
 
 
-def _packed_lines(spans: DataFrame, icons: DataFrame, carried: list[str]) -> DataFrame:
-    """Spans (with carried columns) and icons as arrays, rows of one line one after another."""
-    s = spans.select(*_BY, "span_id", F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), F.coalesce(F.length("text"), F.lit(0)).alias("size"), *carried)
+def _packed_lines(spans: DataFrame, icons: DataFrame, text: bool) -> tuple[DataFrame, list[tuple[str, pa.Schema]]]:
+    """Spans and icons (s, i: compressed values, see ``runs.squeezed``), rows of one line one after another; and the columns in each. Spans have their text, or else its size."""
+    more = F.col("text") if text else F.coalesce(F.length("text"), F.lit(0)).alias("size")
+    s = spans.select(*_BY, "span_id", F.col("x0").cast("double").alias("x0"), F.col("x1").cast("double").alias("x1"), more)
     i = icons.select(*_BY, "icon_id", F.col("x").cast("double").alias("x"))
-    return runs.dealt(runs.packed(s, _BY).unionByName(runs.packed(i, _BY), allowMissingColumns=True), _BY)
+    inner = [(name, to_arrow_schema(StructType([f for f in df.schema if f.name not in _BY]))) for name, df in (("s", s), ("i", i))]
+    return runs.dealt(runs.squeezed(s, _BY, "s").unionByName(runs.squeezed(i, _BY, "i"), allowMissingColumns=True), _BY), inner
+
+
+def _whole_lines(batches: Iterator[pa.RecordBatch], inner: list[tuple[str, pa.Schema]]) -> Iterator[pa.RecordBatch]:
+    """Whole lines with the columns of their spans and icons as arrays."""
+    for batch in runs.whole_groups(batches, _BY):
+        columns = [a for name, schema in inner for a in runs.spread(batch.column(name), schema)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _BY), *columns], [*_BY, *(n for _, schema in inner for n in schema.names)])
 
 
 @dataclass
@@ -155,7 +166,8 @@ class _Placed:
         names = runs.ranks(icon_id) + 1
         icon = icon_line * (int(names.max(initial=0)) + 1) + names
         part = lambda c: _numbers(batch.column(c).flatten())
-        lines = _Lines(line, part("x0"), part("x1"), part("size").astype(np.int64), runs.ranks(span_id), icon_line, part("x"), icon)
+        size = part("size") if "size" in batch.schema.names else _numbers(pc.fill_null(pc.utf8_length(batch.column("text").flatten()), 0))
+        lines = _Lines(line, part("x0"), part("x1"), size.astype(np.int64), runs.ranks(span_id), icon_line, part("x"), icon)
         return cls(batch, first, span_id, icon_id, lines, *lines.placed())
 
     def key(self, groups: np.ndarray) -> list[pa.Array]:
@@ -170,14 +182,16 @@ def gaps(spans: DataFrame, icons: DataFrame, width: float = 64.0) -> DataFrame:
     without text is in no row. Both sides are exchanged once, packed by line. ``width`` has no effect any more; callers may give it.
     """
 
+    rows, within = _packed_lines(spans, icons, False)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs.whole_groups(batches, _BY):
+        for batch in _whole_lines(batches, within):
             p = _Placed.of(batch)
             columns = [*p.key(p.lines.icon_line[p.icon]), p.icon_id.take(pa.array(p.icon)), p.span_id.take(pa.array(p.span)), pa.array(p.offset.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [*_BY, "icon_id", "span_id", "offset"])
 
     schema = StructType([*(icons.schema[c] for c in (*_BY, "icon_id")), spans.schema["span_id"], StructField("offset", IntegerType())])
-    return _packed_lines(spans, icons, []).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def icons_in_text(spans: DataFrame, icons: DataFrame, width: float = 64.0) -> DataFrame:
@@ -185,10 +199,11 @@ def icons_in_text(spans: DataFrame, icons: DataFrame, width: float = 64.0) -> Da
 
     spans: page_id, line, span_id, text, x0, x1. icons: page_id, line, icon_id, x (their centre). Icons of one gap stand by x, then by id.
     """
+    rows_by_line, within = _packed_lines(spans, icons, True)
     names = [*_BY, "span_id", "nth", "type", "text", "icon_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in runs.whole_groups(batches, _BY):
+        for batch in _whole_lines(batches, within):
             p = _Placed.of(batch)
             n = p.lines
             texts = batch.column("text").flatten()
@@ -228,4 +243,4 @@ def icons_in_text(spans: DataFrame, icons: DataFrame, width: float = 64.0) -> Da
             yield pa.RecordBatch.from_arrays([*p.key(n.line[of]), p.span_id.take(pa.array(of)), pa.array(nth, pa.int32()), pa.array(kinds, pa.string()), pa.array(pieces, pa.string()), pa.array(inner, pa.string())], names)
 
     more = [StructField("nth", IntegerType()), StructField("type", StringType()), StructField("text", StringType()), StructField("icon_id", StringType())]
-    return _packed_lines(spans, icons, ["text"]).mapInArrow(run, StructType([*(spans.schema[c] for c in (*_BY, "span_id")), *more]))
+    return rows_by_line.mapInArrow(run, StructType([*(spans.schema[c] for c in (*_BY, "span_id")), *more]))

@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
 
 def starts_of(batch: pa.RecordBatch, by: list[str]) -> np.ndarray:
@@ -41,6 +42,88 @@ def packed(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, *rest).mapInArrow(run, schema)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, at: int, n: int, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
+_SIZE = np.dtype(np.int32)
+
+
+def squeeze(batches: Iterator[pa.RecordBatch], by: list[str], rest: list[str], name: str) -> Iterator[pa.RecordBatch]:
+    """by and name, the other columns as one value, for each run of rows with equal ``by``."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = []
+        for c in rest:
+            values = batch.column(c)
+            known = values.is_valid().to_numpy(zero_copy_only=False)
+            if pa.types.is_string(values.type):
+                wide = values.cast(pa.large_binary()).fill_null(b"")
+                ends = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
+                columns.append((np.where(known, np.diff(ends), -1).astype(_SIZE), ends, wide.buffers()[2] or b""))
+            else:
+                columns.append((values.fill_null(0).to_numpy(zero_copy_only=False), known.astype(np.int8), None))
+        starts = starts_of(batch, by)
+        values = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            parts = [np.array(b - a, _SIZE).tobytes()]
+            for numbers, more, data in columns:
+                parts += [_planes(numbers[a:b]), more[a:b].tobytes() if data is None else memoryview(data)[int(more[a]) : int(more[b])]]
+            values.append(press.compress(b"".join(parts)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(starts)) for c in by), pa.array(values, pa.binary())], [*by, name])
+
+
+def squeezed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """by, name: ``packed``, with the other columns (strings, or numbers of a fixed width) of a run as one compressed value, for wide rows that would fill the disk.
+
+    Sizes of strings (-1 for null) and numbers go in as planes of bytes. ``spread`` gives the arrays back.
+    """
+    rest = [c for c in rows.columns if c not in by]
+    schema = StructType([*(rows.schema[c] for c in by), StructField(name, BinaryType())])
+    return rows.select(*by, *rest).mapInArrow(lambda batches: squeeze(batches, by, rest, name), schema)
+
+
+def spread(values: pa.Array, schema: pa.Schema) -> list[pa.ListArray]:
+    """An array for each column that ``squeezed`` took together, of the types in schema; a null value has empty ones."""
+    press = zstandard.ZstdDecompressor()
+    sizes = np.zeros(len(values) + 1, np.int32)
+    parts: list[list[np.ndarray]] = [[] for _ in schema]
+    marks: list[list] = [[] for _ in schema]
+    for i, value in enumerate(values):
+        if not value.is_valid:
+            continue
+        raw = press.decompress(value.as_buffer())
+        n = int(np.frombuffer(raw, _SIZE, 1)[0])
+        sizes[i + 1], at = n, _SIZE.itemsize
+        for k, field in enumerate(schema):
+            text = pa.types.is_string(field.type)
+            kind = _SIZE if text else np.dtype(field.type.to_pandas_dtype())
+            parts[k].append(_from_planes(raw, at, n, kind))
+            at += n * kind.itemsize
+            more = int(np.maximum(parts[k][-1], 0).sum()) if text else n
+            marks[k].append(raw[at : at + more])
+            at += more
+    ends = pa.array(np.cumsum(sizes, dtype=np.int32))
+    out = []
+    for part, mark, field in zip(parts, marks, schema, strict=True):
+        if pa.types.is_string(field.type):
+            length = np.concatenate(part) if part else np.zeros(0, _SIZE)
+            offsets = np.append(0, np.cumsum(np.maximum(length, 0)))
+            whole = pa.Array.from_buffers(pa.large_string(), len(length), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(b"".join(mark))]).cast(pa.string())
+            known = length >= 0
+        else:
+            whole = pa.array(np.concatenate(part) if part else np.zeros(0, field.type.to_pandas_dtype()), field.type)
+            known = np.frombuffer(b"".join(mark), np.int8) > 0
+        out.append(pa.ListArray.from_arrays(ends, whole if known.all() else pc.if_else(pa.array(known), whole, pa.scalar(None, field.type))))
+    return out
+
+
 def dealt(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows with those of each group one after another in one partition."""
     return rows.repartition(*by).sortWithinPartitions(*by)

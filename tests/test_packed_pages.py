@@ -1,8 +1,9 @@
 """Checks and lines that take whole pages: their rows are exchanged packed, with no aggregate or window that sorts and spills single rows."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from folio.operators import runs, structure, verify
+from folio.operators import asof, runs, structure, verify
 from folio.plans import page_queries
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -59,3 +60,26 @@ def test_duplicate_instances_of_scattered_rows(spark):
 
 def test_no_duplicates_of_no_rows(spark):
     assert verify.duplicate_instances(spark.range(0).select(F.lit("p").alias("page_id"), F.lit("i").alias("instance_id"), F.col("id").alias("pos"))).isEmpty()
+
+
+def test_squeezed_rows_come_back():
+    """Strings and numbers with nulls, empty ones and all characters, over slices of a batch; a null value is a group without rows."""
+    text = ["", None, "añ😀", "a\x00b", "x" * 70000, None, ""]
+    table = pa.table({"k": ["a", "a", "b", "b", "b", None, None], "t": text, "n": pa.array([1.5, None, float("nan"), -0.0, 3.0, None, 7.0]), "i": pa.array([1, 2, None, -4, 5, 6, None], pa.int32())})
+    rest = table.select(["t", "n", "i"])
+    for batch in (table.to_batches()[0], table.to_batches()[0].slice(1, 5)):
+        found = list(runs.squeeze(iter([batch]), ["k"], ["t", "n", "i"], "z"))
+        assert sum(b.num_rows for b in found) == 3
+        values = pa.concat_arrays([pa.nulls(1, pa.binary()), *(b.column("z") for b in found)])
+        back = [a.flatten().to_pylist() for a in runs.spread(values, rest.schema)]
+        assert repr(back) == repr([batch.column(c).to_pylist() for c in ("t", "n", "i")])
+        assert [len(x) for x in runs.spread(values, rest.schema)[0].to_pylist()] == ([0, 2, 3, 2] if batch.num_rows == 7 else [0, 1, 3, 1])
+    assert all(len(a) == 1 for a in runs.spread(pa.nulls(1, pa.binary()), rest.schema))
+
+
+def test_icon_lines_exchange_compressed_values(spark):
+    """Spans and icons go through their exchange as one compressed value a line, not as arrays of ids, boxes and texts."""
+    spans = spark.createDataFrame([("p", 1, "s", "abcd", 0, 24)], "page_id string, line int, span_id string, text string, x0 int, x1 int")
+    icons = spark.createDataFrame([("p", 1, "i", 3.0)], "page_id string, line int, icon_id string, x double")
+    for text in (False, True):
+        assert asof._packed_lines(spans, icons, text)[0].dtypes == [("page_id", "string"), ("line", "int"), ("s", "binary"), ("i", "binary")]
