@@ -130,9 +130,16 @@ class PageStage:
     shared: Sequence[DataFrame] = ()
 
 
+#: Pages that are sent to all tasks, by their ids, to pick or leave out rows; more meet the rows by an exchange of both.
+MOST_BROADCAST = 500_000
+
 _PAGES = "page_id string, input_hash string, content_hash string, generation int, removed boolean"
 
 
+def _few(pages: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(pages) if n <= MOST_BROADCAST else pages
+
+
 class PageRunner:
     """Runs page stages again for the pages whose inputs changed, and for no others.
 
@@ -147,16 +154,25 @@ class PageRunner:
         #: stage, pages made, pages kept, pages removed; of each run.
         self.events: list[tuple[str, int, int, int]] = []
 
+    def _index_rows(self, stage: str) -> DataFrame:
+        return read_or_empty(self.spark, f"{self.path}/{stage}/index", _PAGES)
+
     def index(self, stage: str) -> DataFrame:
         """page_id, input_hash, content_hash, generation of a stage's pages as they are now."""
-        rows = read_or_empty(self.spark, f"{self.path}/{stage}/index", _PAGES)
+        rows = self._index_rows(stage)
         now = rows.groupBy("page_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "page_id"]), "generation").alias("now"))
         return now.select("page_id", "now.*").where("NOT removed").drop("removed")
 
     def table(self, stage: str) -> DataFrame:
-        """A stage's rows, of each page those of its generation."""
-        rows = self.spark.read.parquet(f"{self.path}/{stage}/rows")
-        return rows.join(self.index(stage).select("page_id", "generation"), ["page_id", "generation"], "left_semi").drop("generation")
+        """A stage's rows, of each page those of its generation: all of the last generation, and those of older ones whose pages no later one has made or removed."""
+        index = self._index_rows(stage)
+        first, last = index.agg(F.min("generation"), F.max("generation")).first()
+        rows = self.spark.read.parquet(f"{self.path}/{stage}/rows").where(F.col("generation") <= F.lit(last))
+        if first == last:
+            return rows.drop("generation")
+        again = index.where(F.col("generation") > first).groupBy("page_id").agg(F.max("generation").alias("last")).checkpoint()
+        again = _few(again, again.count()).withColumnRenamed("page_id", "page")
+        return rows.join(again, (F.col("page_id") == F.col("page")) & (F.col("generation") < F.col("last")), "left_anti").drop("generation")
 
     @staticmethod
     def _page_hashes(df: DataFrame, name: str) -> DataFrame:
@@ -175,17 +191,19 @@ class PageRunner:
             changed = wanted.join(before.select("page_id", "input_hash"), ["page_id", "input_hash"], "left_anti").checkpoint()
             removed = before.join(wanted, "page_id", "left_anti").select("page_id").checkpoint()
             made, gone, known = changed.count(), removed.count(), before.count()
+            kept = known - gone - (made - changed.join(before, "page_id", "left_anti").count())
             if made or gone:
-                self._write(stage, tables, changed, removed, (before.agg(F.max("generation")).first()[0] or 0) + 1)
-            fresh = changed.join(before, "page_id", "left_anti").count()
-            self.events.append((stage.name, made, known - gone - (made - fresh), gone))
+                pick = (lambda df: df) if not kept else (lambda df, pages=_few(changed.select("page_id"), made): df.join(pages, "page_id", "left_semi"))
+                last = self._index_rows(stage.name).agg(F.max("generation")).first()[0] or 0
+                self._write(stage, {n: pick(tables[n]) for n in stage.inputs}, changed, removed, last + 1)
+            self.events.append((stage.name, made, kept, gone))
             tables[stage.name] = self.table(stage.name)
             hashes[stage.name] = self.index(stage.name).select("page_id", F.col("content_hash").alias("hash"))
         return {s.name: tables[s.name] for s in stages}
 
     def _write(self, stage: PageStage, tables: dict[str, DataFrame], changed: DataFrame, removed: DataFrame, generation: int) -> None:
         folder = f"{self.path}/{stage.name}/rows/generation={generation}"
-        stage.run({n: tables[n].join(changed.select("page_id"), "page_id", "left_semi") for n in stage.inputs}).write.mode("overwrite").parquet(folder)
+        stage.run(tables).write.mode("overwrite").parquet(folder)
         found = self._page_hashes(self.spark.read.parquet(folder), stage.name).withColumnRenamed("hash", "content_hash")
         rows = changed.join(found, "page_id", "left").withColumns({"generation": F.lit(generation), "removed": F.lit(False)})
         gone = removed.withColumns({"input_hash": F.lit(None).cast("string"), "content_hash": F.lit(None).cast("string"), "generation": F.lit(generation), "removed": F.lit(True)})

@@ -107,3 +107,31 @@ def test_page_build_equals_a_fresh_one(spark, tmp_path):
     for name in fresh:
         assert sorted(map(str, after[name].collect())) == sorted(map(str, fresh[name].collect()))
     assert [e[1] for e in runner.events] == [6, 6, 6, 1, 1, 1] and [r[0] for r in runner.pages_made("summary", 2).collect()] == ["p3"]
+
+
+def test_rows_are_exchanged_only_where_pages_are_kept(spark, tmp_path, monkeypatch):
+    """A fresh build picks no pages and reads its tables as they are; a later one sends few pages to the rows, and many meet them by an exchange."""
+    seen, rows = [], [(f"p{k}", k) for k in range(20)]
+    def make(t):  # noqa: E306
+        seen.append(t["src"]._jdf.queryExecution().executedPlan().toString())
+        return t["src"].select("page_id", (F.col("v") * 2).alias("v"))
+
+    stage = lambda: stages.PageStage("double", "1", ["src"], make)
+    for most in (500_000, 0):
+        monkeypatch.setattr(stages, "MOST_BROADCAST", most)
+        runner = stages.PageRunner(spark, str(tmp_path / str(most)))
+        fresh = runner.run({"src": table(spark, rows)}, [stage()])["double"]
+        assert "Join" not in seen[-1] and "Join" not in fresh._jdf.queryExecution().executedPlan().toString()
+        after = runner.run({"src": table(spark, [(p, v + (v == 3)) for p, v in rows[:-1]])}, [stage()])["double"]
+        assert ("BroadcastHashJoin" in seen[-1]) == (most > 0) and runner.events[-1] == ("double", 1, 18, 1)
+        assert sorted(map(tuple, after.collect())) == sorted((p, 2 * (v + (v == 3))) for p, v in rows[:-1])
+
+
+def test_pages_removed_by_a_run_of_their_own_come_back(spark, tmp_path):
+    """A run that only removes pages is a generation too, so that a page that comes back isn't of the one that removed it."""
+    runner = stages.PageRunner(spark, str(tmp_path))
+    go = lambda rows: sorted(map(tuple, runner.run({"src": table(spark, rows)}, [counting([])])["double"].collect()))
+    assert go([("p1", 1), ("p2", 2)]) == [("p1", 2), ("p2", 4)]
+    assert go([("p1", 1)]) == [("p1", 2)]
+    assert go([("p1", 1), ("p2", 5)]) == [("p1", 2), ("p2", 10)]
+    assert runner.index("double").orderBy("page_id").select("page_id", "generation").collect() == [("p1", 1), ("p2", 3)]
