@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from folio.functions import ids
 from folio.functions import text as T
+from folio.operators.graph import scratch
 
 STANDALONE = ("callout", "table", "list", "list_item", "caption")
 FLUSHING = ("divider", "unknown")
 
+#: Rows of query and word that go to all tasks.
+MOST_WANTED = 500_000
+
 
 def chunks(blocks: DataFrame, most_paragraphs: int = 3) -> DataFrame:
     """page_id, anchor, block_ids, n_blocks, text: a heading with up to three paragraphs after it; standalone kinds and other paragraphs alone.
@@ -57,15 +61,22 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int = 10,
     """query_id, rank, key, score: each query's k best documents by Okapi BM25 (scores rounded to 6 digits, ties to the smaller key).
 
     docs: a row for each document, with its key and text; documents without a word don't count. queries: query_id, term (one row a term).
-    Words that no query asks for go before anything is counted or shuffled, and lengths are taken where a document is read.
+    Texts are split once: what is counted of the words that a query asks for, and each document's length (under the empty word), is written below the
+    scratch folder. A document's words then meet in one task, so its scores are added up where its words are, and only a task's best rows of a query are
+    exchanged. Words of queries go to all tasks, if they are MOST_WANTED rows or fewer; more are joined by exchanges.
     """
-    rows = _terms(docs, key, text).where("length > 0")
-    sizes = rows.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
-    wanted = queries.select("query_id", "term").distinct()
-    asked = rows.select("key", "length", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    hits = asked.groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = hits.join(df, "term").join(wanted, "term").join(F.broadcast(sizes))  # sizes is one row
+    folder = scratch(docs.sparkSession, "hits")
+    wanted = queries.select("query_id", "term").distinct().where("term <> ''").checkpoint()
+    few = F.broadcast if wanted.count() <= MOST_WANTED else lambda df: df
+    asked = _terms(docs, key, text).where("length > 0").select("key", "length", F.explode(F.array_append("terms", F.lit(""))).alias("term"))
+    kept = wanted.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    counted = asked.join(few(kept), "term", "left_semi").groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.sum("length").alias("total"))
+    counted.write.parquet(folder)
+    hits = docs.sparkSession.read.schema(counted.schema).parquet(folder)
+    sizes = hits.where("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum("total") / F.sum("tf")).alias("mean"))
+    df = hits.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    terms = wanted.join(df, "term")
+    weighed = hits.where("term <> ''").drop("total").repartition("key").join(few(terms), "term").join(F.broadcast(sizes))  # sizes is one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = weighed.groupBy("query_id", "key").agg(F.round(F.sum(part), 6).alias("score"))

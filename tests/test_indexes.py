@@ -38,6 +38,19 @@ def test_same_rows_as_the_whole_sum(spark, index, k):
     assert rows(topk.search(index, asked, k)) == rows(search.bm25(docs, "id", "text", asked, k))
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_texts_are_split_once_and_scored_where_their_words_are(spark, monkeypatch, most):
+    """No text is split after the hits are written, and no row for each pair of query and document is exchanged; with words of too many rows, the same by exchanges."""
+    monkeypatch.setattr(search, "MOST_WANTED", most)
+    docs = spark.createDataFrame([(1, "a b b"), (2, "a c"), (3, "b"), (4, " ."), (5, None)], "id long, text string")
+    asked = spark.createDataFrame([(7, "a"), (7, "b"), (7, "b"), (8, "c"), (8, ""), (None, "b"), (9, None)], "query_id long, term string")
+    found = search.bm25(docs, "id", "text", asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and ("Exchange hashpartitioning(query_id#" in plan)
+    assert most == 0 or not [x for x in plan.splitlines() if "Exchange hashpartitioning(query_id#" in x and ", key#" in x]
+    assert sorted((str(r["query_id"]), r["rank"], r["key"]) for r in found.collect()) == [("7", 1, 1), ("7", 2, 3), ("7", 3, 2), ("8", 1, 2), ("None", 1, 3), ("None", 2, 1)]
+
+
 def test_few_postings_are_opened(spark, index):
     """Queries of one rare word and words of nearly all documents: well under half of their postings are opened."""
     asked = spark.createDataFrame([(q, w) for q in range(20) for w in ("the", "of", "and", f"w{q}")], "query_id long, term string")
