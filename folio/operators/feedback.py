@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.operators.search import _terms
+from folio.operators.search import _terms, sent
 from folio.operators.topk import Index
 
 
@@ -21,10 +21,44 @@ def expansion_terms(index: Index, ranked: DataFrame, queries: DataFrame, docs: i
     """
     best = ranked.where(F.col("rank") <= docs).select("query_id", "key").distinct()
     words = index.forward.join(best.select("key").distinct(), "key", "left_semi").select("key", F.explode("words").alias("w")).select("key", "w.term", "w.tf")
-    held = best.join(words, "key").groupBy("query_id", "term").agg(F.sum("tf").alias("tf"))
-    held = held.join(held.groupBy("query_id").agg(F.sum("tf").alias("all_tf")), "query_id")
     counts = index.forward.select(F.explode("words").alias("w")).groupBy("w.term").agg(F.sum("w.tf").alias("cf"))
     total = index.forward.agg(F.sum("length").alias("all_cf"))
+    return _diverging(_held(best, words), counts, total, queries, terms)
+
+
+def expansion_of_texts(texts: DataFrame, key: str, text: str, ranked: DataFrame, queries: DataFrame, docs: int = 5, terms: int = 10) -> DataFrame:
+    """What ``expansion_terms`` gives with an index of texts (one row a key), for a ranking that is asked once: no index is made.
+
+    ranked is read twice. Keys and words go to all tasks, if they are few: then a text is not exchanged, all texts are split once, and of their words only those that a best document
+    holds are counted, in the task where they are. Of more words, all are counted so, and joined after.
+    """
+    best = ranked.where(F.col("rank") <= docs).select("query_id", "key").distinct()
+    keys = best.select(F.col("key").alias(key)).distinct()
+    words = _words(texts.join(sent(best)(keys), key, "left_semi"), key, text).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    held = _held(best, words).checkpoint()
+    wanted = held.select("term").union(texts.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    # The empty word stands for a document: its number of words.
+    split = _terms(texts, key, text).select("length", F.explode(F.array_append("terms", F.lit(""))).alias("term"))
+    few = sent(wanted)
+    counted = (split.join(few(wanted), "term", "left_semi") if few is F.broadcast else split).groupBy("term").agg(F.count("*").alias("cf"), F.sum("length").alias("all_cf"))
+    if few is not F.broadcast:
+        counted = counted.join(wanted, "term", "left_semi")
+    counted = counted.checkpoint()
+    return _diverging(held, counted.where("term <> ''").select("term", "cf"), counted.where("term = ''").select("all_cf"), queries, terms)
+
+
+def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, place, term of documents' words. Outer, since a plain posexplode would have Spark look for a word in each text before it picks documents."""
+    return _terms(docs, key, text).select("key", F.posexplode_outer("terms").alias("place", "term")).where("term IS NOT NULL")
+
+
+def _held(best: DataFrame, words: DataFrame) -> DataFrame:
+    """query_id, term, tf, all_tf: how often a query's best documents hold a word, and how many words they have."""
+    held = best.join(words, "key").groupBy("query_id", "term").agg(F.sum("tf").alias("tf"))
+    return held.join(held.groupBy("query_id").agg(F.sum("tf").alias("all_tf")), "query_id")
+
+
+def _diverging(held: DataFrame, counts: DataFrame, total: DataFrame, queries: DataFrame, terms: int) -> DataFrame:
     rows = held.join(queries.select("query_id", "term").distinct(), ["query_id", "term"], "left_anti").join(counts, "term").join(F.broadcast(total))  # one row
     p, c = F.col("tf") / F.col("all_tf"), F.col("cf") / F.col("all_cf")
     rows = rows.withColumn("weight", F.round(p * F.log2(p / c), 6)).where("weight > 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ def _terms(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), terms.alias("terms")).withColumn("length", F.size("terms"))
 
 
+def sent(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What marks a table of these rows, or of fewer, as one that goes to all tasks, if they are MOST_WANTED or fewer; they are counted for it."""
+    return F.broadcast if rows.limit(MOST_WANTED + 1).count() <= MOST_WANTED else lambda df: df
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf, length: the inverted index of lower-case words of letters and digits, with each document's length."""
     rows = _terms(docs, key, text)
@@ -67,8 +74,9 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, k: int = 10,
     """
     folder = scratch(docs.sparkSession, "hits")
     wanted = queries.select("query_id", "term").distinct().where("term <> ''").checkpoint()
-    few = F.broadcast if wanted.count() <= MOST_WANTED else lambda df: df
-    asked = _terms(docs, key, text).where("length > 0").select("key", "length", F.explode(F.array_append("terms", F.lit(""))).alias("term"))
+    few = sent(wanted)
+    # A condition on the words' number would split the texts once more.
+    asked = _terms(docs.where(F.lower(text).rlike(r"[\p{L}\p{N}]")), key, text).select("key", "length", F.explode(F.array_append("terms", F.lit(""))).alias("term"))
     kept = wanted.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
     counted = asked.join(few(kept), "term", "left_semi").groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.sum("length").alias("total"))
     counted.write.parquet(folder)
