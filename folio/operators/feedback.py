@@ -90,11 +90,12 @@ def smallest_window(places: list[tuple[int, str]]) -> tuple[int, int]:
 def rerank(docs: DataFrame, key: str, text: str, ranked: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, rank, key, n_words, window: the ranked documents (query_id, rank, key) anew, by how many of the query's words they hold (most first), then by the shortest stretch that holds these, then as before.
 
-    Only documents in the ranking are cut into words, and only the asked words' places leave them.
+    Only documents in the ranking are cut into words, and only the asked words' places leave them. The ranking is read twice; its keys go to all tasks, if they are few, so no
+    text is exchanged.
     """
-    rows = _terms(docs.join(ranked.select(F.col("key").alias(key)).distinct(), key, "left_semi"), key, text)
+    rows = _words(docs.join(sent(ranked)(ranked.select(F.col("key").alias(key)).distinct()), key, "left_semi"), key, text)
     asked = ranked.join(queries.select("query_id", "term").distinct(), "query_id")
-    places = rows.select("key", F.posexplode("terms").alias("place", "term")).join(asked, ["key", "term"])
+    places = rows.join(asked, ["key", "term"])
     lists = places.groupBy("query_id", "key", "rank").agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("places"))
     kind, name = dict(ranked.dtypes)["query_id"], dict(ranked.dtypes)["key"]
 

@@ -44,6 +44,17 @@ def test_no_index_is_made(spark, tmp_path, monkeypatch, name):
     assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 50
 
 
+def test_texts_are_not_exchanged(spark, tmp_path):
+    """Only ranked documents' texts are split, where they are read: their keys are broadcast, though their number is not known beforehand."""
+    spark.createDataFrame(corpus(), "id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    queries = spark.createDataFrame([(1, "w1"), (1, "w4")], "query_id long, term string")
+    ranked = search.bm25(docs, "id", "text", queries).checkpoint()
+    plan = feedback.rerank(docs, "id", "text", ranked, queries)._jdf.queryExecution().executedPlan().toString()
+    assert [x for x in plan.splitlines() if "BroadcastHashJoin [id#" in x and "LeftSemi" in x]
+    assert plan.count("regexp_extract_all") == 1 and plan.index("regexp_extract_all") < plan.index("LeftSemi")  # what stands above is done after
+
+
 def test_texts_are_split_once_for_a_ranking(spark, monkeypatch):
     """No condition on the words splits the texts before they are split."""
     docs = spark.createDataFrame([(1, "a b b"), (2, " ."), (3, None)], "id long, text string")
